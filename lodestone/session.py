@@ -34,15 +34,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for a small, costly frame that several branches read.
-
-    Uses the shared folder in ``spark.checkpoint.dir``; only where none is set
-    (local tests) is a temporary one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, in the shared folder, of a small, costly frame that several branches read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

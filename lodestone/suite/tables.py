@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import vector
 from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
+from lodestone.plans.contexts import context_lists, context_rows
+from lodestone.plans.search import candidate_lists, pair_scores, search, vec_of
+from lodestone.session import cut_lineage
 
 SHORT_DIM = 32
 
@@ -127,15 +130,96 @@ class Tables:
 
     @cached_property
     def gold(self) -> DataFrame:
-        """``(qid, issue_key)``: five issues of the question's label in md5 order, never its own."""
+        """``(qid, issue_key)``: the question's own issue and, but for lookups, four of its label in md5 order."""
         labelled = self.chunks.where("strategy = 'summary_desc'").select("label", "issue_key")
         order = [F.md5("issue_key"), F.col("issue_key")]
-        sample = top_rows(labelled, 6, *order, by=("label",)).select("label", "issue_key")
-        asked = self._asked.select(F.col("item_id").alias("qid"), "label")
-        others = (asked.join(sample, "label")
-                  .where(F.col("issue_key") != F.concat(F.lit("DOC-"), F.col("qid").cast("string"))))
-        return top_rows(others, 5, *order).select("qid", "issue_key")
+        sample = top_rows(labelled, 5, *order, by=("label",)).select("label", "issue_key")
+        own = F.concat(F.lit("DOC-"), F.col("qid").cast("string"))
+        asked = self._asked.select(F.col("item_id").alias("qid"), "label", "type")
+        others = asked.where("type <> 'lookup'").join(sample, "label").where(F.col("issue_key") != own)
+        return (top_rows(others, 4, *order).select("qid", "issue_key")
+                .unionByName(asked.select("qid", own.alias("issue_key"))))
 
     @cached_property
     def types(self) -> DataFrame:
         return self.plain_questions.select("qid", "type")
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Plain vector top 10, the contexts of the answers below."""
+        return cut_lineage(search(self.plain_questions, self.chunks, "summary_desc"))
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        """Stored candidate lists: small, costly, and read by many evaluation queries."""
+        return cut_lineage(candidate_lists(self.questions, self.issues, self.chunks))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Stored pair scores of the first 50 vector candidates (500 description characters)."""
+        return cut_lineage(pair_scores(vec_of(self.lists).where("rank < 50"), self.questions, self.issues, 500))
+
+    @cached_property
+    def wide_scores(self) -> DataFrame:
+        """The same with 1000 description characters."""
+        return cut_lineage(pair_scores(vec_of(self.lists).where("rank < 50"), self.questions, self.issues, 1000))
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        return cut_lineage(context_lists(context_rows(self.hits, self.issues)))
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Answers citing ranked contexts, a key mentioned inside a context, or a key that does not exist."""
+        key = lambda n: F.get(F.col("context_keys"), F.lit(n - 1))
+        mention = F.array_compact(F.transform("contexts", lambda c: F.nullif(
+            F.regexp_extract(F.coalesce(c["description"], F.lit("")), "Duplicate of (DOC-[0-9]+)", 1), F.lit(""))))
+        keyed = (self.contexts.withColumn("context_keys", F.transform("contexts", lambda c: c["issue_key"]))
+                 .withColumn("mention", F.coalesce(F.get(mention, F.lit(0)), F.lit("none")))
+                 .join(self.plain_questions.select("qid", "question", "type"), "qid"))
+        text = (F.when(F.char_length("question") > 250, F.lit("The issues do not answer this."))
+                .when(F.col("type") == "lookup", F.concat(F.lit("The fix is in ["), key(1), F.lit("] and ["), key(2), F.lit("].")))
+                .when(F.col("type") == "topic", F.concat(F.lit("See ["), key(1), F.lit("], which repeats "), F.col("mention"),
+                                                         F.lit("; also [DOC-999999].")))
+                .otherwise(F.concat(F.lit("As ["), key(3), F.lit("] says, ["), key(3), F.lit("] supersedes ["), key(2), F.lit("]."))))
+        return (keyed.withColumn("answer", text)
+                .select("qid", "answer", "context_keys",
+                        (F.char_length("question") / F.lit(100.0)).alias("seconds"),
+                        F.char_length("answer").alias("completion_tokens")))
+
+    @cached_property
+    def page_bodies(self) -> DataFrame:
+        """One landed page per issue as JSON text: its first version and, once closed, its closing version."""
+        offset = F.when(F.col("issue_type") == "Improvement", "+0200").otherwise("+0000")
+
+        def stamp(c):
+            return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS"), offset)
+
+        def named(c):
+            return F.when(c.isNotNull(), F.struct(c.alias("name")))
+
+        def version(description, status, resolution, updated):
+            return F.struct(
+                F.col("issue_key").alias("key"), F.col("issue_id").cast("string").alias("id"),
+                F.struct(F.col("summary").alias("summary"), description.alias("description"),
+                         named(F.col("issue_type")).alias("issuetype"), named(F.col("priority")).alias("priority"),
+                         named(status).alias("status"), named(resolution).alias("resolution"),
+                         stamp(F.col("created")).alias("created"), stamp(updated).alias("updated"),
+                         stamp(updated).alias("resolutiondate")).alias("fields"))
+
+        none = F.lit(None)
+        first = version(F.col("description"), F.lit("O"), none.cast("string"), none.cast("timestamp"))
+        closing = version(F.when(F.col("priority") != "Trivial", F.col("description")), F.col("status"),
+                          F.col("resolution"), F.col("updated"))
+        versions = F.when(F.col("status") == "O", F.array(first)).otherwise(F.array(first, closing))
+        return self.issues.select(F.to_json(F.struct(
+            F.col("issue_id").alias("startAt"), F.lit(1).alias("total"), versions.alias("issues"))).alias("body"))
+
+    @cached_property
+    def stored_issues(self) -> DataFrame:
+        """The issue table as it stood at the start of 1999: everything open, older type names."""
+        return self.issues.where(F.col("created") < F.lit("1999-01-01").cast("timestamp")).select(
+            "issue_key", "issue_id", F.lit("archive").alias("project"), F.lower("summary").alias("summary"),
+            "description", F.lower("issue_type").alias("issue_type"), "priority", F.lit("O").alias("status"),
+            F.lit(None).cast("string").alias("resolution"), "created",
+            F.lit(None).cast("timestamp").alias("updated"), F.lit(None).cast("timestamp").alias("resolutiondate"))
