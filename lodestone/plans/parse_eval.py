@@ -40,25 +40,35 @@ def extra_keys(questions: DataFrame, issues: DataFrame, gold: DataFrame, kept: i
     return top_rows(others, kept, F.col("issue_id")).select("qid", "rank", "issue_key")
 
 
-def candidate_diff(questions: DataFrame, issues: DataFrame, candidates: dict) -> DataFrame:
-    """``(qid, issue_key, side)``: issues that only the form or only the candidate predicate selects.
+def candidate_diff(questions: DataFrame, issues: DataFrame, predicates: dict[str, str]) -> DataFrame:
+    """``(qid, issue_key, side)``: issues that only the form ("extra") or only the candidate ("missing") selects.
 
-    ``candidates`` maps a qid to a SQL predicate over the issue columns.  The issues
-    are scanned once: a row compares each predicate with the forms it satisfies.
+    A question names its candidate predicate in ``candidate``; ``predicates`` maps
+    names to SQL over the issue columns.  Issues are scanned once: each row knows the
+    predicates and the forms it satisfies, and only disagreeing (form, candidate)
+    combinations leave it.
     """
-    asked = fm.with_form_id(questions.where(F.col("qid").isin(list(candidates))))
-    judged = F.array(*(F.struct(F.lit(qid).alias("qid"), F.coalesce(F.expr(sql), F.lit(False)).alias("wanted"))
-                       for qid, sql in candidates.items()))
-    rows = issues.select("issue_key", judged.alias("judged"))
-    matched = fm.match_forms(issues, asked)
-    ids = F.map_from_entries(F.collect_list(F.struct("qid", "form_id")))
-    form_of = asked.select(ids).scalar()
-    both = rows.join(matched, "issue_key", "left").select("issue_key", "form_ids", F.explode("judged").alias("j"))
-    selected = F.coalesce(F.array_contains("form_ids", form_of[F.col("j.qid")]), F.lit(False))
-    return (both.select(F.col("j.qid").alias("qid"), "issue_key",
-                        F.when(F.col("j.wanted") & ~selected, "missing")
-                        .when(~F.col("j.wanted") & selected, "extra").alias("side"))
-            .where(F.col("side").isNotNull()))
+    asked = fm.with_form_id(questions.where(F.col("candidate").isin(list(predicates))))
+    held = F.array_compact(F.array(*(F.when(F.expr(sql), F.lit(name)) for name, sql in predicates.items())))
+    rows = issues.select("issue_key", held.alias("held"))
+    combinations = asked.select(F.collect_set(F.struct("form_id", "candidate"))).scalar()
+    compared = (rows.join(fm.match_forms(issues, asked), "issue_key", "left")
+                .select("issue_key", "held", F.coalesce("form_ids", F.array().cast("array<bigint>")).alias("form_ids"),
+                        F.explode(combinations).alias("c")))
+    wanted, selected = F.array_contains("held", F.col("c.candidate")), F.array_contains("form_ids", F.col("c.form_id"))
+    differing = compared.where(wanted != selected).select(
+        "issue_key", "c.form_id", "c.candidate", F.when(wanted, "missing").otherwise("extra").alias("side"))
+    return (differing.join(asked.select("qid", "form_id", "candidate"), ["form_id", "candidate"])
+            .select("qid", "issue_key", "side"))
+
+
+def exact_matches(questions: DataFrame, differences: DataFrame) -> DataFrame:
+    """``(qid, candidate, missing, extra, exact)`` for every question with a candidate predicate."""
+    counted = differences.groupBy("qid").agg(F.count_if(F.col("side") == "missing").alias("missing"),
+                                             F.count_if(F.col("side") == "extra").alias("extra"))
+    return (questions.where(F.col("candidate").isNotNull()).select("qid", "candidate")
+            .join(counted, "qid", "left").fillna(0, ["missing", "extra"])
+            .withColumn("exact", (F.col("missing") == 0) & (F.col("extra") == 0)))
 
 
 def candidate_rows(issues: DataFrame, candidates: dict) -> DataFrame:

@@ -411,14 +411,22 @@ def grade_flags(t: Tables) -> DataFrame:
 
 # --- parser evaluation --------------------------------------------------------------
 
+# --- fixed values: candidate predicates a question may name ---------------------------
 CANDIDATES = {
-    3: "priority = 'Blocker' AND issue_type = 'Bug' AND resolution IS NULL AND created >= '1996-06-01'",
-    5: "priority IN ('Major', 'Minor') AND resolution IS NOT NULL",
-    6: "summary ILIKE '%the%' AND priority = 'Major'",
-    20: r"resolution = 'Won''t Fix' AND (regexp_like(lower(summary), 'on ?the\\b') OR regexp_like(lower(description), 'ent'))",
+    "Blocker": "priority = 'Blocker' AND issue_type = 'Bug' AND resolution IS NULL",
+    "Critical": "priority = 'Critical' AND resolution = 'Fixed' AND created >= '1996-01-01' AND created < '1999-01-01'",
+    "Major": "summary ILIKE '%the%' AND priority = 'Major'",
+    "Minor": r"issue_type = 'Bug' AND (regexp_like(lower(summary), 'on ?the\\b') OR regexp_like(lower(description), 'ent'))",
 }
 
 
+def candidate_questions(t: Tables) -> DataFrame:
+    """Filtered questions name the candidate predicate of their priority; trivial ones have none."""
+    named = F.regexp_extract("question", "^Which ([a-z]+) bugs", 1)
+    name = F.when((F.col("type") == "filtered") & (named != "trivial"), F.initcap(named))
+    return t.questions.withColumn("candidate", name)
+
+
 @query
 def parse_rows(t: Tables) -> DataFrame:
     return parse_eval.parse_eval(t.questions, t.issues, t.gold)
@@ -441,12 +449,18 @@ def extra_keys(t: Tables) -> DataFrame:
 
 @query
 def candidate_diff(t: Tables) -> DataFrame:
-    return parse_eval.candidate_diff(t.questions, t.issues, CANDIDATES)
+    return parse_eval.candidate_diff(candidate_questions(t), t.issues, CANDIDATES)
+
+
+@query
+def exact_matches(t: Tables) -> DataFrame:
+    asked = candidate_questions(t)
+    return parse_eval.exact_matches(asked, parse_eval.candidate_diff(asked, t.issues, CANDIDATES))
 
 
 @query
 def candidate_rows(t: Tables) -> DataFrame:
-    return parse_eval.candidate_rows(t.issues, CANDIDATES).withColumnRenamed("name", "qid")
+    return parse_eval.candidate_rows(t.issues, CANDIDATES)
 
 
 # --- score agreement ----------------------------------------------------------------
