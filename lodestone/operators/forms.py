@@ -23,32 +23,40 @@ def normalize_forms(responses: DataFrame) -> DataFrame:
     A response that is not a JSON object, or whose list fields cannot be read,
     gives the empty form with ``parse_error``.
     """
-    parsed = responses.withColumn("_v", F.try_parse_json(text.strip_fence(F.col("response"))))
-    parsed = parsed.withColumn("_object", F.coalesce(
-        F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
     fields = ["priority", "issue_type", "resolution", "text_terms"]
-    for name in [*fields, "open", "created_from", "created_to"]:
-        item = F.try_variant_get("_v", f"$.{name}", "variant")
-        parsed = parsed.withColumn(f"_{name}", F.when(F.col("_object"), item))
+    plain = ["open", "created_from", "created_to"]
+    given = responses.columns
+    parsed = responses.withColumn("_v", F.try_parse_json(text.strip_fence(F.col("response"))))
+    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    split = settle(parsed, given, {
+        "_object": is_object,
+        **{f"_{n}": F.when(is_object, F.try_variant_get("_v", f"$.{n}", "variant")) for n in [*fields, *plain]}})
     bad = reduce(lambda a, b: a | b, (_unreadable(F.col(f"_{n}")) for n in fields[:3]))
-    parsed = parsed.withColumn("parse_error", ~F.col("_object") | bad)
+    failed = ~F.col("_object") | bad
 
     def usable(value: Column) -> Column:
-        return F.when(~F.col("parse_error"), value)
-
-    shaped = parsed.select(
-        *responses.columns, "parse_error",
-        *(usable(_as_list(F.col(f"_{n}"))).alias(n) for n in fields[:3]),
-        usable(F.when(_kind("_open") == "BOOLEAN", F.try_variant_get("_open", "$", "boolean"))).alias("open"),
-        *(usable(F.when(_kind(f"_{n}") == "STRING", F.nullif(F.try_variant_get(f"_{n}", "$", "string"), F.lit(""))))
-          .alias(n) for n in ["created_from", "created_to"]),
-        F.coalesce(usable(_as_list(F.col("_text_terms"))), F.array().cast("array<string>")).alias("text_terms"),
-    )
-    allowed = keep_allowed(shaped)
-    return guard_names(allowed).select(
-        *responses.columns, "priority", "issue_type", "open", "resolution",
-        "created_from", "created_to", "text_terms", "parse_error",
-        "dropped_values", "dropped_names")
+        return F.when(~failed, value)
+
+    shaped = settle(split, given, {
+        "parse_error": failed,
+        **{n: usable(_as_list(F.col(f"_{n}"))) for n in fields[:3]},
+        "open": usable(F.when(_kind("_open") == "BOOLEAN", F.try_variant_get("_open", "$", "boolean"))),
+        **{n: usable(F.when(_kind(f"_{n}") == "STRING", F.nullif(F.try_variant_get(f"_{n}", "$", "string"), F.lit(""))))
+           for n in plain[1:]},
+        "text_terms": F.coalesce(usable(_as_list(F.col("_text_terms"))), F.array().cast("array<string>"))})
+    return guard_names(keep_allowed(shaped)).select(
+        *given, "priority", "issue_type", "open", "resolution",
+        "created_from", "created_to", "text_terms", "parse_error", "dropped_values", "dropped_names")
+
+
+def settle(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Select ``columns`` behind a generator, so later steps read values and do not repeat expressions.
+
+    Without it Catalyst merges the steps (or pushes a filter through them) and the
+    nested CASE trees multiply.
+    """
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return rows.select(*keep, made)
 
 
 def _kind(name: str) -> Column:
@@ -85,7 +93,8 @@ def keep_allowed(forms: DataFrame) -> DataFrame:
     dropped = [F.filter(F.coalesce(F.col(n), F.array().cast("array<string>")), _outside(a))
                for n, a in vocabulary.items()]
     kept = {n: _non_empty(F.filter(F.col(n), _inside(a))) for n, a in vocabulary.items()}
-    return forms.withColumns({"dropped_values": F.concat(*dropped), **kept})
+    others = [c for c in forms.columns if c not in vocabulary]
+    return settle(forms, others, {"dropped_values": F.concat(*dropped), **kept})
 
 
 def guard_names(forms: DataFrame) -> DataFrame:
@@ -96,7 +105,8 @@ def guard_names(forms: DataFrame) -> DataFrame:
         listed = F.coalesce(F.col(name), F.array().cast("array<string>"))
         guarded[name] = _non_empty(F.filter(F.col(name), lambda x: text.named_in(question, x)))
         dropped.append(F.filter(listed, lambda x: ~text.named_in(question, x)))
-    return forms.withColumns({"dropped_names": F.concat(*dropped), **guarded})
+    others = [c for c in forms.columns if c not in guarded]
+    return settle(forms, others, {"dropped_names": F.concat(*dropped), **guarded})
 
 
 def _non_empty(items: Column) -> Column:

@@ -9,7 +9,7 @@ from lodestone import values as V
 from lodestone.functions import text
 from lodestone.operators.fusion import top_rows
 from lodestone.operators.forms import FACETS, FILTER_COLUMNS, form_condition
-from lodestone.session import broadcast_if_small
+from lodestone.session import broadcast_if_small, cut_lineage
 
 
 def occurrences(issues: DataFrame, *keep: str) -> DataFrame:
@@ -75,7 +75,8 @@ def _score() -> F.Column:
 
 def score_postings(wanted: DataFrame, table: DataFrame) -> DataFrame:
     """``(qid, issue_key, score)`` from a stored posting table: equi join on the lexeme."""
-    return (table.join(broadcast_if_small(wanted.select("qid", "lexeme")), "lexeme")
+    wanted = broadcast_if_small(cut_lineage(wanted.select("qid", "lexeme")))
+    return (table.join(wanted, "lexeme")
             .groupBy("qid", "issue_key").agg(_score()))
 
 
@@ -92,7 +93,8 @@ def keyword_hits(questions: DataFrame, issues: DataFrame, chunk_keys: DataFrame,
         asked = question_lexemes(questions).select(F.col("lexeme").alias("word"))
         frequency = lexeme_df(issues, asked)
     wanted = rare_lexemes(questions, frequency, issues, share, *FILTER_COLUMNS)
-    wanted = broadcast_if_small(wanted.select("qid", "lexeme", *FILTER_COLUMNS)).alias("f")
+    # Few rows, but they cost a pass over the text: kept, so the match does not count again.
+    wanted = broadcast_if_small(cut_lineage(wanted.select("qid", "lexeme", *FILTER_COLUMNS))).alias("f")
     found = (occurrences(issues, *FACETS, "created").alias("i")
              .join(wanted, F.col("i.lexeme") == F.col("f.lexeme"))
              .where(form_condition("i.", "f."))

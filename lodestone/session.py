@@ -34,6 +34,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than the cluster has cores (few or unsplittable files).
+
+    A scan with enough splits, as any large table has, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
     context = spark.sparkContext

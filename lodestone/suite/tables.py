@@ -12,7 +12,7 @@ from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
 from lodestone.plans.contexts import context_lists, context_rows
 from lodestone.plans.search import candidate_lists, pair_scores, search, vec_of
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, spread
 
 SHORT_DIM = 32
 
@@ -43,7 +43,7 @@ class Tables:
     @cached_property
     def issues(self) -> DataFrame:
         """Documents as issues: first line = summary, the rest = description, order = metadata."""
-        d, o = self.read("documents"), self.read("orders")
+        d, o = spread(self.read("documents")), self.read("orders")
         break_at = F.instr("text", "\n")
         body = F.when(break_at > 0, F.expr("substr(text, instr(text, '\n') + 1)"))
         rejected = F.concat(F.lit("Duplicate of DOC-"), F.col("o_custkey").cast("string"), F.lit("\n"),
@@ -125,8 +125,8 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """Questions with vector, type and form columns."""
-        return self.plain_questions.join(self.forms, "qid")
+        """Questions with vector, type and form columns, stored once as a parse cache is."""
+        return cut_lineage(self.plain_questions.join(self.forms, "qid"))
 
     @cached_property
     def gold(self) -> DataFrame:
