@@ -17,12 +17,12 @@ def occurrences(issues: DataFrame, *keep: str) -> DataFrame:
 
     An issue without a summary is not searchable.  Narrow transformation: no shuffle.
     """
-    fields = F.explode(F.array(
+    fields = F.inline(F.array(
         F.struct(F.lit(True).alias("in_summary"), F.col("summary").alias("body")),
         F.struct(F.lit(False).alias("in_summary"), F.col("description").alias("body"))))
     return (issues.where(F.col("summary").isNotNull())
-            .select("issue_key", *keep, fields.alias("f"))
-            .select("issue_key", *keep, "f.in_summary", F.explode(text.words(F.col("f.body"))).alias("lexeme"))
+            .select("issue_key", *keep, fields)
+            .select("issue_key", *keep, "in_summary", F.explode(text.words(F.col("body"))).alias("lexeme"))
             .where(~F.col("lexeme").isin(V.STOP_WORDS)))
 
 

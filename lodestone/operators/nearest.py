@@ -75,10 +75,12 @@ def _block_join(asked: DataFrame, chunks: DataFrame, k: int, blocks: int,
              .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
 
     def cell(block: pa.Table, rows: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.table({"qid": block.column("qid"), "issue_key": pa.array([], pa.string()),
+                             "distance": pa.array([], pa.float64())})
         best = TopK(block, k)
-        if block.num_rows:
-            for batch in rows.to_batches():
-                best.add(batch)
+        for batch in rows.to_batches():
+            best.add(batch)
         return best.result()
 
     return (left.groupBy("_block", "_bucket")
@@ -100,9 +102,7 @@ class TopK:
 
     def __init__(self, block: pa.Table, k: int):
         self.k = k
-        self.qids = block.column("qid").combine_chunks()
-        if isinstance(self.qids, pa.ChunkedArray):
-            self.qids = pa.concat_arrays(self.qids.chunks)
+        self.qids = pa.concat_arrays(block.column("qid").chunks)
         vectors = np.array(block.column("qvec").to_pylist(), dtype=np.float64).reshape(block.num_rows, -1)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -32,7 +32,9 @@ def flatten_pages(pages: DataFrame, project: str | None = None) -> DataFrame:
     """
     f = "i.fields."
     owner = F.lit(project) if project else F.substring_index("i.key", "-", 1)
-    return (pages.select("startAt", F.posexplode("issues").alias("position", "i"))
+    # The outer form keeps Catalyst from adding a size test that would parse JSON pages twice.
+    return (pages.select("startAt", F.posexplode_outer("issues").alias("position", "i"))
+            .where(F.col("position").isNotNull())
             .select(
                 F.col("i.key").alias("issue_key"), F.col("i.id").cast("bigint").alias("issue_id"),
                 owner.alias("project"), F.col(f + "summary").alias("summary"),

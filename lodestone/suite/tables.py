@@ -69,12 +69,13 @@ class Tables:
         """Both strategies: the stored vector, and its first components normalised again."""
         full = (self.read("embeddings").join(self.issues.select("issue_id", "issue_key"),
                                              F.col("vec_id") == F.col("issue_id")))
-        strategies = F.explode(F.array(
-            F.struct(F.lit("summary_desc").alias("strategy"), F.col("embedding").alias("embedding")),
-            F.struct(F.lit("summary_only").alias("strategy"),
-                     vector.truncate_and_normalize(F.col("embedding"), SHORT_DIM).alias("embedding"))))
-        return (full.select("issue_key", "label", strategies.alias("s"))
-                .select("issue_key", "s.strategy", F.lit(0).alias("chunk_index"), "s.embedding", "label"))
+        def part(strategy: str, embedding) -> DataFrame:
+            return full.select("issue_key", F.lit(strategy).alias("strategy"), F.lit(0).alias("chunk_index"),
+                               embedding.alias("embedding"), "label")
+
+        # A union of constants, so a strategy filter drops the other branch as partition pruning would.
+        return part("summary_desc", F.col("embedding")).unionByName(
+            part("summary_only", vector.truncate_and_normalize(F.col("embedding"), SHORT_DIM)))
 
     @cached_property
     def _asked(self) -> DataFrame:
