@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import values as V
 from lodestone.functions import text
-from lodestone.session import broadcast_if_small
+from lodestone.session import broadcast_if_small, cut_lineage
 
 FILTER_COLUMNS = ["priority", "issue_type", "open", "resolution", "created_from", "created_to"]
 FACETS = ["priority", "issue_type", "resolution"]
@@ -234,7 +234,8 @@ def match_forms(issues: DataFrame, questions: DataFrame, *keep: str) -> DataFram
     accepted = (_facet_keys(facets).join(_form_keys(_distinct_forms(questions)), ["kp", "kt", "kr"])
                 .groupBy(*FACETS)
                 .agg(F.collect_list(F.struct("form_id", "from_day", "to_day")).alias("_forms")))
-    accepted = broadcast_if_small(accepted).alias("a")
+    # Costs a pass over the facet columns and stays tiny: kept, so the size probe does not repeat it.
+    accepted = broadcast_if_small(cut_lineage(accepted)).alias("a")
     i = issues.select("issue_key", *FACETS, "created", *(c for c in keep)).alias("i")
     same = reduce(lambda x, y: x & y, (F.col("i." + n).eqNullSafe(F.col("a." + n)) for n in FACETS))
     day = F.to_date("i.created")

@@ -9,7 +9,7 @@ from lodestone import values as V
 from lodestone.functions import text
 from lodestone.operators.fusion import top_rows
 from lodestone.operators.forms import FACETS, FILTER_COLUMNS, form_condition
-from lodestone.session import broadcast_if_small, cut_lineage
+from lodestone.session import broadcast_if_small, cut_lineage, is_small
 
 
 def occurrences(issues: DataFrame, *keep: str) -> DataFrame:
@@ -47,10 +47,12 @@ def lexeme_df(issues: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     words = (issues.where(F.col("summary").isNotNull())
              .select(F.explode(F.array_distinct(text.words(both))).alias("word")))
     if wanted is None:
-        words = words.where(~F.col("word").isin(V.STOP_WORDS))
-    else:
-        words = words.join(broadcast_if_small(wanted.select("word").distinct()), "word", "left_semi")
-    return words.groupBy("word").agg(F.count("*").alias("ndoc"))
+        return words.where(~F.col("word").isin(V.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("ndoc"))
+    wanted = wanted.select("word").distinct()
+    if is_small(wanted):
+        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("ndoc"))
+    # Too many to broadcast: count first, so a frequent word meets the join as one row.
+    return words.groupBy("word").agg(F.count("*").alias("ndoc")).join(wanted, "word", "left_semi")
 
 
 def question_lexemes(questions: DataFrame, *keep: str) -> DataFrame:

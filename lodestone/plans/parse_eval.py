@@ -10,6 +10,7 @@ from lodestone.functions import text
 from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
 from lodestone.plans.contexts import rows_of_keys
+from lodestone.session import broadcast_if_small
 
 
 def gold_kept(questions: DataFrame, issues: DataFrame, gold: DataFrame) -> DataFrame:
@@ -44,21 +45,27 @@ def candidate_diff(questions: DataFrame, issues: DataFrame, predicates: dict[str
     """``(qid, issue_key, side)``: issues that only the form ("extra") or only the candidate ("missing") selects.
 
     A question names its candidate predicate in ``candidate``; ``predicates`` maps
-    names to SQL over the issue columns.  Issues are scanned once: each row knows the
-    predicates and the forms it satisfies, and only disagreeing (form, candidate)
-    combinations leave it.
+    names to SQL over the issue columns.  Issues are scanned once: each row lists the
+    predicates and the forms it satisfies, and only those meet the (form, candidate)
+    combinations, through an equality key.
     """
     asked = fm.with_form_id(questions.where(F.col("candidate").isin(list(predicates))))
     held = F.array_compact(F.array(*(F.when(F.expr(sql), F.lit(name)) for name, sql in predicates.items())))
-    rows = issues.select("issue_key", held.alias("held"))
-    combinations = asked.select(F.collect_set(F.struct("form_id", "candidate"))).scalar()
-    compared = (rows.join(fm.match_forms(issues, asked), "issue_key", "left")
-                .select("issue_key", "held", F.coalesce("form_ids", F.array().cast("array<bigint>")).alias("form_ids"),
-                        F.explode(combinations).alias("c")))
-    wanted, selected = F.array_contains("held", F.col("c.candidate")), F.array_contains("form_ids", F.col("c.form_id"))
-    differing = compared.where(wanted != selected).select(
-        "issue_key", "c.form_id", "c.candidate", F.when(wanted, "missing").otherwise("extra").alias("side"))
-    return (differing.join(asked.select("qid", "form_id", "candidate"), ["form_id", "candidate"])
+    none = F.array().cast("array<bigint>")
+    rows = (issues.select("issue_key", held.alias("held"))
+            .join(fm.match_forms(issues, asked), "issue_key", "left")
+            .withColumn("form_ids", F.coalesce("form_ids", none)))
+    satisfied = rows.select("issue_key", "held", "form_ids", F.explode(F.concat(
+        F.col("held"), F.col("form_ids").cast("array<string>"))).alias("key"))
+    by_candidate = F.struct(F.col("candidate").alias("key"), F.lit("missing").alias("side"))
+    by_form = F.struct(F.col("form_id").cast("string").alias("key"), F.lit("extra").alias("side"))
+    combinations = (asked.select("form_id", "candidate").distinct()
+                    .select("form_id", "candidate", F.inline(F.array(by_candidate, by_form))))
+    other = (F.when(F.col("side") == "missing", F.array_contains("form_ids", F.col("form_id")))
+             .otherwise(F.array_contains("held", F.col("candidate"))))
+    differing = (satisfied.join(broadcast_if_small(combinations), "key").where(~other)
+                 .select("issue_key", "form_id", "candidate", "side"))
+    return (differing.join(broadcast_if_small(asked.select("qid", "form_id", "candidate")), ["form_id", "candidate"])
             .select("qid", "issue_key", "side"))
 
 

@@ -29,9 +29,14 @@ def build_session(master: str | None = None, app: str = "lodestone", **conf: str
     return builder.getOrCreate()
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Bounded probe: reads no more than ``max_rows`` + 1 rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after a bounded probe; beyond it Spark shuffles and AQE splits skew."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Hint a broadcast only where the probe allows it; beyond it Spark shuffles and AQE splits skew."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread(scan: DataFrame) -> DataFrame:
