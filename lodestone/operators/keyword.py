@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import values as V
 from lodestone.functions import text
+from lodestone.functions.stem import stem_lexemes
 from lodestone.operators.fusion import top_rows
 from lodestone.operators.forms import FACETS, FILTER_COLUMNS, form_condition
 from lodestone.session import broadcast_if_small, cut_lineage, is_small
@@ -62,12 +63,15 @@ def question_lexemes(questions: DataFrame, *keep: str) -> DataFrame:
 def rare_lexemes(questions: DataFrame, frequency: DataFrame, issues: DataFrame,
                  share: float = V.RARE_SHARE, *keep: str) -> DataFrame:
     """``(qid, *keep, lexeme, ndoc)`` below ``share`` of all issues; an unseen lexeme counts as 0 and stays."""
+    return rare_of(question_lexemes(questions, *keep), frequency, issues, share)
+
+
+def rare_of(lexemes: DataFrame, frequency: DataFrame, issues: DataFrame, share: float = V.RARE_SHARE) -> DataFrame:
     total = issues.select(F.count("*").alias("n")).scalar()
-    return (question_lexemes(questions, *keep)
-            .join(frequency.withColumnRenamed("word", "lexeme"), "lexeme", "left")
+    return (lexemes.join(frequency.withColumnRenamed("word", "lexeme"), "lexeme", "left")
             .withColumn("ndoc", F.coalesce("ndoc", F.lit(0)).cast("long"))
             .where(F.col("ndoc") < F.lit(share) * total)
-            .select("qid", *keep, "lexeme", "ndoc"))
+            .select(*lexemes.columns, "ndoc"))
 
 
 def _score() -> F.Column:
@@ -82,6 +86,16 @@ def score_postings(wanted: DataFrame, table: DataFrame) -> DataFrame:
             .groupBy("qid", "issue_key").agg(_score()))
 
 
+def stemmed_scores(questions: DataFrame, issues: DataFrame, table: DataFrame,
+                   share: float = V.RARE_SHARE) -> DataFrame:
+    """``(qid, issue_key, score)`` with word forms folded to stems on both sides.
+
+    ``table`` is a stemmed posting table; frequencies are counted over its stems.
+    """
+    frequency = table.groupBy(F.col("lexeme").alias("word")).agg(F.count("*").alias("ndoc"))
+    return score_postings(rare_of(stem_lexemes(question_lexemes(questions)), frequency, issues, share), table)
+
+
 def keyword_hits(questions: DataFrame, issues: DataFrame, chunk_keys: DataFrame,
                  n: int = V.FUSION_DEPTH, share: float = V.RARE_SHARE,
                  frequency: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone import values as V
 from lodestone.functions import text, vector
+from lodestone.functions.stem import stem_postings, stem_words
 from lodestone.operators import batching, fusion, merge, quality
 from lodestone.operators import forms as fm
 from lodestone.operators import keyword as kwd
@@ -144,6 +145,18 @@ def keyword_topk(t: Tables) -> DataFrame:
     return scored(search.keyword_list(t.questions, t.issues, t.chunks, DESC))
 
 
+@query
+def stemmed_vocabulary(t: Tables) -> DataFrame:
+    return stem_words(kwd.lexeme_df(t.issues))
+
+
+@query
+def stemmed_scores(t: Tables) -> DataFrame:
+    table = stem_postings(kwd.postings(t.issues))
+    found = kwd.stemmed_scores(t.plain_questions, t.issues, table)
+    return found.select("qid", "issue_key", F.round("score", 6).alias("score"))
+
+
 # --- fusion -------------------------------------------------------------------------
 
 @query

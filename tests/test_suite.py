@@ -32,7 +32,8 @@ def table(rows, names):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"token_budget_batches", "hashed_embedding"}
+    assert set(QUERIES) - set(ORACLES) == {
+        "token_budget_batches", "hashed_embedding", "stemmed_vocabulary", "stemmed_scores"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
