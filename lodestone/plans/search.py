@@ -17,6 +17,8 @@ from lodestone.operators import forms as fm
 from lodestone.operators import fusion
 from lodestone.operators.keyword import keyword_hits
 from lodestone.operators.nearest import nearest
+from lodestone.plans.contexts import rows_of_keys
+from lodestone.session import broadcast_if_small, cut_lineage
 
 PairScorer = Callable[[Column, Column], Column]
 
@@ -35,13 +37,19 @@ def vector_candidates(questions: DataFrame, issues: DataFrame, chunks: DataFrame
                       strategy: str, n: int) -> DataFrame:
     """``(qid, rank, issue_key, distance)``: nearest ``n`` among issues the question's form accepts.
 
-    The filter works before any distance is computed.  The vectors meet only the
-    narrow ``(issue_key, form_ids)`` rows; tables bucketed by issue_key join in place.
+    The filter works before any distance is computed.  Questions without a filter scan
+    the vectors as plain search does.  For the others the vectors meet only the narrow
+    ``(issue_key, form_ids)`` rows of accepted issues: broadcast where few are accepted,
+    joined in place where the tables are bucketed by issue_key, shuffled otherwise.
     """
     asked = fm.with_form_id(questions)
     rows = of_strategy(chunks, strategy).select("issue_key", "embedding")
-    accepted = fm.match_forms(issues, asked)
-    return nearest(asked, rows.join(accepted, "issue_key"), n)
+    free = nearest(asked.where(~fm.has_filter()), rows, n)
+    bound = asked.where(fm.has_filter())
+    if bound.isEmpty():
+        return free
+    accepted = broadcast_if_small(fm.match_forms(issues, bound))
+    return free.unionByName(nearest(bound, rows.join(accepted, "issue_key"), n))
 
 
 def search_filtered(questions: DataFrame, issues: DataFrame, chunks: DataFrame,
@@ -95,11 +103,12 @@ def pair_scores(candidates: DataFrame, questions: DataFrame, issues: DataFrame,
                 chars: int = V.RERANK_DESC_CHARS, scorer: PairScorer = text.overlap_score) -> DataFrame:
     """``(qid, issue_key, pair_score)`` for candidate pairs; ``scorer`` maps two text columns to a score.
 
-    Candidates are at most depth x questions rows, so issue texts are cut to what
-    the scorer reads before they travel.
+    Candidates are at most depth x questions rows, so the issue texts stay where they are
+    and only those of candidate keys, cut to what the scorer reads, move on.
     """
     pairs = candidates.select("qid", "issue_key").join(questions.select("qid", "question"), "qid")
-    documents = issues.select("issue_key", text.rerank_text(F.col("summary"), F.col("description"), chars).alias("document"))
+    documents = rows_of_keys(issues, candidates).select(
+        "issue_key", text.rerank_text(F.col("summary"), F.col("description"), chars).alias("document"))
     return (pairs.join(documents, "issue_key", "left")
             .select("qid", "issue_key",
                     scorer(F.col("question"), F.coalesce("document", F.lit(""))).alias("pair_score")))
@@ -117,7 +126,8 @@ def search_rerank(questions: DataFrame, issues: DataFrame, chunks: DataFrame, st
     Questions whose form filters keep the vector order; only the others reach the scorer.
     """
     if candidates is None:
-        candidates = vector_candidates(questions, issues, chunks, strategy, depth)
+        # Few rows behind a scan of all vectors, read by both routes and by the text lookup.
+        candidates = cut_lineage(vector_candidates(questions, issues, chunks, strategy, depth))
     unfiltered = questions.where(~fm.has_filter())
     to_score = (candidates.where(F.col("rank") < depth)
                 .join(unfiltered.select("qid"), "qid", "left_semi"))
