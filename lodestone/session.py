@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,6 @@ def build_session(master: str | None = None, app: str = "lodestone", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Checkpoints of frames nobody holds any more are removed from the shared folder.
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -59,7 +58,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_kept: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, in the shared folder, of a small, costly frame that several branches read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Keep a small, costly frame that several branches read, as a table in the shared folder.
+
+    Unlike a checkpointed RDD the written table tells Spark its size, so joins with it
+    are planned as broadcasts from the start where it is small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _kept.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_kept(spark: SparkSession) -> None:
+    """Remove the tables this process kept.  Frames that read them cannot be used afterwards."""
+    while _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -82,3 +82,15 @@ def test_sinks(spark, tmp_path):
     lists = spark.createDataFrame([(1, "vec", 0, "a"), (1, "kw", 0, "b")], "qid int, list string, rank int, issue_key string")
     sinks.write_lists(lists, str(tmp_path / "lists"))
     assert spark.read.parquet(str(tmp_path / "lists")).where("list = 'kw'").first().issue_key == "b"
+
+
+def test_kept_frames(spark):
+    import os
+    from lodestone import session
+    kept = session.cut_lineage(spark.range(5).withColumn("x", F.rand(1)))
+    assert kept.collect() == kept.collect() and kept.schema["id"].dataType.typeName() == "long"
+    path = session._kept[-1].removeprefix("file:")
+    held, session._kept[:] = session._kept[:-1], session._kept[-1:]
+    session.release_kept(spark)
+    session._kept[:] = held
+    assert not os.path.exists(path)
