@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,14 +52,29 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, or a temporary one where it is unset (local master only)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
     return context.getCheckpointDir()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that it need only be on the driver's path."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        here = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="lodestone-ship-")
+        context.addPyFile(shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name))
+        _shipped.add(context.applicationId)
+
+
 _kept: list[str] = []
 
 
