@@ -27,6 +27,10 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]
     return ahead, lambda df, *more: df.select(*(F.col(plain[c]).alias(c) for c in docs.columns), *more)
 
 
+def _named(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of a toxic grade is below the operator's limit."""
     rows, back = _apart(docs)
@@ -64,14 +68,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*_named(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids (little-endian unsigned 32-bit), the number of tokens, and whether decoding gives the text."""
     path = bpe.vocabulary_path()
     coded = bpe.decode(bpe.encode(docs, path, "text", "ids"), path, "ids", "_decoded")
-    return coded.select(*docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+    return coded.select(*_named(docs), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

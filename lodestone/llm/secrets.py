@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import text_bytes
 
@@ -201,7 +202,7 @@ def redact(documents: DataFrame, ratio: Ratio, mark: str = "[SECRET]") -> DataFr
 
     others = [c for c in names if c != "text"]
     rows = documents.select("text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
-    schema = rows.schema.add("_spans", "integer")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_spans", T.IntegerType())])
     out = rows.mapInArrow(run, schema)
     back = {c: f"c{i}" for i, c in enumerate(others)} | {"text": "text"}
     return out.select(*(F.col(back[c]).alias(c) for c in names), "_spans")

@@ -28,10 +28,10 @@ SAMPLE = 6_000
 STEM = 8
 #: A feature must stand in so many different sampled texts, and in this share of them with a grade; how many are looked at closely; the penalty that chooses among them, and
 #: the ridge of the fit on the chosen ones.
-LEAST_TEXTS, PURE, SCREENED, PENALTY, RIDGE = 8, 0.5, 600, 0.0005, 0.00001
+LEAST_TEXTS, PURE, SCREENED, PENALTY, RIDGE = 8, 0.75, 600, 0.0005, 0.00001
 GRADES = 3
 #: The chance of a grade above 0 from which a document is called toxic.
-CHANCE = 0.3
+CHANCE = 0.4
 
 
 @dataclass
