@@ -19,6 +19,11 @@ from lodestone.llm.common import table
 from lodestone.session import cut_lineage
 
 
+#: Bits in which fingerprints over runs of five words may differ in the near-duplicate stage: 127 tables.  Two texts that share 0.8
+#: of their runs differ in about 10 bits on average, for which 64-bit fingerprints would need thousands of tables.
+NEAR_BITS = 6
+
+
 def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Give all columns but doc_id and text plain names, and a way back, so that no name clashes with an operator's own."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -50,10 +55,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return back(chosen.dropDuplicates(["_own", "_text", "_none"]))
 
 
-#: Bits in which fingerprints over runs of five words may differ in the near-duplicate stage.
-NEAR_BITS = 4
-
-
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     rows, back = _apart(docs)
