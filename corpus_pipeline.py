@@ -74,10 +74,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids (little-endian unsigned 32-bit), the number of tokens, and whether decoding gives the text."""
-    path = bpe.vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs, path, "text", "ids"), path, "ids", "_decoded")
-    return coded.select(*_named(docs), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    rows, back = _apart(docs)
+    coded = bpe.there_and_back(rows, bpe.vocabulary_path())
+    ids = F.col("coded.ids")
+    return back(coded, ids.alias("ids"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
+                (F.col("coded.text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

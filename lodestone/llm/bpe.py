@@ -18,6 +18,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Parts kept by a task; texts are worked on in steps of so many characters.
-KEPT_PARTS, STEP_CHARS = 600_000, 1 << 20
+KEPT_PARTS, STEP_CHARS = 300_000, 1 << 19
 #: Fragments longer than this go to the heap.
 LONG = 64
 
@@ -258,6 +259,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     return df.withColumn(text, run(ids))
 
 
+def there_and_back(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add the ids of a text column and what they decode to, in one pass (``coded``: ids, text)."""
+    coder = _coder(df, path)
+
+    @F.pandas_udf("ids binary, text string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        ids = coder().encode([t or "" for t in texts])
+        return pd.DataFrame({"ids": ids, "text": [coder().decode(i) for i in ids]})
+
+    return df.withColumn("coded", run(text))
+
+
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

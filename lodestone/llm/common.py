@@ -11,14 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on (one longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 #: An odd base: powers of it have inverses modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Rows of an Arrow batch: texts of some kilobytes each make a few megabytes.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data.  Batches of Spark's default size, ten thousand rows, would hold too much text: they are made smaller."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +48,7 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         low = high
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(size: int, base: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
@@ -51,7 +58,7 @@ def _powers(size: int, base: int) -> np.ndarray:
 def powers(size: int, base: int = BASE) -> np.ndarray:
     """The first powers of ``base`` modulo 2^64.  Kept for the usual sizes, so that a step computes none."""
     room = 1 << max(16, int(size).bit_length())
-    return (_powers(room, base) if room <= 4 * STEP_BYTES else _powers.__wrapped__(size, base))[:size]
+    return (_powers(room, base) if room <= 2 * STEP_BYTES else _powers.__wrapped__(size, base))[:size]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import text_bytes
+from lodestone.session import cut_lineage
 
 # The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -142,7 +143,7 @@ def labelled_strings(documents: DataFrame, strings: int = SAMPLE_STRINGS, rows:
             out = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([k for _, k in out], pa.bool_())], names=["string", "secret"])
 
-    each = picked.mapInArrow(gather, "string string, secret boolean").distinct()
+    each = cut_lineage(picked.mapInArrow(gather, "string string, secret boolean").distinct())
     by_hash = lambda secret: each.where(F.col("secret") == secret).orderBy(F.xxhash64("string"), "string").limit(strings // 2)
     found = [(r[0], r[1]) for r in by_hash(True).union(by_hash(False)).collect()]
     rng = random.Random(seed)
