@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import values as V
 from lodestone.functions import text
-from lodestone.session import broadcast_if_small, cut_lineage
+from lodestone.session import cut_lineage
 
 FILTER_COLUMNS = ["priority", "issue_type", "open", "resolution", "created_from", "created_to"]
 FACETS = ["priority", "issue_type", "resolution"]
@@ -127,7 +127,7 @@ def has_filter(prefix: str = "") -> Column:
 
 
 def form_condition(issue: str = "i.", form: str = "f.") -> Column:
-    """Does the issue of this row satisfy the form of this row?"""
+    """Does the issue of this row satisfy the form of this row?  A bound that is no time selects nothing."""
     f, i = (lambda n: F.col(form + n)), (lambda n: F.col(issue + n))
 
     def listed(name: str) -> Column:
@@ -135,8 +135,8 @@ def form_condition(issue: str = "i.", form: str = "f.") -> Column:
 
     return (listed("priority") & listed("issue_type") & listed("resolution")
             & (f("open").isNull() | (f("open") == i("resolution").isNull()))
-            & (f("created_from").isNull() | (i("created") >= F.to_timestamp(f("created_from"))))
-            & (f("created_to").isNull() | (i("created") < F.to_timestamp(f("created_to")))))
+            & (f("created_from").isNull() | F.coalesce(i("created") >= F.try_to_timestamp(f("created_from")), F.lit(False)))
+            & (f("created_to").isNull() | F.coalesce(i("created") < F.try_to_timestamp(f("created_to")), F.lit(False))))
 
 
 def where_form(issues: DataFrame, form: dict) -> DataFrame:
@@ -201,13 +201,14 @@ def _form_keys(forms: DataFrame) -> DataFrame:
         .when(F.col("open"), F.array(F.lit("null")))
         .when(~F.col("open"), F.array(F.lit("set")))
         .otherwise(F.array(F.lit("*"))))
-    return (forms.select("form_id", F.to_date("created_from").alias("from_day"),
-                         F.to_date("created_to").alias("to_day"),
+    since, until = F.try_to_timestamp("created_from"), F.try_to_timestamp("created_to")
+    readable = (F.col("created_from").isNull() | since.isNotNull()) & (F.col("created_to").isNull() | until.isNotNull())
+    return (forms.where(readable).select("form_id", since.alias("since"), until.alias("until"),
                          F.explode(F.array_distinct(accepted("priority"))).alias("kp"),
                          "issue_type", "resolution", "open")
             .withColumn("kt", F.explode(F.array_distinct(accepted("issue_type"))))
             .withColumn("kr", F.explode(F.array_distinct(resolution)))
-            .select("form_id", "from_day", "to_day", "kp", "kt", "kr"))
+            .select("form_id", "since", "until", "kp", "kt", "kr"))
 
 
 def _facet_keys(facets: DataFrame) -> DataFrame:
@@ -233,14 +234,13 @@ def match_forms(issues: DataFrame, questions: DataFrame, *keep: str) -> DataFram
     facets = issues.select(*FACETS).distinct()
     accepted = (_facet_keys(facets).join(_form_keys(_distinct_forms(questions)), ["kp", "kt", "kr"])
                 .groupBy(*FACETS)
-                .agg(F.collect_list(F.struct("form_id", "from_day", "to_day")).alias("_forms")))
-    # Costs a pass over the facet columns and stays tiny: kept, so the size probe does not repeat it.
-    accepted = broadcast_if_small(cut_lineage(accepted)).alias("a")
+                .agg(F.collect_list(F.struct("form_id", "since", "until")).alias("_forms")))
+    # Costs a pass over the facet columns and stays small: kept, so Spark knows its bytes when it plans the join.
+    accepted = cut_lineage(accepted).alias("a")
     i = issues.select("issue_key", *FACETS, "created", *(c for c in keep)).alias("i")
     same = reduce(lambda x, y: x & y, (F.col("i." + n).eqNullSafe(F.col("a." + n)) for n in FACETS))
-    day = F.to_date("i.created")
-    open_window = F.filter("_forms", lambda f: (f.from_day.isNull() | (day >= f.from_day))
-                           & (f.to_day.isNull() | (day < f.to_day)))
+    open_window = F.filter("_forms", lambda f: (f.since.isNull() | (F.col("i.created") >= f.since))
+                           & (f.until.isNull() | (F.col("i.created") < f.until)))
     return (i.join(accepted, same)
             .select("i.issue_key", *(F.col("i." + c) for c in keep),
                     F.transform(open_window, lambda f: f.form_id).alias("form_ids"))
@@ -250,13 +250,13 @@ def match_forms(issues: DataFrame, questions: DataFrame, *keep: str) -> DataFram
 def filter_row_count(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """``(qid, filter_row_count)`` over ``rows`` that carry the issue columns.
 
-    Rows are counted per facet combination and day before any form is looked at.
+    Rows are counted per facet combination and time before any form is looked at.
     """
     asked = with_form_id(questions)
-    counted = (rows.groupBy(*FACETS, F.to_date("created").alias("day")).agg(F.count("*").alias("n")))
+    counted = (rows.groupBy(*FACETS, "created").agg(F.count("*").alias("n")))
     matches = (_facet_keys(counted).join(_form_keys(_distinct_forms(asked)), ["kp", "kt", "kr"])
-               .where((F.col("from_day").isNull() | (F.col("day") >= F.col("from_day")))
-                      & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day"))))
+               .where((F.col("since").isNull() | (F.col("created") >= F.col("since")))
+                      & (F.col("until").isNull() | (F.col("created") < F.col("until"))))
                .groupBy("form_id").agg(F.sum("n").alias("n")))
     return (asked.select("qid", "form_id").join(matches, "form_id", "left")
             .select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("filter_row_count")))

@@ -10,7 +10,7 @@ from lodestone.functions import text
 from lodestone.functions.stem import stem_lexemes
 from lodestone.operators.fusion import top_rows
 from lodestone.operators.forms import FACETS, FILTER_COLUMNS, form_condition
-from lodestone.session import broadcast_if_small, cut_lineage, is_small
+from lodestone.session import cut_lineage
 
 
 def occurrences(issues: DataFrame, *keep: str) -> DataFrame:
@@ -50,9 +50,7 @@ def lexeme_df(issues: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     if wanted is None:
         return words.where(~F.col("word").isin(V.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("ndoc"))
     wanted = wanted.select("word").distinct()
-    if is_small(wanted):
-        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("ndoc"))
-    # Too many to broadcast: count first, so a frequent word meets the join as one row.
+    # Counted first, so a frequent word meets the join as one row.
     return words.groupBy("word").agg(F.count("*").alias("ndoc")).join(wanted, "word", "left_semi")
 
 
@@ -81,7 +79,7 @@ def _score() -> F.Column:
 
 def score_postings(wanted: DataFrame, table: DataFrame) -> DataFrame:
     """``(qid, issue_key, score)`` from a stored posting table: equi join on the lexeme."""
-    wanted = broadcast_if_small(cut_lineage(wanted.select("qid", "lexeme")))
+    wanted = cut_lineage(wanted.select("qid", "lexeme"))
     return (table.join(wanted, "lexeme")
             .groupBy("qid", "issue_key").agg(_score()))
 
@@ -110,7 +108,7 @@ def keyword_hits(questions: DataFrame, issues: DataFrame, chunk_keys: DataFrame,
         frequency = lexeme_df(issues, asked)
     wanted = rare_lexemes(questions, frequency, issues, share, *FILTER_COLUMNS)
     # Few rows, but they cost a pass over the text: kept, so the match does not count again.
-    wanted = broadcast_if_small(cut_lineage(wanted.select("qid", "lexeme", *FILTER_COLUMNS))).alias("f")
+    wanted = cut_lineage(wanted.select("qid", "lexeme", *FILTER_COLUMNS)).alias("f")
     found = (occurrences(issues, *FACETS, "created").alias("i")
              .join(wanted, F.col("i.lexeme") == F.col("f.lexeme"))
              .where(form_condition("i.", "f."))

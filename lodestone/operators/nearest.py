@@ -90,8 +90,7 @@ def _block_join(asked: DataFrame, chunks: DataFrame, k: int, blocks: int,
 
 def merge_top(partial: DataFrame, k: int) -> DataFrame:
     """Global top k from per-partition ones; a key counts once, at its smallest distance."""
-    best = (partial.repartition("qid").groupBy("qid", "issue_key")
-            .agg(F.min("distance").alias("distance")))
+    best = partial.groupBy("qid", "issue_key").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), "issue_key")
     return (best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
             .select("qid", (F.col("_n") - 1).alias("rank"), "issue_key", "distance"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lodestone import values as V
 from lodestone.functions import text
-from lodestone.session import broadcast_if_small, cut_lineage
+from lodestone.session import cut_lineage
 
 
 def rows_of_keys(issues: DataFrame, keys: DataFrame) -> DataFrame:
-    """Issues whose key is listed.  A listed set of checked size is broadcast, so issue texts stay in place."""
-    return issues.join(broadcast_if_small(keys.select("issue_key").distinct()), "issue_key", "left_semi")
+    """Issues whose key is listed.  A listed set whose bytes allow it is broadcast by Spark, so issue texts stay in place."""
+    return issues.join(keys.select("issue_key").distinct(), "issue_key", "left_semi")
 
 
 def iso_time(stamp: Column) -> Column:

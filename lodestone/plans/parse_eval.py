@@ -10,7 +10,6 @@ from lodestone.functions import text
 from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
 from lodestone.plans.contexts import rows_of_keys
-from lodestone.session import broadcast_if_small
 
 
 def gold_kept(questions: DataFrame, issues: DataFrame, gold: DataFrame) -> DataFrame:
@@ -63,9 +62,9 @@ def candidate_diff(questions: DataFrame, issues: DataFrame, predicates: dict[str
                     .select("form_id", "candidate", F.inline(F.array(by_candidate, by_form))))
     other = (F.when(F.col("side") == "missing", F.array_contains("form_ids", F.col("form_id")))
              .otherwise(F.array_contains("held", F.col("candidate"))))
-    differing = (satisfied.join(broadcast_if_small(combinations), "key").where(~other)
+    differing = (satisfied.join(combinations, "key").where(~other)
                  .select("issue_key", "form_id", "candidate", "side"))
-    return (differing.join(broadcast_if_small(asked.select("qid", "form_id", "candidate")), ["form_id", "candidate"])
+    return (differing.join(asked.select("qid", "form_id", "candidate"), ["form_id", "candidate"])
             .select("qid", "issue_key", "side"))
 
 

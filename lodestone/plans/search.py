@@ -18,7 +18,7 @@ from lodestone.operators import fusion
 from lodestone.operators.keyword import keyword_hits
 from lodestone.operators.nearest import nearest
 from lodestone.plans.contexts import rows_of_keys
-from lodestone.session import broadcast_if_small, cut_lineage
+from lodestone.session import cut_lineage
 
 PairScorer = Callable[[Column, Column], Column]
 
@@ -48,7 +48,7 @@ def vector_candidates(questions: DataFrame, issues: DataFrame, chunks: DataFrame
     bound = asked.where(fm.has_filter())
     if bound.isEmpty():
         return free
-    accepted = broadcast_if_small(fm.match_forms(issues, bound))
+    accepted = fm.match_forms(issues, bound)
     return free.unionByName(nearest(bound, rows.join(accepted, "issue_key"), n))
 
 

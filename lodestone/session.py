@@ -1,4 +1,4 @@
-"""Session set-up and the two ways intermediate results are handled at scale."""
+"""Session set-up, the shared folder, and frames kept in it."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when a probe proves it has at most this many (narrow) rows.
-BROADCAST_ROWS = 500_000
-
 
 def build_session(master: str | None = None, app: str = "lodestone", **conf: str) -> SparkSession:
     """Session with UTC time, ANSI mode and AQE.  Cluster sizing stays with the caller."""
@@ -32,25 +27,6 @@ def build_session(master: str | None = None, app: str = "lodestone", **conf: str
     return builder.getOrCreate()
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Bounded probe: reads no more than ``max_rows`` + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where the probe allows it; beyond it Spark shuffles and AQE splits skew."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a file scan that has fewer splits than the cluster has cores (few or unsplittable files).
-
-    A scan with enough splits, as any large table has, is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``, or a temporary one where it is unset (local master only)."""
     context = spark.sparkContext

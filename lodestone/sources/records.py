@@ -54,10 +54,10 @@ def read_parse_cache(spark: SparkSession, path: str, key: str, questions: DataFr
     """Forms of ``questions`` from a cache with this fingerprint; refuses a stale or partial cache."""
     valid = valid_parses(spark.read.parquet(path), key)
     if valid.isEmpty():
-        raise ValueError(f"parse cache {path} does not match fingerprint {key}")
+        raise ValueError(f"no parses with fingerprint {key} in {path}: parse again")
     missing = uncached_questions(questions, valid)
     if not missing.isEmpty():
-        raise ValueError(f"parse cache {path} lacks questions, for example {missing.select('qid').first()[0]!r}")
+        raise ValueError(f"{path} lacks parses of asked questions, one of them {missing.select('qid').first()[0]!r}")
     return questions.join(valid.select("question", "form"), "question").select("qid", "form.*")
 
 

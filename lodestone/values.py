@@ -60,12 +60,6 @@ CONTEXT_FIELDS = ["issue_key", "summary", "status", "resolution",
 PROMPT_QUESTION = "Question: "
 PROMPT_HEADING = "Jira issues:"
 PROMPT_CLOSING = "Answer with citations."
-SYSTEM_PROMPT = (
-    "Answer the question using ONLY the Jira issues provided. "
-    "Cite every claim with the issue key in square brackets, e.g. [SPARK-1234]. "
-    "If the issues do not contain the answer, say so plainly and cite nothing. "
-    "Be concise."
-)
 
 STRATEGIES = ["summary_only", "summary_desc"]
 

@@ -109,3 +109,20 @@ def test_empty_form_has_no_filter(spark, forms):
     assert flags[0] == (False, "") and all(f for q, (f, _) in flags.items() if q)
     assert flags[9][1] == "issue_type IN ('Task') AND created >= '2021-02-03' AND created < '2023-01-01'"
     assert set(schemas.FORM_COLUMNS) >= set(fm.FILTER_COLUMNS)
+
+
+def test_timed_and_unreadable_bounds_agree_on_both_paths(spark):
+    """Bounds count to the second, and a bound that is no time fails its own question only."""
+    issues = spark.sql("""SELECT * FROM VALUES ('A-1', timestamp'2020-01-01 06:00:00'), ('A-2', timestamp'2020-01-01 18:00:00'), ('A-3', timestamp'2020-01-02 00:00:00')
+                          AS t(issue_key, created)""").selectExpr("*", "'Major' AS priority", "'Bug' AS issue_type", "CAST(NULL AS string) AS resolution")
+    forms = spark.sql("""SELECT * FROM VALUES (1, '2020-01-01T12:00:00', CAST(NULL AS string)), (2, 'last year', NULL), (3, NULL, '2020-01-01T12:00:00'), (4, NULL, 'soon')
+                         AS t(qid, created_from, created_to)""").selectExpr(
+        "qid", "CAST(NULL AS array<string>) AS priority", "CAST(NULL AS array<string>) AS issue_type", "CAST(NULL AS array<string>) AS resolution",
+        "CAST(NULL AS boolean) AS open", "created_from", "created_to")
+    want = {(1, "A-2"), (1, "A-3"), (3, "A-1")}
+    joined = forms.alias("f").crossJoin(issues.alias("i")).where(fm.form_condition("i.", "f."))
+    assert {(r.qid, r.issue_key) for r in joined.select("qid", "issue_key").collect()} == want
+    asked = fm.with_form_id(forms)
+    ids = {r.form_id: r.qid for r in asked.collect()}
+    assert {(ids[f], r.issue_key) for r in fm.match_forms(issues, asked).collect() for f in r.form_ids} == want
+    assert {r.qid: r.filter_row_count for r in fm.filter_row_count(forms, issues).collect()} == {1: 2, 2: 0, 3: 1, 4: 0}
