@@ -351,3 +351,18 @@ def test_suffix_sort_orders_by_bytes_and_survives_wrong_hashes(monkeypatch):
     zero = np.zeros(3, np.int64)
     segment, number = repeats.repeated_windows(data, first, shape, zero, np.arange(3), zero, first)
     assert set(segment.tolist()) == {1} and number.tolist() == list(range(10))
+
+
+def test_chat_query_equals_its_sql(spark):
+    import duckdb
+
+    from lodestone.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    own = queries.QUERIES["op3_chat_formatting"](spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    found = con.execute(queries.ORACLES["op3_chat_formatting"])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(own.columns)
+    assert Counter(map(tuple, own.select(*names).collect())) == Counter(found.fetchall())
