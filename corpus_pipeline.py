@@ -14,13 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, secrets, simhash, toxicity
+from lodestone.llm import bpe, decontaminate, secrets, setjoin, simhash, toxicity
 from lodestone.llm.common import table
 from lodestone.session import cut_lineage
 
 
 #: Bits in which fingerprints over runs of five words may differ in the near-duplicate stage: 127 tables.  Two texts that share 0.8
-#: of their runs differ in about 10 bits on average, for which 64-bit fingerprints would need thousands of tables.
+#: of their runs differ in about 10 bits on average, for which 64-bit fingerprints would need thousands of tables; the set join of
+#: ``lodestone.llm.setjoin`` finds the links that these tables leave out.
 NEAR_BITS = 6
 
 
@@ -44,9 +45,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id (nulls last, then by digest)."""
+    """One document of each group of near copies: that of the smallest doc_id (nulls last, then by digest).
+
+    Groups are first made by fingerprints, then joined where any two of their texts share 0.8 of their runs of five words.
+    """
     rows, back = _apart(docs)
-    near = simhash.near_components(rows, radius=NEAR_BITS, words=5)
+    near = cut_lineage(simhash.near_components(rows, radius=NEAR_BITS, words=5))
+    one = near.groupBy("digest", "group").agg(F.min("doc_id").alias("_least"))            # copies of a text are searched once
+    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(one, "digest").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    names = setjoin.join_groups(texts.select("text", "digest", "group"))
+    near = near.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     kept = near.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
     marked = rows.withColumns({"_own": F.coalesce("doc_id", F.lit(-1)), "_text": F.xxhash64("text")})
