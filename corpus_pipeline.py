@@ -51,9 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows, back = _apart(docs)
     near = cut_lineage(simhash.near_components(rows, radius=NEAR_BITS, words=5))
-    one = near.groupBy("digest", "group").agg(F.min("doc_id").alias("_least"))            # copies of a text are searched once
-    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(one, "digest").where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    names = setjoin.join_groups(texts.select("text", "digest", "group"))
+    names = setjoin.join_groups(rows.select("text", F.xxhash64("text").alias("digest")), near)
     near = near.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     kept = near.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))

@@ -10,7 +10,7 @@ Texts come in groups that are known to belong together, and a pair inside a grou
 first between neighbours of each shingle's sorted list, which joins most groups at the cost of one pair for each entry; then
 between all entries of what still are different groups.
 
-Null, empty and shorter texts have no run and link to nothing.  Repeated rows count once.  An empty table gives no links.
+Null, empty and shorter texts have no run and link to nothing.  Repeated rows change nothing.  An empty table gives no links.
 """
 
 from __future__ import annotations
@@ -44,6 +44,15 @@ def _sets(text: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row, np.unique(runs[first:last])
 
 
+def _new(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (text, digest) without the texts that this task has already seen: copies cost one set a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        digests = batch.column(1).to_pylist()
+        new = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]
+        yield batch if len(new) == len(digests) else batch.take(pa.array(new, pa.int64()))
+
+
 def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
 
@@ -52,25 +61,25 @@ def counts(texts: DataFrame, words: int) -> np.ndarray:
     """How many sets hold a shingle of each cell, over all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in _new(batches):
             for _, shingles in _sets(batch.column(0), words):
                 np.add.at(total, _cells(shingles), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("text", "digest").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
 def prefixes(texts: DataFrame, words: int, share: float) -> DataFrame:
-    """token, place, n (size of the set), digest and group for each shingle in the necessary prefix of each text."""
+    """token, place, n (size of the set) and digest for each shingle in the necessary prefix of each text."""
     sent = texts.sparkSession.sparkContext.broadcast(counts(texts, words))
-    fields = pa.schema([("token", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("digest", pa.int64()), ("group", pa.int64())])
+    fields = pa.schema([("token", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _new(batches):
             tokens, rows, sizes = [np.zeros(0, np.uint64)], [], []
             for row, shingles in _sets(batch.column(0), words):
                 n = len(shingles)
@@ -83,19 +92,19 @@ def prefixes(texts: DataFrame, words: int, share: float) -> DataFrame:
             place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in lengths)])
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tokens).view(np.int64)), pa.array(place, pa.int32()), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
-                batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], schema=fields)
+                batch.column(1).take(pa.array(at))], schema=fields)
 
-    return texts.select("text", "digest", "group").mapInArrow(run, "token long, place int, n int, digest long, group long")
+    return texts.select("text", "digest").mapInArrow(run, "token long, place int, n int, digest long")
 
 
 def _ceil(x: float) -> int:
     return int(np.ceil(x - 1e-9))
 
 
-def _open(entries: DataFrame) -> DataFrame:
-    """Entries of shingles that texts of different groups have."""
+def _open(entries: DataFrame, by: str) -> DataFrame:
+    """Entries of shingles that different texts (``by`` is digest) or groups have."""
     own = Window.partitionBy("token")
-    return entries.withColumns({"low": F.min("group").over(own), "high": F.max("group").over(own)}).where("low <> high").drop("low", "high")
+    return entries.withColumns({"low": F.min(by).over(own), "high": F.max(by).over(own)}).where("low <> high").drop("low", "high")
 
 
 def _pairs(both: DataFrame, share: float) -> DataFrame:
@@ -122,6 +131,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, 1), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], names=["digest", "members"])
 
     asked = pairs.select(F.col("a_digest").alias("digest")).union(pairs.select("b_digest")).distinct()
+    asked = cut_lineage(asked)                 # a table of known size: where it is small, the texts are not shuffled
     sets = cut_lineage(texts.join(asked, "digest", "left_semi").select("text", "digest").mapInArrow(run, "digest long, members array<long>").dropDuplicates(["digest"]))
     a, b = (sets.select(F.col("digest").alias(f"{x}_digest"), F.col("members").alias(f"{x}_members")) for x in "ab")
     common = F.size(F.array_intersect("a_members", "b_members"))
@@ -136,14 +146,19 @@ def _merged(frame: DataFrame, links: DataFrame) -> DataFrame:
     return frame.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group")).drop("joined")
 
 
-def join_groups(texts: DataFrame, words: int = 5, share: float = SHARE) -> DataFrame:
-    """group and joined (the name of the groups linked to it) of each group of ``texts`` (text, digest, group) that has a link."""
-    entries = cut_lineage(_open(prefixes(texts, words, share)))
+def join_groups(texts: DataFrame, groups: DataFrame, words: int = 5, share: float = SHARE) -> DataFrame:
+    """group and joined (the name of the groups linked to it) of each group that has a link.
+
+    ``texts`` has text and digest (one for each different text, never null), ``groups`` digest and group.  Texts are read in place;
+    only the prefixes are shuffled, and only those that different texts share meet the groups.
+    """
+    shared = _open(prefixes(texts, words, share), "digest").distinct()
+    entries = cut_lineage(_open(shared.join(cut_lineage(groups.select("digest", "group").distinct()), "digest"), "group"))
     after = Window.partitionBy("token").orderBy("n", "digest", "group")
     last = {f"a_{c}": F.lag(c).over(after) for c in ("place", "n", "digest", "group")}
     neighbours = entries.withColumns(last).withColumnsRenamed({c: f"b_{c}" for c in ("place", "n", "digest", "group")})
     first = cut_lineage(_verified(cut_lineage(_pairs(neighbours, share)), texts, words, share))
-    named = cut_lineage(_open(_merged(entries, first)))
+    named = cut_lineage(_open(_merged(entries, first), "group"))
     rest = _pairs(_named(named, "a").join(_named(named, "b"), "token"), share)
     second = _verified(cut_lineage(rest), texts, words, share)
     return components(first.union(second)).withColumnsRenamed({"node": "group", "component": "joined"})

@@ -52,20 +52,20 @@ def families(seed=4, parents=25):
 def test_all_links_are_found(spark, texts):
     texts = list(dict.fromkeys(texts))
     rows = frame(spark, [(t, i, i) for i, t in enumerate(texts)], "text string, digest long, group long")
-    found = {r.group: r.joined for r in setjoin.join_groups(rows).collect()}
+    found = {r.group: r.joined for r in setjoin.join_groups(rows, rows).collect()}
     expected = linked(texts)
     assert [found.get(i, i) for i in range(len(texts))] == expected
     # groups that are known already are only joined with others
     half = [root if i % 2 else i for i, root in enumerate(expected)]
     rows = frame(spark, [(t, i, g) for i, (t, g) in enumerate(zip(texts, half))], "text string, digest long, group long")
-    found = {r.group: r.joined for r in setjoin.join_groups(rows).collect()}
+    found = {r.group: r.joined for r in setjoin.join_groups(rows, rows).collect()}
     assert [found.get(g, g) for g in half] == expected
 
 
 def test_nothing_to_join(spark):
     schema = "text string, digest long, group long"
     for rows in ([], [(None, 1, 1), ("", 2, 2), ("one two", 3, 3), ("one two", 3, 3)]):
-        assert setjoin.join_groups(frame(spark, rows, schema)).count() == 0
+        assert setjoin.join_groups(*[frame(spark, rows, schema)] * 2).count() == 0
 
 
 def test_stage_leaves_no_pair_of_similarity(spark):
