@@ -1,38 +1,47 @@
 """Exact nearest rows by cosine distance for a whole table of questions.
 
-The corpus is scanned once and never shuffled: each task multiplies its Arrow
+The corpus is scanned where it lies and never shuffled: each task multiplies its Arrow
 batches with a block of question vectors and keeps a running top k per question,
-so only ``k`` rows per question and partition reach the merge.  Question blocks
-are broadcast while they fit ``BLOCK_BYTES``; more questions than that go through a
-block join in which both sides are cut into cells of bounded size.
+so only ``k`` rows per question and partition reach the merge.  A block is broadcast
+and holds at most ``BLOCK_BYTES``; more questions than that are answered block after
+block, one scan and one broadcast at a time.
+
+Matrix products only choose: whatever lies within ``SLACK`` of the k-th distance is
+computed again, pair by pair in one fixed order, and ranked by that unrounded value.
+So equal vectors tie exactly, and neighbours closer than the error of a product keep their order.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestone.session import cut_lineage
+
 BLOCK_BYTES = 64 << 20       # question vectors broadcast at once (8 bytes a component)
-CELL_ROWS = 100_000          # corpus rows per cell of the block join
 MATRIX_CELLS = 4_000_000     # distances held at once inside a task
-DIGITS = 9                   # float32 vectors carry no more; makes equal vectors tie exactly
+SLACK = 1e-9                 # far above the error of a product of unit vectors
 UNKNOWN = 9.0                # stands for a NULL distance: behind every real one (at most 2)
 
 
-def nearest(questions: DataFrame, chunks: DataFrame, k: int, *,
-            block_bytes: int = BLOCK_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(questions: DataFrame, chunks: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``questions(qid, qvec[, form_id])`` x ``chunks(issue_key, embedding[, form_ids])``.
 
     Returns ``(qid, rank, issue_key, distance)``, rank from 0.  With ``form_ids`` a
-    question competes only on rows that list its ``form_id``.  Rows without a
-    usable vector come last, with a NULL distance; ties go to the smaller key.
+    question competes only on rows that list its ``form_id``.  Ties go to the smaller key.
+
+    The dimension is the commonest length of a question vector (the longer one of two
+    that are as common).  A NULL, zero or otherwise long vector is not usable, on either
+    side: its distances are NULL and come last, and all other pairs are ranked as ever.
     """
     filtered = "form_ids" in chunks.columns
     asked = questions.select("qid", F.col("qvec").cast("array<double>").alias("qvec"),
@@ -43,49 +52,42 @@ def nearest(questions: DataFrame, chunks: DataFrame, k: int, *,
         T.StructField("issue_key", T.StringType()),
         T.StructField("distance", T.DoubleType()),
     ])
-    count, dim = asked.agg(F.count("*"), F.max(F.size("qvec"))).first()
-    if not count:
+    length = F.when(F.col("qvec").isNotNull(), F.size("qvec")).otherwise(0).alias("dim")
+    lengths = asked.groupBy(length).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    usual = lengths.orderBy(F.col("dim") == 0, F.col("n").desc(), F.col("dim").desc()).first()
+    if usual is None:
         return asked.sparkSession.createDataFrame(
             [], T.StructType([output["qid"], T.StructField("rank", T.IntegerType()),
                               output["issue_key"], output["distance"]]))
-    blocks = math.ceil(count * dim * 8 / block_bytes)
+    dim = max(usual["dim"], 1)
+    # Vectors of another length count as NULL: no block outgrows its bound.
+    asked = asked.withColumn("qvec", F.when(F.size("qvec") == dim, F.col("qvec")))
+    blocks = math.ceil(usual["total"] * dim * 8 / block_bytes)
     if blocks == 1:
-        block = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = TopK(block.value, k)
-            for batch in batches:
-                best.add(batch)
-            yield from best.result().to_batches()
-
-        partial = chunks.mapInArrow(scan, output)
-    else:
-        partial = _block_join(asked, chunks, k, blocks, cell_rows, output)
-    return merge_top(partial, k)
-
-
-def _block_join(asked: DataFrame, chunks: DataFrame, k: int, blocks: int,
-                cell_rows: int, output: T.StructType) -> DataFrame:
-    """Cells of (question block, corpus bucket); each is one bounded matrix product."""
-    buckets = math.ceil(chunks.count() / cell_rows) or 1
-    left = (asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-            .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
-    # Buckets hash the whole row, so copies of one vector or key spread over cells.
-    right = (chunks.withColumn("_bucket", F.pmod(F.xxhash64("issue_key", "embedding"), F.lit(buckets)).cast("int"))
-             .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
-
-    def cell(block: pa.Table, rows: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return pa.table({"qid": block.column("qid"), "issue_key": pa.array([], pa.string()),
-                             "distance": pa.array([], pa.float64())})
-        best = TopK(block, k)
-        for batch in rows.to_batches():
+        return merge_top(_scan(asked, chunks, k, dim, output)[0], k)
+    # Each block's few rows are written before the next one is broadcast, so driver and executors hold one block.
+    partials = []
+    for at in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == at)
+        partial, sent = _scan(block, chunks, k, dim, output)
+        partials.append(cut_lineage(partial))
+        sent.destroy()
+    return merge_top(reduce(DataFrame.unionByName, partials), k)
+
+
+def _scan(asked: DataFrame, chunks: DataFrame, k: int, dim: int, output: T.StructType) -> tuple[DataFrame, Broadcast]:
+    """The k nearest rows of each task for one block of questions, and the block as it was broadcast."""
+    block = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not block.value.num_rows:
+            return
+        best = TopK(block.value, k, dim)
+        for batch in batches:
             best.add(batch)
-        return best.result()
+        yield from best.result().to_batches()
 
-    return (left.groupBy("_block", "_bucket")
-            .cogroup(right.groupBy("_block", "_bucket"))
-            .applyInArrow(cell, output))
+    return chunks.mapInArrow(scan, output), block
 
 
 def merge_top(partial: DataFrame, k: int) -> DataFrame:
@@ -99,12 +101,10 @@ def merge_top(partial: DataFrame, k: int) -> DataFrame:
 class TopK:
     """Running top k per question over Arrow batches of one task."""
 
-    def __init__(self, block: pa.Table, k: int):
-        self.k = k
+    def __init__(self, block: pa.Table, k: int, dim: int):
+        self.k, self.dim = k, dim
         self.qids = pa.concat_arrays(block.column("qid").chunks)
-        vectors = np.array(block.column("qvec").to_pylist(), dtype=np.float64).reshape(block.num_rows, -1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.vectors = self._unit_rows(pa.concat_arrays(block.column("qvec").chunks))
         self.forms = None
         if "form_id" in block.column_names:
             form = block.column("form_id").to_numpy()
@@ -132,14 +132,12 @@ class TopK:
                 self._score(self.forms[form], keys[picked], unit[picked])
 
     def _unit_rows(self, column: pa.Array) -> np.ndarray:
-        dim = self.vectors.shape[1]
-        present = np.asarray(column.is_valid())
+        """Vectors at unit length; NaN for those that are not usable."""
         lengths = np.diff(column.offsets.to_numpy())
-        if not (lengths[present] == dim).all():
-            raise ValueError(f"stored vectors must have {dim} components")
-        unit = np.full((len(column), dim), np.nan)
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        unit[present] = flat.reshape(-1, dim)
+        usable = np.asarray(column.is_valid()) & (lengths == self.dim)
+        unit = np.full((len(column), self.dim), np.nan)
+        flat = column.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        unit[usable] = flat.reshape(-1, self.dim)
         with np.errstate(divide="ignore", invalid="ignore"):
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         return unit
@@ -151,19 +149,35 @@ class TopK:
         step = max(1, MATRIX_CELLS // len(keys))
         for at in range(0, len(who), step):
             part = who[at:at + step]
-            distance = np.round(1.0 - self.vectors[part] @ unit.T, DIGITS)
-            distance[np.isnan(distance)] = UNKNOWN
+            distance = self._exact_where_near(part, unit, firsts)
             if len(firsts) < len(keys):
                 distance = np.minimum.reduceat(distance, firsts, axis=1)
             self._absorb(part, keys[firsts], distance)
 
+    def _exact_where_near(self, part: np.ndarray, unit: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Distances of questions ``part`` to all rows; infinite where a row is surely behind the k nearest keys."""
+        rough = 1.0 - self.vectors[part] @ unit.T
+        rough[np.isnan(rough)] = UNKNOWN
+        limit = self.distance[part, -1]
+        if len(firsts) > self.k:
+            by_key = np.minimum.reduceat(rough, firsts, axis=1)
+            limit = np.minimum(limit, np.partition(by_key, self.k - 1, axis=1)[:, self.k - 1])
+        q, row = np.nonzero(rough <= limit[:, None] + SLACK)
+        exact = np.full(rough.shape, np.inf)
+        step = max(1, MATRIX_CELLS // self.dim)
+        for at in range(0, len(q), step):
+            a, b = q[at:at + step], row[at:at + step]
+            found = 1.0 - (self.vectors[part[a]] * unit[b]).sum(axis=1)
+            exact[a, b] = np.where(np.isnan(found), UNKNOWN, found)
+        return exact
+
     def _absorb(self, who: np.ndarray, keys: np.ndarray, distance: np.ndarray) -> None:
         """Merge distances of distinct, sorted keys into the state of questions ``who``."""
         k = self.k
         limit = self.distance[who, -1]
         if distance.shape[1] > k:
             limit = np.minimum(limit, np.partition(distance, k - 1, axis=1)[:, k - 1])
-        near = distance <= limit[:, None]
+        near = (distance <= limit[:, None]) & np.isfinite(distance)
         if np.count_nonzero(near) > 4 * k * len(who):
             # Many copies tie at the limit: the first k keys of a tie are enough.
             tied = distance == limit[:, None]

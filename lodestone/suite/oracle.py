@@ -21,7 +21,7 @@ def words(text: str) -> str:
 def cosine(a: str, b: str) -> str:
     def dot(x: str, y: str) -> str:
         return f"list_inner_product({x}::DOUBLE[], {y}::DOUBLE[])"
-    return f"round(1.0 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})), 9)"
+    return f"1.0 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
 
 
 def short(vector: str) -> str:
