@@ -30,12 +30,12 @@ def content(summary: Column, description: Column, strategy: str) -> Column:
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def clip(text: Column, chars: int) -> Column:
-    """First ``chars`` code points."""
-    return F.substring(text, 1, chars)
+def clip(text: Column, chars: int | None) -> Column:
+    """First ``chars`` code points, or the whole text."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
-def rerank_text(summary: Column, description: Column, chars: int = V.RERANK_DESC_CHARS) -> Column:
+def rerank_text(summary: Column, description: Column, chars: int | None = None) -> Column:
     """Document side of a (question, document) pair.  A missing issue gives an empty text."""
     body = F.concat(F.coalesce(summary, F.lit("")), F.lit("\n"),
                     clip(F.coalesce(description, F.lit("")), chars))

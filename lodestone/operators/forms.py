@@ -140,7 +140,7 @@ def form_condition(issue: str = "i.", form: str = "f.") -> Column:
 
 
 def where_form(issues: DataFrame, form: dict) -> DataFrame:
-    """Filter issues by one form given as a dict: literal predicates that reach the scan."""
+    """Filter issues by one form given as a dict: literal predicates that reach the scan.  A bound that is no time selects nothing."""
     for name in FACETS:
         allowed = form.get(name)
         if allowed:
@@ -149,9 +149,9 @@ def where_form(issues: DataFrame, form: dict) -> DataFrame:
         unresolved = F.col("resolution").isNull()
         issues = issues.where(unresolved if form["open"] else ~unresolved)
     if form.get("created_from"):
-        issues = issues.where(F.col("created") >= F.to_timestamp(F.lit(form["created_from"])))
+        issues = issues.where(F.col("created") >= F.try_to_timestamp(F.lit(form["created_from"])))
     if form.get("created_to"):
-        issues = issues.where(F.col("created") < F.to_timestamp(F.lit(form["created_to"])))
+        issues = issues.where(F.col("created") < F.try_to_timestamp(F.lit(form["created_to"])))
     return issues
 
 

@@ -14,10 +14,10 @@ from lodestone.plans.evaluate import same_lists
 RANGES = 200
 
 
-def paired_scores(candidates: DataFrame, a: DataFrame, b: DataFrame, depth: int = 50) -> DataFrame:
-    """``(qid, rank, issue_key, a, b)`` of the first ``depth`` candidates; a missing score counts as 0."""
+def paired_scores(candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(qid, rank, issue_key, a, b)`` of all candidates; a missing score counts as 0."""
     keys = ["qid", "issue_key"]
-    return (candidates.where(F.col("rank") < depth).select("qid", "rank", "issue_key")
+    return (candidates.select("qid", "rank", "issue_key")
             .join(a.select(*keys, F.col("pair_score").alias("a")), keys, "left")
             .join(b.select(*keys, F.col("pair_score").alias("b")), keys, "left")
             .fillna(0.0, ["a", "b"]))

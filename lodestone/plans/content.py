@@ -18,23 +18,26 @@ from lodestone.functions import text
 Embedder = Callable[[list[str]], np.ndarray]
 
 
-def contents(issues: DataFrame, strategy: str) -> DataFrame:
-    """``(issue_key, strategy, chunk_index, content, token_count)``; the count is the uncut length in characters."""
+def contents(issues: DataFrame, strategy: str, max_chars: int | None = None) -> DataFrame:
+    """``(issue_key, strategy, chunk_index, content, token_count)``; the count is the uncut length in characters.
+
+    ``max_chars`` cuts the content; without it texts stay whole.
+    """
     whole = text.content(F.col("summary"), F.col("description"), strategy)
     return issues.select(
         "issue_key", F.lit(strategy).alias("strategy"), F.lit(0).alias("chunk_index"),
-        text.clip(whole, V.MAX_CONTENT_CHARS).alias("content"),
+        text.clip(whole, max_chars).alias("content"),
         F.char_length(whole).alias("token_count"))
 
 
-def all_contents(issues: DataFrame) -> DataFrame:
+def all_contents(issues: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Every strategy from one scan of the issues."""
     made = F.explode(F.array(*(
         F.struct(F.lit(s).alias("strategy"), text.content(F.col("summary"), F.col("description"), s).alias("whole"))
         for s in V.STRATEGIES)))
     return (issues.select("issue_key", made.alias("m"))
             .select("issue_key", "m.strategy", F.lit(0).alias("chunk_index"),
-                    text.clip(F.col("m.whole"), V.MAX_CONTENT_CHARS).alias("content"),
+                    text.clip(F.col("m.whole"), max_chars).alias("content"),
                     F.char_length("m.whole").alias("token_count")))
 
 
@@ -42,7 +45,7 @@ def content_report(made: DataFrame) -> DataFrame:
     """Rows, truncated rows and characters per strategy."""
     return made.groupBy("strategy").agg(
         F.count("*").alias("rows"),
-        F.count_if(F.col("token_count") > V.MAX_CONTENT_CHARS).alias("truncated"),
+        F.count_if(F.col("token_count") > F.char_length("content")).alias("truncated"),
         F.sum("token_count").alias("chars"),
         F.sum(F.char_length("content")).alias("kept_chars"))
 

@@ -21,7 +21,7 @@ def iso_time(stamp: Column) -> Column:
     return F.when(F.date_trunc("second", stamp) == stamp, whole).otherwise(exact)
 
 
-def context_rows(hits: DataFrame, issues: DataFrame, chars: int = V.CONTEXT_DESC_CHARS) -> DataFrame:
+def context_rows(hits: DataFrame, issues: DataFrame, chars: int | None = None) -> DataFrame:
     """``(qid, rank, issue fields, description)``, rank from 1; hits without an issue are skipped."""
     hits = cut_lineage(hits.select("qid", "rank", "issue_key"))
     fields = [F.col(c) for c in V.CONTEXT_FIELDS if c != "created"]
@@ -38,7 +38,7 @@ def context_lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("contexts"))
 
 
-def prompts(questions: DataFrame, contexts: DataFrame, chars: int = V.CONTEXT_DESC_CHARS) -> DataFrame:
+def prompts(questions: DataFrame, contexts: DataFrame, chars: int | None = None) -> DataFrame:
     """``(qid, prompt, desc_chars_total)`` from ``contexts(qid, contexts)``."""
     def lines(c: Column, at: Column) -> Column:
         shown = F.concat_ws("; ", *(F.concat(F.lit(f"{n}="), c[n]) for n in V.CONTEXT_FIELDS))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone import values as V
 from lodestone.functions import text
 from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
@@ -22,7 +21,7 @@ def gold_kept(questions: DataFrame, issues: DataFrame, gold: DataFrame) -> DataF
         F.col("i.issue_key").isNotNull() & fm.form_condition("i.", "f."), F.lit(False)).alias("kept"))
 
 
-def extra_keys(questions: DataFrame, issues: DataFrame, gold: DataFrame, kept: int = V.EXTRA_KEYS_KEPT,
+def extra_keys(questions: DataFrame, issues: DataFrame, gold: DataFrame, kept: int,
                largest_gold: int | None = None) -> DataFrame:
     """``(qid, rank, issue_key)``: the first ``kept`` selected issues by id that are not gold.
 

@@ -100,11 +100,11 @@ def search_rescue(questions: DataFrame, issues: DataFrame, chunks: DataFrame,
 
 
 def pair_scores(candidates: DataFrame, questions: DataFrame, issues: DataFrame,
-                chars: int = V.RERANK_DESC_CHARS, scorer: PairScorer = text.overlap_score) -> DataFrame:
+                chars: int | None = None, scorer: PairScorer = text.overlap_score) -> DataFrame:
     """``(qid, issue_key, pair_score)`` for candidate pairs; ``scorer`` maps two text columns to a score.
 
     Candidates are at most depth x questions rows, so the issue texts stay where they are
-    and only those of candidate keys, cut to what the scorer reads, move on.
+    and only those of candidate keys move on; ``chars`` cuts the descriptions.
     """
     pairs = candidates.select("qid", "issue_key").join(questions.select("qid", "question"), "qid")
     documents = rows_of_keys(issues, candidates).select(
@@ -119,7 +119,7 @@ def route_flags(questions: DataFrame) -> DataFrame:
 
 
 def search_rerank(questions: DataFrame, issues: DataFrame, chunks: DataFrame, strategy: str,
-                  k: int = V.TOP_K, depth: int = V.RERANK_DEPTH, chars: int = V.RERANK_DESC_CHARS,
+                  k: int = V.TOP_K, depth: int = V.RERANK_DEPTH, chars: int | None = None,
                   scorer: PairScorer = text.overlap_score, candidates: DataFrame | None = None) -> DataFrame:
     """Routed rerank: ``(qid, rank, issue_key, score, route)``.
 

@@ -1,16 +1,21 @@
 """Incremental ingest and embedding as Structured Streaming jobs.
 
-Each micro-batch writes a new numbered snapshot next to the last one, so a batch
-replayed after a failure rewrites its own snapshot and changes nothing else.
+Each micro-batch adds a snapshot next to the last one.  The store itself numbers its
+snapshots, so a stream that lost its checkpoint goes on behind the newest one; the
+name also holds the stream and batch it came from, and a batch whose snapshot is
+complete is not applied again.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lodestone import schemas
 from lodestone.operators.merge import upsert_chunks, upsert_issues
@@ -19,61 +24,80 @@ from lodestone.sources.pages import flatten_pages
 from lodestone.sources.sinks import path_exists
 
 
-def snapshot_path(root: str, version: int) -> str:
-    return f"{root}/v{version:08d}"
+def snapshots(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """``(number, name)`` of the complete snapshots under ``root``, oldest first."""
+    if not path_exists(spark, root):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [name for name in (s.getPath().getName() for s in listed) if re.match(r"v\d{8}-", name)]
+    return sorted((int(name[1:9]), name) for name in names if path_exists(spark, f"{root}/{name}/_SUCCESS"))
 
 
-def snapshot_before(spark: SparkSession, root: str, version: int, schema) -> DataFrame:
-    """The newest complete snapshot older than ``version``; an empty table where there is none."""
-    for older in range(version - 1, -1, -1):
-        if path_exists(spark, snapshot_path(root, older) + "/_SUCCESS"):
-            return spark.read.schema(schema).parquet(snapshot_path(root, older))
-    return spark.createDataFrame([], schema)
+def latest_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The newest complete snapshot under ``root``; an empty table where there is none."""
+    done = snapshots(spark, root)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{done[-1][1]}")
 
 
-def latest_snapshot(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The newest complete snapshot under ``root``."""
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], schema)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    newest = max((int(s.getPath().getName()[1:]) for s in listed if s.getPath().getName().startswith("v")), default=-1)
-    return snapshot_before(spark, root, newest + 1, schema)
+def add_snapshot(spark: SparkSession, root: str, schema: StructType, stream: str, batch: int,
+                 make: Callable[[DataFrame], DataFrame]) -> None:
+    """Write ``make(newest snapshot)`` as the next one, unless this batch of this stream is in the store."""
+    done = snapshots(spark, root)
+    tag = f"{stream}-{batch}"
+    if any(name[10:] == tag for _, name in done):
+        return
+    number = done[-1][0] + 1 if done else 0
+    make(latest_snapshot(spark, root, schema)).write.mode("overwrite").parquet(f"{root}/v{number:08d}-{tag}")
+
+
+def _stream_id(checkpoint: str, batch: DataFrame) -> str:
+    """The id Spark keeps in the checkpoint: the same after a restart, another one for a new checkpoint."""
+    spark = batch.sparkSession
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def stream_issues(spark: SparkSession, landing: str, root: str, checkpoint: str,
-                  project: str | None = None, multi_line: bool = True) -> StreamingQuery:
+                  project: str | None = None, multi_line: bool = True, max_files: int | None = None) -> StreamingQuery:
     """Landed pages -> keyed upsert into issue snapshots; runs until the landing folder is drained.
 
     ``multi_line`` reads one page per file; without it every line is a page.
+    ``max_files`` bounds the files of one micro-batch.
     """
-    pages = spark.readStream.schema(schemas.PAGE).option("multiLine", multi_line).json(landing)
+    pages = _landed(spark, landing, multi_line, max_files)
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = snapshot_before(batch.sparkSession, root, number, schemas.ISSUES)
-        after = upsert_issues(before, flatten_pages(batch, project), ["start_at", "position"])
-        after.write.mode("overwrite").parquet(snapshot_path(root, number))
+        add_snapshot(batch.sparkSession, root, schemas.ISSUES, _stream_id(checkpoint, batch), number,
+                     lambda before: upsert_issues(before, flatten_pages(batch, project), ["start_at", "position"]))
 
     return (pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def _landed(spark: SparkSession, folder: str, multi_line: bool, max_files: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schemas.PAGE).option("multiLine", multi_line)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).json(folder)
+
+
 def stream_chunks(spark: SparkSession, changes: str, issues: Callable[[], DataFrame], root: str, checkpoint: str,
-                  strategy: str, make: Callable[[], Embedder]) -> StreamingQuery:
+                  strategy: str, make: Callable[[], Embedder], max_files: int | None = None,
+                  max_chars: int | None = None) -> StreamingQuery:
     """Embed what is missing whenever landed pages announce new issues.
 
-    ``issues()`` gives the current issue table; issues of the batch that already
-    have a chunk of the strategy are skipped.
+    ``issues()`` gives the current issue table.  Every issue without a chunk of the strategy is embedded, whichever batch
+    announced it: one whose page was not merged yet when its own batch ran is found by a later one.  ``max_chars`` cuts contents.
     """
-    pages = spark.readStream.schema(schemas.PAGE).option("multiLine", True).json(changes)
+    pages = _landed(spark, changes, True, max_files)
 
     def extend(batch: DataFrame, number: int) -> None:
-        before = snapshot_before(batch.sparkSession, root, number, schemas.CHUNKS)
-        announced = flatten_pages(batch).select("issue_key").distinct()
-        todo = backlog(issues().join(announced, "issue_key", "left_semi"), before, strategy)
-        made = embed(contents(todo, strategy), make).withColumn("embedded_at", F.current_timestamp())
-        after = upsert_chunks(before, made.withColumn("arrival", F.lit(number)), ["arrival"])
-        after.write.mode("overwrite").parquet(snapshot_path(root, number))
+        def grown(before: DataFrame) -> DataFrame:
+            todo = contents(backlog(issues(), before, strategy), strategy, max_chars)
+            made = embed(todo, make).withColumn("embedded_at", F.current_timestamp())
+            return upsert_chunks(before, made.withColumn("arrival", F.lit(number)), ["arrival"])
+
+        add_snapshot(batch.sparkSession, root, schemas.CHUNKS, _stream_id(checkpoint, batch), number, grown)
 
     return (pages.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

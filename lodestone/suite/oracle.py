@@ -38,12 +38,19 @@ FORM_MATCH = """(f.priority IS NULL OR list_contains(f.priority, i.priority))
   AND (f.issue_type IS NULL OR list_contains(f.issue_type, i.issue_type))
   AND (f.open IS NULL OR f.open = (i.resolution IS NULL))
   AND (f.resolution IS NULL OR coalesce(list_contains(f.resolution, i.resolution), false))
-  AND (f.created_from IS NULL OR i.created >= f.created_from::TIMESTAMP)
-  AND (f.created_to IS NULL OR i.created < f.created_to::TIMESTAMP)"""
+  AND (f.created_from IS NULL OR i.created >= try_cast(f.created_from AS TIMESTAMP))
+  AND (f.created_to IS NULL OR i.created < try_cast(f.created_to AS TIMESTAMP))"""
 
 FILTERED = ("(f.priority IS NOT NULL OR f.issue_type IS NOT NULL OR f.open IS NOT NULL OR f.resolution IS NOT NULL "
             "OR f.created_from IS NOT NULL OR f.created_to IS NOT NULL)")
 
+def overlap(description: str) -> str:
+    """Share of the question's words that summary and description hold."""
+    asked = f"list_distinct({words('f.question')})"
+    body = words(f"concat(coalesce(i.summary, ''), chr(10), {description})")
+    return f"coalesce(len(list_intersect({asked}, {body}))::DOUBLE / nullif(len({asked}), 0), 0)"
+
+
 VIEWS: dict[str, str] = {
     "v_issues": """
 SELECT concat('DOC-', d.doc_id) AS issue_key, d.doc_id AS issue_id, d.source AS project,
@@ -81,8 +88,8 @@ SELECT qid, question, type,
   CASE WHEN type = 'filtered' AND pname IN ('Blocker', 'Minor') THEN ['Bug'] END AS issue_type,
   CASE WHEN type = 'filtered' THEN CASE pname WHEN 'Blocker' THEN true WHEN 'Major' THEN false END END AS open,
   CASE WHEN type = 'filtered' THEN CASE pname WHEN 'Critical' THEN ['Fixed'] WHEN 'Minor' THEN ['Fixed', 'Won''t Fix'] END END AS resolution,
-  CASE WHEN type = 'filtered' AND pname IN ('Critical', 'Major') THEN concat(y, '-01-01') END AS created_from,
-  CASE WHEN type = 'filtered' AND pname IN ('Critical', 'Minor') THEN concat(y + 2, '-01-01') END AS created_to,
+  CASE WHEN type = 'filtered' THEN CASE WHEN pname IN ('Critical', 'Major') THEN concat(y, '-01-01') WHEN pname = 'Trivial' THEN 'last year' END END AS created_from,
+  CASE WHEN type = 'filtered' THEN CASE pname WHEN 'Critical' THEN concat(y + 2, '-01-01') WHEN 'Minor' THEN concat(y + 2, '-01-01T12:00:00') END END AS created_to,
   CASE WHEN type = 'filtered' AND pname = 'Blocker' THEN ['parser'] WHEN type = 'filtered' AND pname = 'Critical' THEN ['scan']
        ELSE []::VARCHAR[] END AS text_terms,
   (type = 'topic' AND pname = 'Trivial') AS parse_error
@@ -154,19 +161,17 @@ SELECT qid, head + n - 1, issue_key, CASE WHEN kr IS NOT NULL THEN 1.0::DOUBLE /
   FROM v_both b LEFT JOIN (SELECT qid, count(*) AS c FROM v_vec GROUP BY qid) h ON h.qid = b.qid
   WHERE vr IS NULL OR vr >= 9) WHERE n <= 1""",
     "v_scores": f"""
-SELECT v.qid, v.rank, v.issue_key,
-  coalesce(len(list_intersect(list_distinct({words('f.question')}), {words("concat(coalesce(i.summary, ''), chr(10), substr(coalesce(i.description, ''), 1, 500))")}))::DOUBLE
-    / nullif(len(list_distinct({words('f.question')})), 0), 0) AS s500,
-  coalesce(len(list_intersect(list_distinct({words('f.question')}), {words("concat(coalesce(i.summary, ''), chr(10), substr(coalesce(i.description, ''), 1, 1000))")}))::DOUBLE
-    / nullif(len(list_distinct({words('f.question')})), 0), 0) AS s1000
-FROM v_vec v JOIN v_forms f ON f.qid = v.qid JOIN v_issues i ON i.issue_key = v.issue_key WHERE v.rank < 50""",
+SELECT v.qid, v.rank, v.issue_key, {overlap("coalesce(i.description, '')")} AS whole_score,
+  {overlap("substr(coalesce(i.description, ''), 1, 500)")} AS s500, {overlap("substr(coalesce(i.description, ''), 1, 1000)")} AS s1000,
+  i.project
+FROM v_vec v JOIN v_forms f ON f.qid = v.qid JOIN v_issues i ON i.issue_key = v.issue_key""",
     "v_depths": "SELECT unnest([10, 15, 20, 30]) AS depth",
     "v_routed": f"""
 SELECT depth, qid, n - 1 AS rank, issue_key, score, route FROM (
   SELECT *, row_number() OVER (PARTITION BY depth, qid ORDER BY score DESC, vr) AS n FROM (
     SELECT *, 1.0::DOUBLE / (61 + vr) + 1.0::DOUBLE / (60 + rr) AS score, 'rerank' AS route FROM (
       SELECT d.depth, s.qid, s.issue_key, s.rank AS vr,
-        row_number() OVER (PARTITION BY d.depth, s.qid ORDER BY s.s500 DESC, s.rank) AS rr
+        row_number() OVER (PARTITION BY d.depth, s.qid ORDER BY s.whole_score DESC, s.rank) AS rr
       FROM v_depths d JOIN v_scores s ON s.rank < d.depth JOIN v_forms f ON f.qid = s.qid WHERE NOT {FILTERED})))
 WHERE n <= 10
 UNION ALL
@@ -196,14 +201,17 @@ SELECT b.qid, b.type, b.recall_at_5 AS base_recall_at_5, b.recall_at_10 AS base_
 FROM v_metrics b JOIN v_metrics o ON o.qid = b.qid
 WHERE b.strategy = 'summary_desc' AND o.strategy = 'summary_desc_filtered'""",
     "v_contents": """
-SELECT issue_key, strategy, 0 AS chunk_index, substr(whole, 1, 8000) AS content, length(whole) AS token_count FROM (
+SELECT issue_key, strategy, chunk_index, substr(content, 1, 8000) AS content, token_count FROM v_whole_contents""",
+    "v_whole_contents": """
+SELECT issue_key, strategy, 0 AS chunk_index, whole AS content, length(whole) AS token_count FROM (
   SELECT issue_key, 'summary_only' AS strategy, coalesce(summary, '') AS whole FROM v_issues
   UNION ALL SELECT issue_key, 'summary_desc', CASE WHEN description IS NULL THEN coalesce(summary, '')
     ELSE concat(coalesce(summary, ''), chr(10), chr(10), description) END FROM v_issues)""",
-    "v_context": """
+    "v_whole_context": """
 SELECT p.qid, p.rank + 1 AS rank, i.issue_key, i.summary, i.status, i.resolution, i.priority, i.issue_type,
-  strftime(i.created, '%Y-%m-%dT%H:%M:%S+00:00') AS created, substr(i.description, 1, 1500) AS description
+  strftime(i.created, '%Y-%m-%dT%H:%M:%S+00:00') AS created, i.description
 FROM v_plain p JOIN v_issues i ON i.issue_key = p.issue_key""",
+    "v_context": "SELECT * REPLACE (substr(description, 1, 1500) AS description) FROM v_whole_context",
     "v_answers": """
 SELECT q.qid, q.type, k.keys, length(q.question) / 100.0::DOUBLE AS seconds,
   CASE WHEN length(q.question) > 250 THEN 'The issues do not answer this.'
@@ -211,8 +219,8 @@ SELECT q.qid, q.type, k.keys, length(q.question) / 100.0::DOUBLE AS seconds,
        WHEN q.type = 'topic' THEN concat('See [', k.keys[1], '], which repeats ', coalesce(m.mention, 'none'), '; also [DOC-999999].')
        ELSE concat('As [', k.keys[3], '] says, [', k.keys[3], '] supersedes [', k.keys[2], '].') END AS answer
 FROM v_questions q
-JOIN (SELECT qid, list(issue_key ORDER BY rank) AS keys FROM v_context GROUP BY qid) k ON k.qid = q.qid
-LEFT JOIN (SELECT qid, arg_min(regexp_extract(description, 'Duplicate of (DOC-[0-9]+)', 1), rank) AS mention FROM v_context
+JOIN (SELECT qid, list(issue_key ORDER BY rank) AS keys FROM v_whole_context GROUP BY qid) k ON k.qid = q.qid
+LEFT JOIN (SELECT qid, arg_min(regexp_extract(description, 'Duplicate of (DOC-[0-9]+)', 1), rank) AS mention FROM v_whole_context
            WHERE regexp_matches(description, 'Duplicate of DOC-[0-9]+') GROUP BY qid) m ON m.qid = q.qid""",
     "v_cited": """
 SELECT qid, keys, pos - 1 AS pos, cited[pos] AS key FROM (
@@ -227,8 +235,8 @@ SELECT c.qid, c.pos, c.key,
          strpos(p.body, c.key) + 150 - greatest(strpos(p.body, c.key) - 100, 1)) AS excerpt
 FROM v_cited c LEFT JOIN (
   SELECT c.qid, c.pos, x.issue_key, x.field, x.body, row_number() OVER (PARTITION BY c.qid, c.pos ORDER BY x.rank, x.field DESC) AS n
-  FROM v_cited c JOIN (SELECT qid, rank, issue_key, 'summary' AS field, summary AS body FROM v_context
-                       UNION ALL SELECT qid, rank, issue_key, 'description', description FROM v_context) x
+  FROM v_cited c JOIN (SELECT qid, rank, issue_key, 'summary' AS field, summary AS body FROM v_whole_context
+                       UNION ALL SELECT qid, rank, issue_key, 'description', description FROM v_whole_context) x
     ON x.qid = c.qid AND contains(x.body, c.key) WHERE NOT list_contains(c.keys, c.key)) p
   ON p.qid = c.qid AND p.pos = c.pos AND p.n = 1""",
     "v_grades": """
@@ -365,23 +373,23 @@ SELECT qid, head + n - 1, issue_key, round(CASE WHEN kr IS NOT NULL THEN 1.0::DO
   SELECT b.*, least(h.c, 8) AS head, row_number() OVER (PARTITION BY b.qid ORDER BY (kr IS NULL), kr, vr) AS n
   FROM v_both b LEFT JOIN (SELECT qid, count(*) AS c FROM v_vec GROUP BY qid) h ON h.qid = b.qid
   WHERE vr IS NULL OR vr >= 8) WHERE n <= 2""",
-    "overlap_scores": "SELECT qid, issue_key, round(s500, 6) AS pair_score FROM v_scores WHERE rank < 20",
+    "overlap_scores": "SELECT qid, issue_key, round(whole_score, 6) AS pair_score FROM v_scores WHERE rank < 20",
     "routed_rerank": "SELECT qid, rank, issue_key, round(score, 8) AS score, route FROM v_routed WHERE depth = 20",
     "stored_score_rerank": f"""
 SELECT qid, n - 1 AS rank, issue_key, round(score, 8) AS score, 'rerank' AS route FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vr) AS n FROM (
     SELECT *, 1.0::DOUBLE / (61 + vr) + 1.0::DOUBLE / (60 + rr) AS score FROM (
       SELECT s.qid, s.issue_key, s.rank AS vr, row_number() OVER (PARTITION BY s.qid
-        ORDER BY CASE WHEN s.rank < 15 THEN s.s500 ELSE 0 END DESC, s.rank) AS rr
+        ORDER BY CASE WHEN s.project <> 'src3' THEN s.whole_score ELSE 0 END DESC, s.rank) AS rr
       FROM v_scores s JOIN v_forms f ON f.qid = s.qid WHERE s.rank < 20 AND NOT {FILTERED}))) WHERE n <= 10
 UNION ALL SELECT v.qid, v.rank, v.issue_key, round(v.distance, 8), 'filtered'
 FROM v_vec v JOIN v_forms f ON f.qid = v.qid WHERE v.rank < 10 AND {FILTERED}""",
     "pure_rerank": """
-SELECT qid, n - 1 AS rank, issue_key, round(s500, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s500 DESC, rank) AS n FROM v_scores WHERE rank < 20) WHERE n <= 10""",
+SELECT qid, n - 1 AS rank, issue_key, round(whole_score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY whole_score DESC, rank) AS n FROM v_scores WHERE rank < 20) WHERE n <= 10""",
     "pure_rerank_sort_all": """
-SELECT qid, n - 1 AS rank, issue_key, round(s500, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s500 DESC, rank) AS n FROM v_scores) WHERE n <= 10""",
+SELECT qid, n - 1 AS rank, issue_key, round(whole_score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY whole_score DESC, rank) AS n FROM v_scores) WHERE n <= 10""",
     "metrics_per_question": """
 SELECT strategy, qid, type, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10,
   round(mrr, 6) AS mrr, first_rank FROM v_metrics""",
@@ -414,7 +422,7 @@ SELECT weight, qid, n - 1 AS rank, issue_key FROM (
                           "SELECT qid, mrr FROM m WHERE weight = 0"),
     "depth_sweep": sweep("depth", """
 SELECT depth, qid, n - 1 AS rank, issue_key FROM (
-  SELECT *, row_number() OVER (PARTITION BY depth, qid ORDER BY s500 DESC, rank) AS n
+  SELECT *, row_number() OVER (PARTITION BY depth, qid ORDER BY whole_score DESC, rank) AS n
   FROM v_scores JOIN (SELECT unnest([20, 30, 50]) AS depth) ON rank < depth) WHERE n <= 10""",
                          "SELECT qid, mrr FROM v_metrics WHERE strategy = 'summary_desc_filtered'"),
     "routed_depth_sweep": "SELECT depth, qid, rank, issue_key, round(score, 8) AS score, route FROM v_routed WHERE depth <> 15",
@@ -518,9 +526,9 @@ SELECT issue_key, issue_id, project, summary, description, issue_type, priority,
   {stamp('updated')}, {TIME.format('updated')} AS resolutiondate FROM v_newest""",
     "chunk_upsert": """
 SELECT c.issue_key, c.strategy, c.chunk_index,
-  CASE WHEN i.status <> 'O' THEN c.content ELSE substr(w.whole, 1, 8000) END AS content,
+  CASE WHEN i.status <> 'O' THEN c.content ELSE w.whole END AS content,
   CASE WHEN i.status <> 'O' THEN c.token_count ELSE length(w.whole) END AS token_count
-FROM v_contents c JOIN v_issues i ON i.issue_key = c.issue_key
+FROM v_whole_contents c JOIN v_issues i ON i.issue_key = c.issue_key
 JOIN (SELECT issue_key, s.strategy, CASE WHEN s.strategy = 'summary_only' OR description IS NULL THEN lower(summary)
         ELSE concat(lower(summary), chr(10), chr(10), description) END AS whole
       FROM v_issues CROSS JOIN (SELECT unnest(['summary_only', 'summary_desc']) AS strategy) s) w
@@ -545,8 +553,8 @@ SELECT issue_key, strategy FROM v_chunks WHERE issue_key NOT IN (SELECT issue_ke
   WHEN pname = 'Blocker' THEN concat('```json', chr(10), '{"priority":["Blocker"],"issue_type":["Bug","Task"],"open":true,"resolution":null,"created_from":null,"created_to":null,"text_terms":["parser"]}', chr(10), '```')
   WHEN pname = 'Critical' THEN concat('{"priority":"Critical","issue_type":"Improvement","open":null,"resolution":["Fixed","Nonsense"],"created_from":"', y, '-01-01","created_to":"', y + 2, '-01-01","text_terms":"scan"}')
   WHEN pname = 'Major' THEN concat('```', chr(10), '{"priority":["Major","Urgent"],"issue_type":[],"open":false,"created_from":"', y, '-01-01"}', chr(10), '```')
-  WHEN pname = 'Minor' THEN concat('{"issue_type":["Bug"],"priority":["Unknown"],"resolution":["Fixed","Won''t Fix"],"issuetype":"x","created_to":"', y + 2, '-01-01"}')
-  ELSE '{"priority":["Trivial","Minor"],"issue_type":null,"open":null,"text_terms":[]}' END AS response FROM v_questions)
+  WHEN pname = 'Minor' THEN concat('{"issue_type":["Bug"],"priority":["Unknown"],"resolution":["Fixed","Won''t Fix"],"issuetype":"x","created_to":"', y + 2, '-01-01T12:00:00"}')
+  ELSE '{"priority":["Trivial","Minor"],"issue_type":null,"open":null,"created_from":"last year","text_terms":[]}' END AS response FROM v_questions)
 SELECT qid, sha256(concat(sha256(response), '|m1')) AS fingerprint, response = 'No filter is stated.' AS valid FROM r""",
     "uncached_questions": f"""
 SELECT qid FROM v_questions WHERE question NOT IN (SELECT question FROM v_forms f WHERE {FILTERED} AND NOT parse_error)""",

@@ -199,15 +199,15 @@ def routed_rerank(t: Tables) -> DataFrame:
 
 @query
 def stored_score_rerank(t: Tables) -> DataFrame:
-    """Scores are stored for the first 15 candidates only; the other five count as 0."""
-    first = search.vec_of(t.lists).where("rank < 15").select("qid", "issue_key")
-    stored = t.scores.join(first, ["qid", "issue_key"], "left_semi")
+    """Candidates of the project 'src3' have no stored score; they count as 0."""
+    scored_keys = t.issues.where("project <> 'src3'").select("issue_key")
+    stored = t.scores.join(scored_keys, "issue_key", "left_semi")
     hits = fusion.routed(search.vec_of(t.lists), search.route_flags(t.questions), stored)
     return hits.select("qid", "rank", "issue_key", F.round("score", 8).alias("score"), "route")
 
 
 def scored_candidates(t: Tables) -> DataFrame:
-    return search.vec_of(t.lists).where("rank < 50").join(t.scores, ["qid", "issue_key"])
+    return search.vec_of(t.lists).join(t.scores, ["qid", "issue_key"])
 
 
 @query
@@ -328,12 +328,12 @@ def plain_run_check(t: Tables) -> DataFrame:
 
 @query
 def content_strategies(t: Tables) -> DataFrame:
-    return content.all_contents(t.issues)
+    return content.all_contents(t.issues, V.MAX_CONTENT_CHARS)
 
 
 @query
 def content_report(t: Tables) -> DataFrame:
-    return content.content_report(content.all_contents(t.issues))
+    return content.content_report(content.all_contents(t.issues, V.MAX_CONTENT_CHARS))
 
 
 @query
@@ -368,12 +368,12 @@ def query_prefix(t: Tables) -> DataFrame:
 
 @query
 def context_rows(t: Tables) -> DataFrame:
-    return contexts.context_rows(t.hits, t.issues)
+    return contexts.context_rows(t.hits, t.issues, V.CONTEXT_DESC_CHARS)
 
 
 @query
 def prompt_text(t: Tables) -> DataFrame:
-    listed = contexts.context_lists(contexts.context_rows(t.hits, t.issues))
+    listed = contexts.context_lists(contexts.context_rows(t.hits, t.issues, V.CONTEXT_DESC_CHARS))
     return contexts.prompts(t.plain_questions, listed)
 
 
@@ -457,7 +457,7 @@ def gold_kept(t: Tables) -> DataFrame:
 
 @query
 def extra_keys(t: Tables) -> DataFrame:
-    return parse_eval.extra_keys(t.questions, t.issues, t.gold)
+    return parse_eval.extra_keys(t.questions, t.issues, t.gold, V.EXTRA_KEYS_KEPT)
 
 
 @query
@@ -479,7 +479,7 @@ def candidate_rows(t: Tables) -> DataFrame:
 # --- score agreement ----------------------------------------------------------------
 
 def score_pairs(t: Tables) -> DataFrame:
-    return agreement.paired_scores(search.vec_of(t.lists), t.scores, t.wide_scores)
+    return agreement.paired_scores(search.vec_of(t.lists), t.narrow_scores, t.wide_scores)
 
 
 @query

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import values as V
 from lodestone.functions import vector
 from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
@@ -96,7 +97,7 @@ class Tables:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Raw parser responses as JSON text: fenced, bare strings, unknown values, invalid."""
+        """Raw parser responses as JSON text: fenced, bare strings, unknown values, invalid, a bound with a time, a bound that is no date."""
         p, y = F.col("priority_name"), F.col("year").cast("string")
         until = (F.col("year") + 2).cast("string")
         empty = ('{"priority":null,"issue_type":null,"open":null,"resolution":null,'
@@ -112,8 +113,8 @@ class Tables:
                 '```\n{"priority":["Major","Urgent"],"issue_type":[],"open":false,"created_from":"'), y, F.lit('-01-01"}\n```')))
             .when(p == "Minor", F.concat(F.lit(
                 '{"issue_type":["Bug"],"priority":["Unknown"],"resolution":["Fixed","Won\'t Fix"],"issuetype":"x","created_to":"'),
-                until, F.lit('-01-01"}')))
-            .otherwise(F.lit('{"priority":["Trivial","Minor"],"issue_type":null,"open":null,"text_terms":[]}')))
+                until, F.lit('-01-01T12:00:00"}')))
+            .otherwise(F.lit('{"priority":["Trivial","Minor"],"issue_type":null,"open":null,"created_from":"last year","text_terms":[]}')))
         return self._asked.select(
             F.col("item_id").alias("qid"), "question",
             F.when(F.col("type") == "filtered", filtered)
@@ -157,13 +158,18 @@ class Tables:
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Stored pair scores of the first 50 vector candidates (500 description characters)."""
-        return cut_lineage(pair_scores(vec_of(self.lists).where("rank < 50"), self.questions, self.issues, 500))
+        """Stored pair scores of all vector candidates, over whole descriptions."""
+        return cut_lineage(pair_scores(vec_of(self.lists), self.questions, self.issues))
+
+    @cached_property
+    def narrow_scores(self) -> DataFrame:
+        """The same with 500 description characters, one side of the score comparison."""
+        return cut_lineage(pair_scores(vec_of(self.lists), self.questions, self.issues, V.RERANK_DESC_CHARS))
 
     @cached_property
     def wide_scores(self) -> DataFrame:
-        """The same with 1000 description characters."""
-        return cut_lineage(pair_scores(vec_of(self.lists).where("rank < 50"), self.questions, self.issues, 1000))
+        """The same with 1000 description characters, the other side."""
+        return cut_lineage(pair_scores(vec_of(self.lists), self.questions, self.issues, V.OFFLINE_RERANK_DESC_CHARS))
 
     @cached_property
     def contexts(self) -> DataFrame:

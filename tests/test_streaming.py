@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from lodestone import schemas
 from lodestone.operators.merge import upsert_issues
 from lodestone.plans.content import HashingEmbedder
@@ -43,3 +45,45 @@ def test_incremental_ingest_and_embedding(spark, tmp_path):
     batch = upsert_issues(spark.createDataFrame([], schemas.ISSUES), flat, ["start_at", "position"])
     columns = [c for c in issues.columns if c != "ingested_at"]
     assert {tuple(r) for r in issues.select(columns).collect()} == {tuple(r) for r in batch.select(columns).collect()}
+
+
+def test_snapshots_are_numbered_by_the_store(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "issues")
+    landing.mkdir()
+
+    def run(state, **options):
+        ingest.stream_issues(spark, str(landing), root, str(tmp_path / state), **options).awaitTermination()
+        return {(r.issue_key, r.status) for r in ingest.latest_snapshot(spark, root, schemas.ISSUES).collect()}
+
+    for at in range(3):
+        land(landing, f"p{at}.json", at, (f"A-{at}", "one", "Open"), (f"B-{at}", "two", "Open"))
+    assert len(run("s1", max_files=1)) == 6
+    done = ingest.snapshots(spark, root)
+    assert [n for n, _ in done] == [0, 1, 2]
+
+    # the same batch once more: nothing is made
+    stream, batch = done[-1][1][10:].rsplit("-", 1)
+    ingest.add_snapshot(spark, root, schemas.ISSUES, stream, int(batch), lambda before: 1 / 0)
+
+    # a new checkpoint starts at batch 0, but its rows come last
+    land(landing, "p9.json", 9, ("A-0", "one", "Done"))
+    assert ("A-0", "Done") in run("s2") and ingest.snapshots(spark, root)[-1][0] == 3
+
+
+def test_an_issue_merged_after_its_batch_is_still_embedded(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    known = []
+
+    def run():
+        ingest.stream_chunks(spark, str(landing), lambda: issues.where(F.col("issue_key").isin(known)), str(tmp_path / "chunks"),
+                             str(tmp_path / "state"), "summary_desc", lambda: HashingEmbedder(8)).awaitTermination()
+        return {r.issue_key for r in ingest.latest_snapshot(spark, str(tmp_path / "chunks"), schemas.CHUNKS).collect()}
+
+    land(landing, "p0.json", 0, ("A-1", "one", "Open"), ("A-2", "two", "Open"))
+    issues = pages.flatten_pages(pages.read_pages(spark, str(landing)))
+    known = ["A-1"]
+    assert run() == {"A-1"}
+    known = ["A-1", "A-2"]
+    land(landing, "p1.json", 1, ("A-1", "one", "Done"))
+    assert run() == {"A-1", "A-2"}

@@ -25,8 +25,10 @@ def test_content_and_truncation(spark):
     assert got == {"K-1": "Upgrade ZooKeeper\n\nthe zookeeper client, zookeeper again", "K-2": "Shuffle spill",
                    "K-3": "\n\nzookeeper", "K-4": "Zookeeper\n\n"}
     long = spark.createDataFrame([("L", 1, "é" * 9000, None, None, None, None, DAY)], ISSUE)
-    row = content.contents(long, "summary_only").first()
+    row = content.contents(long, "summary_only", 8000).first()
     assert (len(row.content), row.token_count) == (8000, 9000)
+    assert len(content.contents(long, "summary_only").first().content) == 9000
+    assert content.content_report(content.all_contents(long, 8000)).where("strategy = 'summary_only'").first().truncated == 1
     both = content.all_contents(issues)
     assert both.count() == 8 and content.content_report(both).where("strategy = 'summary_only'").first().truncated == 0
 
