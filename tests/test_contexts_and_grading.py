@@ -20,7 +20,8 @@ def listed(spark):
 
 def test_prompt_text(spark):
     asked = spark.createDataFrame([(1, "Which ZooKeeper bumps fixed CVEs?")], "qid int, question string")
-    row = cx.prompts(asked, listed(spark)).first()
+    assert "description=" + "x" * 1501 in cx.prompts(asked, listed(spark)).first().prompt
+    row = cx.prompts(asked, listed(spark), 1500).first()
     assert row.prompt == "\n".join([
         "Question: Which ZooKeeper bumps fixed CVEs?", "", "Jira issues:",
         "1. [SPARK-1] issue_key=SPARK-1; summary=Bump ZooKeeper; status=Resolved; resolution=Fixed; priority=Major; "
