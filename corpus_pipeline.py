@@ -55,10 +55,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     near = near.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     kept = near.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
-    marked = rows.withColumns({"_own": F.coalesce("doc_id", F.lit(-1)), "_text": F.xxhash64("text")})
+    marked = rows.withColumns({"_own": F.coalesce("doc_id", F.lit(-1)), "_text": F.xxhash64("text"), "_none": F.col("doc_id").isNull()})
     kept = kept.select(F.coalesce("_id", F.lit(-1)).alias("_own"), F.col("_digest").alias("_text"), F.col("_id").isNull().alias("_none"))
-    chosen = marked.join(kept, ["_own", "_text"]).where(F.col("doc_id").isNull() == F.col("_none"))
-    return back(chosen.dropDuplicates(["_own", "_text", "_none"]))
+    keys = ["_own", "_text", "_none"]          # made unique and joined by the same columns: texts are shuffled once, a repeated row once a task
+    return back(marked.dropDuplicates(keys).join(kept, keys))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
