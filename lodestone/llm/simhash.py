@@ -7,8 +7,9 @@ vectors of all bits in which they differ, so they agree under that mask: no pair
 
 Equal fingerprints are one node, so a group of copies counts once.  A bucket is searched in the manner of a flood: a fingerprint
 that is linked to one already reached is never compared again, and a bucket returns a link for each fingerprint at most.  Buckets
-over ``BUCKET`` fingerprints are not searched but dealt again by a second family of tables, independent of the first; what shares
-both keys has about a quarter of the bits free, which bounds a bucket however many documents there are.
+over ``BUCKET`` fingerprints are not searched but dealt again by a further family of tables, independent of those before, up to
+``FAMILIES`` in all.  Each leaves about half of the free bits free (masks have ``LEAST`` bits or more), so what shares the keys of
+four has some 4 of 64: that bounds the last buckets, which are searched whole, however many documents there are.
 
 Null texts have no words, like empty ones; texts without words have fingerprint zero and are linked like any other.  Rows with
 null ids take part; a component of such rows alone has no id.  Repeated rows are kept.
@@ -30,11 +31,20 @@ from lodestone.session import cut_lineage
 
 #: Fingerprints that one bucket may have before it is dealt again.
 BUCKET = 20_000
+#: Families of tables by which a bucket is dealt at most, and the fewest bits of a mask.
+FAMILIES, LEAST = 4, 24
+
+
+def _line(text: str) -> bytes:
+    return b" ".join(text.encode().lower().split())       # bytes.split(): blank and 9 to 13
 
 
 def fingerprint(text: str, words: int = 4) -> int:
     """SimHash over runs of ``words`` words, repeats included (fewer words: the whole text; none: zero)."""
-    line = b" ".join(text.encode().lower().split())       # bytes.split(): blank and 9 to 13
+    return _fingerprint(_line(text), words)
+
+
+def _fingerprint(line: bytes, words: int) -> int:
     if not line:
         return 0
     blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
@@ -64,60 +74,67 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, digest (xxhash64 of the text) and fp (the fingerprint as a signed long) of each row."""
-    fields = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())])
+    """doc_id, digest (xxhash64 of the text), fp (the fingerprint) and same (a hash of the words in order) of each row, as signed longs."""
+    fields = pa.schema([(n, pa.int64()) for n in ("doc_id", "digest", "fp", "same")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t.as_py() or "", words) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(made)], schema=fields)
+            lines = [_line(t.as_py() or "") for t in batch.column(2)]
+            made = np.array([_fingerprint(line, words) for line in lines], np.uint64).view(np.int64)
+            same = np.array([xxh64_intdigest(line) for line in lines], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(made), pa.array(same)], schema=fields)
 
-    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, digest long, fp long")
+    return documents.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, digest long, fp long, same long")
 
 
 @lru_cache
 def masks(radius: int, family: int = 0) -> list[int]:
-    """The structured masks of one family, as signed longs."""
+    """The structured masks of one family, as signed longs.
+
+    Vectors come about equally often.  Where there are more than 64, which of them come is drawn until all masks are wide enough.
+    """
     size = 1 << (radius + 1)
     rng = np.random.default_rng([radius, family])
-    vectors = np.concatenate([np.arange(1, size)] * (64 // (size - 1) + 1))[:64]     # each vector about equally often
-    rng.shuffle(vectors)
-    out = []
-    for v in range(1, size):
-        mask = sum(1 << bit for bit, vector in enumerate(vectors.tolist()) if (vector & v).bit_count() % 2)
-        out.append(mask - (1 << 64) if mask >> 63 else mask)
-    return out
+    while True:
+        vectors = np.concatenate([rng.permutation(np.arange(1, size)) for _ in range(64 // (size - 1) + 1)])[:64]
+        rng.shuffle(vectors)
+        out = [sum(1 << bit for bit, vector in enumerate(vectors.tolist()) if (vector & v).bit_count() % 2) for v in range(1, size)]
+        if min(m.bit_count() for m in out) >= LEAST:
+            return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def dealt(nodes: DataFrame, radius: int, family: int, table: str, key: str) -> DataFrame:
-    """A row for each node and table of a family, with the table's number and the masked fingerprint."""
-    tables = F.array(*(F.struct(F.lit(i).cast("long").alias(table), F.col("fp").bitwiseAND(F.lit(m)).alias(key))
-                       for i, m in enumerate(masks(radius, family))))
-    return nodes.select("*", F.inline(tables))
+def dealt(rows: DataFrame, radius: int, family: int) -> DataFrame:
+    """fp and the new bucket, for each row (fp, bucket) and table of a family.
+
+    A bucket is a hash of the old one, the table and the masked fingerprint: should two fall together, both are searched as one.
+    """
+    tables = F.array(*(F.xxhash64("bucket", F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, family))))
+    return rows.select("fp", F.explode(tables).alias("bucket"))
 
 
 def flood(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint, the place of the first one of its linked group inside the bucket."""
-    root = np.full(len(fps), -1, np.int64)
+    """For each fingerprint, the place of the one within the radius from which it was reached (its own for the first of a group)."""
+    reached = np.full(len(fps), -1, np.int64)
     rest = np.arange(len(fps))
     while len(rest):
         seed, rest = rest[0], rest[1:]
-        root[seed] = seed
+        reached[seed] = seed
         queue = [seed]
         while queue and len(rest):
-            near = np.bitwise_count(fps[rest] ^ fps[queue.pop()]) <= radius
+            at = queue.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[at]) <= radius
             if near.any():
-                root[rest[near]] = seed
+                reached[rest[near]] = at
                 queue.extend(rest[near].tolist())
                 rest = rest[~near]
-    return root
+    return reached
 
 
-LINKS = "a long, b long, fp long, table long, key long"
+LINKS = "a long, b long, fp long, bucket long"
 
 
-def links(buckets: DataFrame, keys: list[str], radius: int, limit: int | None) -> DataFrame:
-    """Links a - b inside buckets, a link for each node at most; rows of buckets over ``limit`` come back with their first two keys.
+def links(buckets: DataFrame, radius: int, limit: int | None) -> DataFrame:
+    """Links a - b within the radius inside buckets, one for each node at most; rows of buckets over ``limit`` come back.
 
     Buckets are read one after the other from sorted partitions, and never held beyond ``limit``.
     """
@@ -125,33 +142,29 @@ def links(buckets: DataFrame, keys: list[str], radius: int, limit: int | None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            root = flood(fps, radius)
-            at = np.flatnonzero(root != np.arange(len(root)))
+            reached = flood(fps, radius)
+            at = np.flatnonzero(reached != np.arange(len(reached)))
             if len(at):
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(fps[root[at]].view(np.int64)), pa.array(fps[at].view(np.int64)), none, none, none], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(fps[reached[at]].view(np.int64)), pa.array(fps[at].view(np.int64)), none, none], schema=fields)
 
-        def passed(fps: np.ndarray, key: tuple[int, ...]) -> pa.RecordBatch:
+        def passed(fps: np.ndarray, bucket: int) -> pa.RecordBatch:
             none = pa.nulls(len(fps), pa.int64())
-            own = [pa.array(np.full(len(fps), k, np.int64)) for k in key[:2]]
-            return pa.RecordBatch.from_arrays([none, none, pa.array(fps.view(np.int64)), *own], schema=fields)
+            return pa.RecordBatch.from_arrays([none, none, pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), bucket, np.int64))], schema=fields)
 
         current, held, size, over = None, [], 0, False
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            fps, parts = cols[0].view(np.uint64), cols[1:]
-            change = np.zeros(n, bool)
-            for k in parts:
-                change[1:] |= k[1:] != k[:-1]
-            begins = np.flatnonzero(change)
+            fps, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fps = fps.view(np.uint64)
+            begins = np.flatnonzero(own[1:] != own[:-1]) + 1
             lows, highs = np.append(0, begins), np.append(begins, n)
             some = highs - lows > 1                    # most rows are alone in their bucket
             some[[0, -1]] = True
             for low, high in zip(lows[some].tolist(), highs[some].tolist()):
-                here = tuple(int(k[low]) for k in parts)
+                here = int(own[low])
                 if here != current:
                     if size > 1 and not over:
                         yield from found(np.concatenate(held))
@@ -168,16 +181,20 @@ def links(buckets: DataFrame, keys: list[str], radius: int, limit: int | None) -
         if size > 1 and not over:
             yield from found(np.concatenate(held))
 
-    return buckets.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, LINKS)
+    return buckets.select("fp", "bucket").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, LINKS)
 
 
 def near_links(nodes: DataFrame, radius: int = 4, limit: int = BUCKET) -> DataFrame:
     """Links a - b between different fingerprints (fp) that connect all that lie within ``radius`` of one another."""
-    first = links(dealt(nodes.select("fp"), radius, 0, "table", "key"), ["table", "key"], radius, limit)
-    first = cut_lineage(first)
-    large = dealt(first.where("fp IS NOT NULL"), radius, 1, "table2", "key2")
-    rest = links(large, ["table", "key", "table2", "key2"], radius, None)
-    return first.where("a IS NOT NULL").select("a", "b").union(rest.select("a", "b")).distinct()
+    rows, found = nodes.select("fp", F.lit(0).cast("long").alias("bucket")), None
+    for family in range(FAMILIES):
+        last = family == FAMILIES - 1
+        out = cut_lineage(links(dealt(rows, radius, family), radius, None if last else limit))
+        pairs = out.where("a IS NOT NULL").select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        rows = out.where("fp IS NOT NULL").select("fp", "bucket")
+        if last or rows.isEmpty():
+            return found.distinct()
 
 
 def near_components(documents: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
