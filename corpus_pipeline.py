@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, secrets, setjoin, simhash, toxicity
 from lodestone.llm.common import table
+from lodestone.llm.components import components
 from lodestone.session import cut_lineage
 
 
-#: Bits in which fingerprints over runs of five words may differ in the near-duplicate stage: 127 tables.  Two texts that share 0.8
-#: of their runs differ in about 10 bits on average, for which 64-bit fingerprints would need thousands of tables; the set join of
-#: ``lodestone.llm.setjoin`` finds the links that these tables leave out.
+#: Bits in which fingerprints over runs of five words may differ in the near-duplicate stage: 127 tables.  What they link is a
+#: candidate only.  Two texts that share 0.8 of their runs differ in about 10 bits on average, for which 64-bit fingerprints would
+#: need thousands of tables; the set join of ``lodestone.llm.setjoin`` finds the links that these tables leave out.
 NEAR_BITS = 6
+#: Words of a run.
+NEAR_WORDS = 5
 
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -44,14 +47,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(toxicity.severity(rows, model, rows.columns).where(F.col("chance") < toxicity.CHANCE))
 
 
+def _proposed(near: DataFrame) -> DataFrame:
+    """Pairs of texts (a_digest, b_digest, a_group, b_group) with fingerprints that are equal or linked; one text of each group."""
+    texts = cut_lineage(near.groupBy("group").agg(F.min("digest").alias("digest"), F.min("fp").alias("fp")))
+    one = cut_lineage(texts.groupBy("fp").agg(F.min(F.struct("group", "digest")).alias("one")).select("fp", "one.*"))
+    a, b = (one.select(*(F.col(c).alias(f"{x}_{c}") for c in ("fp", "digest", "group"))) for x in "ab")
+    columns = ["a_digest", "b_digest", "a_group", "b_group"]
+    equal = texts.select(F.col("fp").alias("a_fp"), F.col("digest").alias("b_digest"), F.col("group").alias("b_group")).join(a, "a_fp").where("a_group <> b_group")
+    links = simhash.near_links(one.select("fp"), NEAR_BITS).toDF("a_fp", "b_fp")
+    return cut_lineage(equal.select(columns).union(links.join(a, "a_fp").join(b, "b_fp").select(columns)))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id (nulls last, then by digest).
 
-    Groups are first made by fingerprints, then joined where any two of their texts share 0.8 of their runs of five words.
+    Texts of the same words in order are one, by whatever blanks and whichever case of A-Z; any others, short ones among them,
+    are linked only if their whole sets of five-word runs have a similarity of 0.8.  Fingerprints propose links, of which the
+    similar ones make the first groups; the set join then finds all links that are left between groups.
     """
     rows, back = _apart(docs)
-    near = cut_lineage(simhash.near_components(rows, radius=NEAR_BITS, words=5))
-    names = setjoin.join_groups(rows.select("text", F.xxhash64("text").alias("digest")), near)
+    texts = rows.select("text", F.xxhash64("text").alias("digest"))
+    near = cut_lineage(simhash.fingerprints(rows, NEAR_WORDS)).withColumnRenamed("same", "group")
+    links = setjoin.verified(_proposed(near), texts, NEAR_WORDS)
+    first = components(links).withColumnsRenamed({"node": "group", "component": "first"})
+    near = cut_lineage(near.join(first, "group", "left").select("doc_id", "digest", F.coalesce("first", "group").alias("group")))
+    names = setjoin.join_groups(texts, near, NEAR_WORDS)
     near = near.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     kept = near.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))

@@ -123,7 +123,7 @@ def _named(entries: DataFrame, side: str) -> DataFrame:
     return entries.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("place", "n", "digest", "group")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, share: float = SHARE) -> DataFrame:
     """Links a - b between the groups of pairs whose whole sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +157,8 @@ def join_groups(texts: DataFrame, groups: DataFrame, words: int = 5, share: floa
     after = Window.partitionBy("token").orderBy("n", "digest", "group")
     last = {f"a_{c}": F.lag(c).over(after) for c in ("place", "n", "digest", "group")}
     neighbours = entries.withColumns(last).withColumnsRenamed({c: f"b_{c}" for c in ("place", "n", "digest", "group")})
-    first = cut_lineage(_verified(cut_lineage(_pairs(neighbours, share)), texts, words, share))
+    first = cut_lineage(verified(cut_lineage(_pairs(neighbours, share)), texts, words, share))
     named = cut_lineage(_open(_merged(entries, first), "group"))
     rest = _pairs(_named(named, "a").join(_named(named, "b"), "token"), share)
-    second = _verified(cut_lineage(rest), texts, words, share)
+    second = verified(cut_lineage(rest), texts, words, share)
     return components(first.union(second)).withColumnsRenamed({"node": "group", "component": "joined"})
