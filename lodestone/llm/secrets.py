@@ -2,7 +2,10 @@
 
 The rules find assignments, access keys and hexadecimal runs.  The models add what the rules miss: runs of at least ``CANDIDATE``
 letters, digits and ``+/_=-`` are scored by the log-likelihood ratio of two second-order Markov chains, one trained on strings
-labelled random, the other on strings labelled ordinary.  Runs of digits alone are numbers, not secrets, and are left out.
+labelled random, the other on strings labelled ordinary.  A run that does not pass as a whole is searched: its parts between
+``=`` and ``/``, then between these, ``_`` and ``-``, are scored like runs of their own, and every ``CANDIDATE`` characters in place,
+so that a key behind a long path or name is not diluted.  Digits alone are numbers, not secrets, and are left out, and so are
+digits with ``=/_-+`` where a run is searched.
 
 Null texts count as empty and have no spans.  Places are code points, ends exclusive.  Every row is answered, repeated ones too.
 """
@@ -32,6 +35,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CANDIDATE = 20
 RUNS = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE)
+PARTS = [re.compile(r"[A-Za-z0-9+_-]{%d,}" % CANDIDATE), re.compile(r"[A-Za-z0-9+]{%d,}" % CANDIDATE)]
+NUMBER = re.compile(r"[0-9=/_+-]*")
 #: The mean log-likelihood ratio of a character above which a run counts as random, and the fewest different characters of one.
 RATIO, DIFFERENT = 0.5, 8
 #: Strings of a label that the models are trained on at most, and about how many documents give ordinary ones.
@@ -73,6 +78,10 @@ class Ratio:
         triples, of = _triples(strings)
         return np.bincount(of, self.log[triples], len(strings)) / np.maximum(1, np.bincount(of, minlength=len(strings)))
 
+    def each(self, run: str) -> np.ndarray:
+        """The ratio of every character of one string."""
+        return self.log[_triples([run])[0]].astype(float)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     """(start, number of the kind, kind, end) of the rules' spans, by start and kind."""
@@ -86,16 +95,67 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str]]:
-    """Runs that overlap no span of the rules."""
+    """Runs, without what the spans of the rules cover."""
     out = []
     for m in RUNS.finditer(text):
-        run = m[0]
-        if run.isdigit() or len(set(run)) < DIFFERENT or any(a < m.end() and m.start() < b for a, _, _, b in taken):
-            continue
-        out.append((m.start(), m.end(), run))
+        at, parts = m.start(), []
+        for a, _, _, b in taken:
+            if a < m.end() and m.start() < b:
+                parts.append((at, a))
+                at = max(at, b)
+        out += [(a, b, text[a:b]) for a, b in (*parts, (at, m.end())) if b - a >= CANDIDATE and _can_be(text[a:b])]
     return out
 
 
+def _can_be(run: str) -> bool:
+    return not run.isdigit() and len(set(run)) >= DIFFERENT
+
+
+def stretches(run: str, ratio: Ratio) -> list[tuple[int, int]]:
+    """Ranges of a run, which does not pass as a whole, that count as random."""
+    out: list[tuple[int, int]] = []
+    for cut in PARTS:
+        parts = [(m.start(), m.end()) for m in cut.finditer(run) if m.end() - m.start() < len(run) and _can_be(m[0]) and not NUMBER.fullmatch(m[0])]
+        parts = [(a, b) for a, b in parts if not any(x < b and a < y for x, y in out)]
+        if parts:
+            out += [p for p, s in zip(parts, ratio([run[a:b] for a, b in parts]).tolist()) if s >= RATIO]
+    each = ratio.each(run)
+    sums = np.concatenate(([0.0], np.cumsum(each)))
+    means = (sums[CANDIDATE:] - sums[:-CANDIDATE]) / CANDIDATE
+    open_ = means >= RATIO
+    for a, b in out:
+        open_[max(0, a - CANDIDATE + 1):b] = False
+    at = np.flatnonzero(open_)
+    if len(at):
+        letters = np.sort(np.lib.stride_tricks.sliding_window_view(np.frombuffer(run.encode(), np.uint8), CANDIDATE)[at], axis=1)
+        at = at[(np.diff(letters, axis=1) != 0).sum(axis=1) + 1 >= DIFFERENT]
+    while len(at):
+        # windows that overlap are one; the best stretch of it, widened to the next separator inside it
+        breaks = np.flatnonzero(np.diff(at) >= CANDIDATE)
+        groups = [(int(g[0]), int(g[-1]) + CANDIDATE) for g in np.split(at, breaks + 1)]
+        found = [_best(run, sums, means, low, high) for low, high in groups]
+        out += [span for span in found if not NUMBER.fullmatch(run[slice(*span)])]
+        clear = np.ones(len(at), bool)
+        for a, b in found:
+            clear &= (at + CANDIDATE <= a) | (at >= b)
+        at = at[clear]
+    return sorted(out)
+
+
+def _best(run: str, sums: np.ndarray, means: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """The range of the largest sum of ratios within low..high, widened to separators, and to the best window if it is shorter than one."""
+    part = sums[low:high + 1]
+    floor = np.minimum.accumulate(part)
+    end = int(np.argmax(part - floor))
+    start, end = low + int(np.argmin(part[:end + 1])), low + end
+    start = next((i for i in range(start, low, -1) if run[i - 1] in "=/_-"), low)
+    end = next((i for i in range(end, high) if run[i] in "=/_-"), high)
+    if end - start < CANDIDATE:
+        window = low + int(np.argmax(means[low:high - CANDIDATE + 1]))
+        start, end = min(start, window), max(end, window + CANDIDATE)
+    return start, end
+
+
 _HEX, _RUN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 _RUN[[ord(c) for c in string.ascii_letters + string.digits + "+/_=-"]] = True
@@ -168,7 +228,9 @@ def scan(column: pa.Array, ratio: Ratio) -> list[tuple[list, list]]:
         more = candidates(text, base)
         if more:
             scores = ratio([run for _, _, run in more])
-            extra = [(a, 3, "random", b) for (a, b, _), s in zip(more, scores.tolist()) if s >= RATIO]
+            extra = []
+            for (a, b, run), s in zip(more, scores.tolist()):
+                extra += [(a + x, 3, "random", a + y) for x, y in ([(0, b - a)] if s >= RATIO else stretches(run, ratio))]
         else:
             extra = []
         out[i] = base, sorted(base + extra)
