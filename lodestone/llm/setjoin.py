@@ -7,8 +7,8 @@ n - ceil(share n) + 1 of each, so only these are joined.  The order takes counts
 bounds on length and place, and at last their whole sets are compared.
 
 Texts come in groups that are known to belong together, and a pair inside a group is never looked at.  Links are searched twice:
-first between neighbours of each shingle's sorted list, which joins most groups at the cost of one pair for each entry; then
-between all entries of what still are different groups.
+first between neighbours of each shingle's sorted list, and between its entries and the one that has it in the earliest place,
+which joins most groups at the cost of two pairs for each entry; then between all entries of what still are different groups.
 
 Null, empty and shorter texts have no run and link to nothing.  Repeated rows change nothing.  An empty table gives no links.
 """
@@ -155,8 +155,12 @@ def join_groups(texts: DataFrame, groups: DataFrame, words: int = 5, share: floa
     shared = _open(prefixes(texts, words, share), "digest").distinct()
     entries = cut_lineage(_open(shared.join(cut_lineage(groups.select("digest", "group").distinct()), "digest"), "group"))
     after = Window.partitionBy("token").orderBy("n", "digest", "group")
-    last = {f"a_{c}": F.lag(c).over(after) for c in ("place", "n", "digest", "group")}
-    neighbours = entries.withColumns(last).withColumnsRenamed({c: f"b_{c}" for c in ("place", "n", "digest", "group")})
+    parts = ("place", "n", "digest", "group")
+    last = F.struct(*(F.lag(c).over(after).alias(f"a_{c}") for c in parts))
+    # the entry that has the shingle in the earliest place: the text that copies of a template are most alike
+    hub = F.min(F.struct(*(F.col(c).alias(f"a_{c}") for c in parts))).over(Window.partitionBy("token"))
+    both = entries.withColumns({"last": last, "hub": hub}).select(*(F.col(c).alias(f"b_{c}") for c in parts), F.inline(F.array("last", "hub")))
+    neighbours = both.where("a_digest <> b_digest")
     first = cut_lineage(verified(cut_lineage(_pairs(neighbours, share)), texts, words, share))
     named = cut_lineage(_open(_merged(entries, first), "group"))
     rest = _pairs(_named(named, "a").join(_named(named, "b"), "token"), share)
