@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,8 +69,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables kept inside the block are removed when it ends, but for those made by the function it gives.
+
+    What leaves the block must have been made by that function, or read nothing that the block kept.
+    Blocks can be nested: what an inner one leaves belongs to the outer one.
+    """
+    first, spared = len(_kept), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = cut_lineage(df)
+        spared.append(_kept[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        inside = _kept[first:]
+        _kept[first:] = [name for name in inside if name in spared]
+        _remove(spark, [name for name in inside if name not in spared])
+
+
 def release_kept(spark: SparkSession) -> None:
     """Remove the tables this process kept.  Frames that read them cannot be used afterwards."""
-    while _kept:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    names = _kept[:]
+    _kept.clear()
+    _remove(spark, names)
