@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on (one longer text is a step of its own).
 STEP_BYTES = 1 << 20
@@ -29,6 +30,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The largest table of bits that is sent to the tasks: 16 MB, for eight million hashes at one false hit in sixteen.
+FILTER_BITS = 27
+
+
+class Sieve:
+    """A table of bits, of bounded size, that turns away most hashes which are not among given ones, and none that is.
+
+    It is sized by the number of hashes; beyond its bound it lets more through, so what follows has to decide.
+    """
+
+    def __init__(self, frame: DataFrame, column: str) -> None:
+        """``column`` holds hashes as longs.  Bits are put together by Spark; at most 2^21 words come to the driver."""
+        self.bits = min(FILTER_BITS, max(16, (16 * frame.count()).bit_length()))
+        cell = F.shiftrightunsigned(F.col(column), 64 - self.bits).alias("cell")
+        words = frame.select(cell).select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, CAST(cell & 63 AS INT))").alias("bit"))
+        rows = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        table = np.zeros(1 << (self.bits - 6), np.uint64)
+        table[rows["word"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
+        self.sent = frame.sparkSession.sparkContext.broadcast(table)
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "sent": self.sent}
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes (unsigned) may be among those given."""
+        cell = hashes >> np.uint64(64 - self.bits)
+        return (self.sent.value[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after the other, and the n + 1 places where they begin.  Null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())

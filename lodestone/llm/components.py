@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,10 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     smallest of them.  A hub of many links costs partial sums, not one large group: neighbours are joined with the minimum of
     their node, and no list of neighbours is ever built.  The number of rounds grows with the logarithm of the size.
     """
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    while True:
+    with scratch(links.sparkSession) as keep:
+        edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        if edges.isEmpty():
+            return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")))
+        while True:
+            edges, done = _round(edges)
+            if done:
+                return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")))
+
+
+def _round(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges (node, smaller node) after a large and a small star, and whether every node hangs under one root that hangs under none."""
+    with scratch(edges.sparkSession) as keep:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")))      # a table: hubs of a join with it can be split
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
@@ -26,10 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = cut_lineage(small)
-        # done when every node hangs under one root that hangs under none
-        open_nodes = after.groupBy("u").count().where("count > 1").select("u")
-        roots = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if open_nodes.isEmpty() and roots.isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges = after
+        after = keep(small)
+    open_nodes = after.groupBy("u").count().where("count > 1").select("u")
+    roots = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return after, open_nodes.isEmpty() and roots.isEmpty()

@@ -87,7 +87,7 @@ def one_signature(members, size):
         seed = sm.mixed(np.array([e], np.uint64) ^ sm._FIRST)
         p = list(range(size))
         for j in range(size):
-            drawn = int(sm.mixed(seed + np.uint64(2 * j + 1) * sm._STEP)[0]) >> 12
+            drawn = int(sm.mixed(seed + np.uint64((2 * j + 1) * int(sm._STEP) % (1 << 64)))[0]) >> 12
             k = j + (((int(sm.mixed(seed * sm._PLACE + np.uint64(j))[0]) >> 32) * (size - j)) >> 32)
             p[j], p[k] = p[k], p[j]
             least[p[j]] = min(least[p[j]], (j << 52) | drawn)
@@ -119,3 +119,14 @@ def test_very_long_and_repeated_texts(spark):
     rows = [(1, long, "", "", 0), (2, long + " end", "", "", 0), (3, "z " * 500_000, "", "", 0), (4, "Z z z z", "", "", 0), (5, "z z z", "", "", 0)]
     out = {r.doc_id: r for r in sm.op13_superminhash(frame(spark, rows)).collect()}
     assert [out[i].component_id for i in range(1, 6)] == [1, 1, 3, 3, 5] and out[3].n_shingles == 1
+
+
+def test_sketches_never_differ_in_more_cells_than_the_sets_in_members():
+    rng = np.random.default_rng(4)
+    for n, m, both in [(1, 1, 0), (5, 5, 4), (300, 280, 250), (3000, 3000, 100)]:
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + m)).astype(np.uint64))[:n + m - both]
+        a, b = pool[:n], pool[n - both:]
+        x, y = sm.sketches(np.concatenate([a, b]), np.repeat([0, 1], [n, m]), 2)
+        assert int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * both
+        if 100 * both >= 80 * (n + m - both):
+            assert sm.may_be_alike(np.array(n), np.array(m), np.bitwise_count(x ^ y).sum(dtype=np.int64))
