@@ -123,13 +123,13 @@ _FILLED[[32, *range(9, 14)]] = False
 class Words:
     """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of lower-cased (A-Z) texts, as byte ranges with hashes.
 
-    With ``blanks``, the words are what blanks separate instead: ``[^\\x20\\x09-\\x0D]+``.
+    With ``blanks``, the words are what blanks separate instead: ``[^\\x20\\x09-\\x0D]+``; ``inside`` gives the bytes of a word in any other way.
     ``starts``, ``ends``: byte ranges.  ``of``: the text of each word.  ``first``: n + 1 places in the words where texts begin.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, blanks: bool = False) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, blanks: bool = False, inside: np.ndarray | None = None) -> None:
         self.data = data = _LOWER[data]
-        inside = (_FILLED if blanks else _WORD)[data]
+        inside = (inside if inside is not None else _FILLED if blanks else _WORD)[data]
         start, end = inside.copy(), inside.copy()
         if len(data):
             start[1:] &= ~inside[:-1]

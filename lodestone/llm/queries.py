@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, decontaminate, merkle, quality, repeats, secrets, sharding, simhash, superminhash, toxicity
+from lodestone.llm import bpe, chat, collocations, decontaminate, merkle, nra, quality, repeats, secrets, sharding, simhash, superminhash, toxicity
 from lodestone.llm.common import table
 
 
@@ -25,7 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": _over(simhash.op8_simhash, "documents"),
     "op9_jump_sharding": _over(sharding.op9_jump_sharding, "documents"),
     "op10_repeated_passages": _over(repeats.op10_repeated_passages, "documents"),
+    "op11_nra_search": _over(nra.op11_nra_search, "documents", "benchmark"),
+    "op12_collocations": _over(collocations.op12_collocations, "documents"),
     "op13_superminhash": _over(superminhash.op13_superminhash, "documents"),
 }
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op13_superminhash": superminhash.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_chat_formatting": chat.ORACLE, "op11_nra_search": nra.ORACLE, "op12_collocations": collocations.ORACLE, "op13_superminhash": superminhash.ORACLE,
+}
