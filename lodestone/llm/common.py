@@ -19,14 +19,15 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-#: Rows of an Arrow batch: texts of some kilobytes each make a few megabytes.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch: texts of some kilobytes each make a few megabytes, long ones no more.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data.  Batches of Spark's default size, ten thousand rows, would hold too much text: they are made smaller."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from cases import documents, frame, words
 
@@ -41,26 +42,38 @@ def got(spark, rows, items, k=20, **more):
     return sorted((tuple(r) for r in nra.ranked(frame(spark, rows), frame(spark, items, ITEMS, 3), k, **more).collect()), key=repr)
 
 
-@pytest.mark.parametrize("k,tiers", [(20, nra.TIERS), (3, (0.01, 0.02, 0.05, 0.1, 0.3, 0.9)), (1, ())])
-def test_nra_ranks_like_a_plain_scan(spark, k, tiers):
+@pytest.mark.parametrize("k,shard,block", [(20, nra.SHARD, nra.BLOCK), (3, 8, 30)])
+def test_nra_ranks_like_a_plain_scan(spark, monkeypatch, k, shard, block):
+    monkeypatch.setattr(nra, "SHARD", shard)
+    monkeypatch.setattr(nra, "FIRST", 2)
     rng = random.Random(k)
     rows = documents(seed=k, n=80) + [(200 + i, " ".join(rng.choices(["the", "of", "a", *"bcdefghijklmnop"], weights=[30, 20, 10, *range(1, 16)], k=rng.randint(1, 60))), "en", "s", 0)
                                       for i in range(150)]
     items = [(1, "the of a"), (2, rows[3][1]), (3, "b c the The THE"), (4, None), (5, "zzz notthere"), (6, "!!"), (7, "k"), (7, "k"), (8, words(rng, 40)), (None, "of d")]
-    assert got(spark, rows, items, k, tiers=tiers) == brute(rows, items, k)
-
-
-def test_reading_stops_before_the_lists_end(spark, monkeypatch):
-    """A planted passage is resolved by a part of the lists once its documents hold every term of it."""
-    rng = random.Random(4)
-    passage = " ".join(f"w{i}" for i in range(12))
-    rows = [(i, passage, "", "", 0) for i in range(6)] + [(10 + i, " ".join(rng.choices([f"w{j}" for j in range(12)], k=2)) + " " + words(rng, 60), "", "", 0) for i in range(300)]
-    reads = []
-    kept = nra.top_rows
-    monkeypatch.setattr(nra, "top_rows", lambda *a, **b: (reads.append(1), kept(*a, **b))[1])
-    out = got(spark, rows, [(1, passage)], 3)
-    assert out == brute(rows, [(1, passage)], 3)
-    assert len(reads) - 1 < len(nra.TIERS) + 1
+    assert got(spark, rows, items, k, block=block) == brute(rows, items, k)
+
+
+def test_intervals_resolve_like_full_sums_and_stop_early():
+    rng = np.random.default_rng(5)
+    saved = 0
+    for trial in range(200):
+        size, k = int(rng.integers(1, 400)), int(rng.integers(1, 12))
+        lists = []
+        for _ in range(rng.integers(1, 8)):
+            docs = rng.permutation(size)[: rng.integers(1, size + 1)].astype(np.uint32)
+            gain = np.sort(rng.integers(1, 10 ** rng.integers(1, 9), len(docs)))[::-1].astype(np.int64)
+            lists.append((docs, gain, int(rng.integers(1, 4))))
+        full = np.zeros(size, np.int64)
+        for docs, gain, c in lists:
+            full[docs] += gain * c
+        kth = max(1, np.sort(full)[::-1][k - 1] if size >= k else 1)
+        floor = int(rng.choice([0, kth, kth // 2]))
+        docs, score, read = nra.nra(lists, size, k, floor)
+        want = np.flatnonzero(full >= kth)
+        assert set(want) <= set(docs.tolist()) and (score == full[docs]).all()
+        assert (np.sort(score)[::-1][:k] == np.sort(full[full > 0])[::-1][:k]).all()
+        saved += sum(len(g) for _, g, _ in lists) - read
+    assert saved > 0
 
 
 def test_ties_copies_and_clashing_columns(spark):
