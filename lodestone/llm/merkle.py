@@ -2,30 +2,34 @@
 
 Paragraphs are lines.  A section ends at a blank line, or where a paragraph's digest says so (one in eight), so that an edit moves
 no later section.  A paragraph's digest is BLAKE2b of its bytes, a section's of its paragraphs' digests, the root's of its
-sections' digests: equal roots mean equal texts.  Below a paragraph lie pieces of a few words, cut at blanks where the bytes
-before them say so; they are compared only inside paragraphs that differ.
+sections' digests: equal roots mean equal texts.  Below the paragraphs lie pieces of a few words with a 64-bit digest each, cut after line
+ends, after blanks where the bytes before them say so (one in four), and, where no blank has come for ``STRETCH`` bytes, at any byte
+where they say so (one in ``STRETCH`` / 2): an edit changes only the pieces around it, in texts without blanks too.
+
+A tree holds digests and sizes, no text.  The likeness of two trees is twice the bytes of pieces that both have by the bytes of both;
+paragraphs that differ are found from the sections that do.  Trees can be stored as bytes and compared later.
 
 Null texts count as empty; the empty text has a fingerprint of its own.  Repeated rows get equal fingerprints.  Very long texts
-take time in proportion to their length.
+take time in proportion to their length.  An empty table gives no rows; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mixed, powers
+from lodestone.llm.common import mixed, prefix_hashes, range_hashes
 
-#: Bytes before a blank that decide whether a piece ends there, and one in how many blanks ends one.
-PIECE_CONTEXT, PIECE_BLANKS = 8, 4
+#: Bytes before a place that decide whether a piece ends there, one in how many blanks ends one, and bytes without a blank from which any byte can.
+CONTEXT, BLANKS, STRETCH = 8, 4, 32
 SECTION_PARAGRAPHS = 8
 
 
@@ -33,84 +37,94 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def pieces(paragraph: bytes) -> list[bytes]:
-    """Runs of a few words; equal surroundings are cut alike."""
-    data = np.frombuffer(paragraph, np.uint8)
-    blanks = np.flatnonzero(data == 32)
-    blanks = blanks[blanks >= PIECE_CONTEXT]
-    if not len(blanks):
-        return [paragraph] if paragraph else []
-    weights = powers(PIECE_CONTEXT + 1)
-    seen = np.zeros(len(blanks), np.uint64)
-    for i in range(PIECE_CONTEXT):
-        seen += data[blanks - 1 - i] * weights[i + 1]
-    cuts = [0, *(blanks[mixed(seen) % np.uint64(PIECE_BLANKS) == 0] + 1).tolist(), len(paragraph)]
-    return [paragraph[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+def piece_ends(data: np.ndarray) -> np.ndarray:
+    """Where the pieces of a text end; equal surroundings are cut alike."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    ends = [np.flatnonzero(data == 10) + 1, np.array([n])]
+    if n > CONTEXT:
+        seen = np.ndarray((n - CONTEXT,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))      # the bytes before place CONTEXT + i
+        seen = mixed(seen.astype(np.uint64))
+        blank = np.flatnonzero(data[CONTEXT:] == 32)
+        ends.append(blank[seen[blank] % np.uint64(BLANKS) == 0] + CONTEXT + 1)
+        at = np.arange(n)
+        since = at - np.maximum.accumulate(np.where((data == 32) | (data == 10), at, -1))
+        bare = np.flatnonzero(since[CONTEXT:] > STRETCH)
+        ends.append(bare[seen[bare] % np.uint64(STRETCH // 2) == 0] + CONTEXT)
+    return np.unique(np.concatenate(ends))
 
 
 @dataclass
 class Tree:
     root: str
     sections: list[bytes]
-    #: Paragraph digests with their bytes, by section.
-    paragraphs: list[list[tuple[bytes, bytes]]] = field(repr=False)
+    #: Paragraph digests, by section.
+    paragraphs: list[list[bytes]] = field(repr=False)
+    #: Digests of the different pieces, sorted, with the bytes and the number of each.
+    pieces: np.ndarray = field(repr=False)
+    sizes: np.ndarray = field(repr=False)
+    counts: np.ndarray = field(repr=False)
     size: int = 0
 
+    def stored(self) -> bytes:
+        return pickle.dumps(astuple(self))
+
+    @staticmethod
+    def restored(data: bytes) -> Tree:
+        return Tree(*pickle.loads(data))
+
 
 def tree(text: bytes) -> Tree:
-    """Build all levels down to the paragraphs."""
-    groups: list[list[tuple[bytes, bytes]]] = [[]]
+    """Build all levels."""
+    groups: list[list[bytes]] = [[]]
     for line in text.split(b"\n"):
         node = _digest(line)
-        groups[-1].append((node, line))
-        if not line.strip() or node[0] % SECTION_PARAGRAPHS == 0:
+        groups[-1].append(node)
+        if node[0] % SECTION_PARAGRAPHS == 0 or not line.strip():
             groups.append([])
     groups = [g for g in groups if g]
-    sections = [_digest(b"section" + b"".join(node for node, _ in g)) for g in groups]
-    return Tree(_digest(b"root" + b"".join(sections)).hex(), sections, groups, len(text) + 1)
-
-
-def _only(left: Tree, right: Tree) -> tuple[Counter, Counter]:
-    """Paragraphs of each side without a partner, found from the sections that differ."""
-    same = Counter(left.sections) & Counter(right.sections)
-    out = []
-    for t in (left, right):
-        skip, rest = same.copy(), Counter()
-        for node, group in zip(t.sections, t.paragraphs):
-            if skip[node] > 0:
-                skip[node] -= 1
-            else:
-                rest.update(line for _, line in group)
-        out.append(rest)
-    return out[0] - out[1], out[1] - out[0]
+    sections = [_digest(b"section" + b"".join(g)) for g in groups]
+    data = np.frombuffer(text, np.uint8)
+    ends = piece_ends(data)
+    starts = np.append(0, ends[:-1])[:len(ends)]
+    digests = range_hashes(prefix_hashes(data), starts, ends) if len(ends) else np.zeros(0, np.uint64)
+    pieces, first, counts = np.unique(digests, return_index=True, return_counts=True)
+    return Tree(_digest(b"root" + b"".join(sections)).hex(), sections, groups, pieces, (ends - starts)[first], counts, len(text))
 
 
 def likeness(left: Tree, right: Tree) -> float:
-    """Twice the bytes in common branches by the bytes of both, from 0 to 1."""
+    """Twice the bytes in pieces that both have by the bytes of both, from 0 to 1."""
     if left.root == right.root:
         return 1.0
-    a, b = _only(left, right)
-    lost_a, lost_b = (sum((len(line) + 1) * n for line, n in c.items()) for c in (a, b))
-    counts = []
-    for c in (a, b):
-        each: Counter = Counter()
-        for line, n in c.items():
-            for p in pieces(line):
-                each[xxhash.xxh3_64_intdigest(p), len(p)] += n
-        counts.append(each)
-    found = sum(min(n, counts[1][key]) * key[1] for key, n in counts[0].items() if key in counts[1])
-    same = (left.size - lost_a) + (right.size - lost_b) + 2 * found
-    return min(1.0, same / (left.size + right.size))
+    if not len(left.pieces) or not len(right.pieces):
+        return 0.0
+    at = np.minimum(np.searchsorted(right.pieces, left.pieces), len(right.pieces) - 1)
+    same = right.pieces[at] == left.pieces
+    common = int((np.minimum(left.counts, right.counts[at]) * left.sizes)[same].sum())
+    return 2 * common / (left.size + right.size)
 
 
 def differing(left: Tree, right: Tree) -> list[int]:
     """Which paragraphs of ``right`` are new, by number: the branches that locate an edit."""
-    _, new = _only(left, right)
+    if left.root == right.root:
+        return []
+    same = Counter(left.sections) & Counter(right.sections)
+    sides = []
+    for t in (left, right):
+        skip, rest = same.copy(), Counter()
+        for node, group in zip(t.sections, t.paragraphs):
+            if skip[node] > 0:
+                skip[node] -= 1
+            else:
+                rest.update(group)
+        sides.append(rest)
+    new = sides[1] - sides[0]
     out, at = [], 0
     for group in right.paragraphs:
-        for _, line in group:
-            if new[line] > 0:
-                new[line] -= 1
+        for node in group:
+            if new[node] > 0:
+                new[node] -= 1
                 out.append(at)
             at += 1
     return out
