@@ -7,7 +7,7 @@ counts are for each language (null: ``und``).
 piece and jumps where a piece ends.  A document's occurrences are one row of it, sorted by place, as columns of packed numbers.  It is
 written as a table, and so is each further one.  To get phrases of length k, the relation of length k - 1 is merge-joined with itself one
 place ahead, inside its rows, since both sides are sorted alike: the first k - 1 words and the last k - 1 words both have to be occurrences that are
-left.  Their groups are counted (in the tasks, then by ``groupBy``), those of ``least`` or more are frequent, and the occurrences of
+left.  Their groups are counted (in the tasks first, whose counts go by hash to buckets and are added up there), those of ``least`` or more are frequent, and the occurrences of
 frequent groups are semi-joined into the next relation, with the words that they cover.  The semi-join asks a table of bits (of bounded size)
 for the frequent groups: it never turns a frequent one away, and an occurrence that it lets through for nothing is counted, exactly, and falls at
 the next count.  No occurrence is shuffled; only counts are.
@@ -19,7 +19,7 @@ part of a frequent phrase is frequent), and the lowest cut counts.  Phrases beco
 first ``top`` of their language, ties included.
 
 Empty and null texts have no words, repeated rows count each time, an empty table gives no rows.  A text of any length is one row of a relation
-(12 bytes a word).  Columns besides text and lang are not read.
+(9 bytes a word).  Columns besides text and lang are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from lodestone.session import cut_lineage, scratch
 
 #: Occurrences a candidate has to have, words of the longest, candidates of a language, share (percent) of a shorter phrase inside a longer one.
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2_000, 80
-#: Different groups that a task holds before it hands their counts on.
-HELD = 1 << 19
+#: Different groups that a task holds before it hands their counts on, and buckets of groups for each shuffle partition.
+HELD, BUCKETS = 1 << 20, 4
+#: Buckets over which the groups of one first word are spread.
+SPLITS = 8
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
@@ -50,7 +52,7 @@ class Tally:
 
     def __init__(self) -> None:
         self.langs: dict[str, int] = {}
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []     # (columns: language, words), counts
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []     # columns: language and words, sorted by hash; counts
         self.size = 0
 
     def codes(self, langs: pa.Array) -> np.ndarray:
@@ -61,35 +63,44 @@ class Tally:
         if columns.shape[1]:
             self.held.append(_summed(columns, np.ones(columns.shape[1], np.int64)))
             self.size += self.held[-1][0].shape[1]
-        if self.size > HELD:
-            self._merge()
-
-    def _merge(self) -> None:
-        if len(self.held) > 1:
-            self.held = [_summed(*(np.concatenate(x, axis=-1) for x in zip(*self.held)))]
-        self.size = sum(c.shape[1] for c, _ in self.held)
-
-    def rows(self, all_of_it: bool) -> Iterator[tuple[pa.Array, list[pa.Array], pa.Array]]:
-        """Languages, words and counts: all, or nothing while there is room."""
-        if all_of_it:
-            self._merge()
-        if self.held and (all_of_it or self.size > HELD // 2):
-            names = pa.array(list(self.langs), pa.string())
-            for columns, n in self.held:
-                for low in range(0, len(n), 50_000):
-                    part = columns[:, low:low + 50_000]
-                    yield names.take(pa.array(part[0].astype(np.int64))), [pa.array(c.view(np.int64)) for c in part[1:]], pa.array(n[low:low + 50_000])
+
+    def rows(self, buckets: int, all_of_it: bool) -> Iterator[pa.RecordBatch]:
+        """Counts packed by language and bucket of the group's hash: all, or none while there is room."""
+        if not self.held or not (all_of_it or self.size > HELD):
+            return
+        columns, n = _summed(*(np.concatenate(x, axis=-1) for x in zip(*self.held)))
+        self.held, self.size = [(columns, n)], len(n)
+        if all_of_it or self.size > HELD // 2:
             self.held, self.size = [], 0
+            names = list(self.langs)
+            # groups with a first word in common share ``SPLITS`` buckets, and stand together there: they pack well
+            split = mixed(columns[-1]) % np.uint64(SPLITS if len(columns) > 2 else 1)
+            bucket = mixed(columns[1] + split) % np.uint64(buckets)
+            order = np.lexsort((*columns[:0:-1], columns[0], bucket))
+            columns, n, bucket = columns[:, order], n[order], bucket[order]
+            edges = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (columns[0, 1:] != columns[0, :-1]), [True]))).tolist()
+            for low in range(0, len(edges) - 1, 64):
+                part = list(zip(edges[low:low + 64], edges[low + 1:low + 65]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(bucket[a]) for a, _ in part], pa.int64()), pa.array([names[int(columns[0, a])] for a, _ in part], pa.string()),
+                    pa.array([columns[1:, a:b].tobytes() for a, b in part], pa.binary()), pa.array([n[a:b].tobytes() for a, b in part], pa.binary())],
+                    names=["bucket", "lang", "words", "n"])
+
+
+PACKED = "bucket long, lang string, words binary, n binary"
 
 
 def _summed(columns: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different columns and their sums.  A group whose hash others share may come out in parts, which the next sum puts together."""
-    order = np.argsort(group_hash(columns[0], columns[1:]), kind="stable")
-    columns = columns[:, order]
+    """Different columns and their sums.  They are sorted by a hash, and by themselves if two that differ share one."""
+    key = group_hash(columns[0], columns[1:])
+    order = np.argsort(key, kind="stable")
     new = np.ones(len(n), bool)
-    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0)
+    new[1:] = (columns[:, order[1:]] != columns[:, order[:-1]]).any(axis=0)
+    if (new[1:] & (key[order[1:]] == key[order[:-1]])).any():
+        order = np.lexsort(columns)
+        new[1:] = (columns[:, order[1:]] != columns[:, order[:-1]]).any(axis=0)
     begins = np.flatnonzero(new)
-    return columns[:, begins], np.add.reduceat(n[order], begins)
+    return columns[:, order[begins]], np.add.reduceat(n[order], begins)
 
 
 def group_hash(lang: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -99,21 +110,55 @@ def group_hash(lang: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-FIRST = "lang string, ids binary, places binary, word string, id long, n long"
-RELATION = "lang string, ids binary, places binary, alive binary"
+def _buckets(frame: DataFrame) -> int:
+    return BUCKETS * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def summed(packed: DataFrame, k: int, least: int) -> DataFrame:
+    """lang, w1 .. wk and f of groups with ``least`` or more, from packed counts: a task holds the groups of one bucket at a time."""
+    names = [f"w{i + 1}" for i in range(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                columns = np.concatenate([p[0] for p in parts], axis=1)
+                columns, n = _summed(np.concatenate([np.zeros((1, columns.shape[1]), np.uint64), columns]), np.concatenate([p[1] for p in parts]))
+                many = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(many.sum()), pa.string()), *(pa.array(c[many].view(np.int64)) for c in columns[1:]), pa.array(n[many])],
+                                                 names=["lang", *names, "f"])
+
+        for batch in batches:
+            for bucket, lang, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    yield from out()
+                    now, held = bucket, {}
+                held.setdefault(lang, []).append((np.frombuffer(words, np.uint64).reshape(k, -1), np.frombuffer(n, np.int64)))
+        yield from out()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "f long"]))
+
+
+FIRST = "lang string, ids binary, steps binary, word string, id long, bucket long, words binary, n binary"
+_FIRST = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("steps", pa.binary()), ("word", pa.string()), ("id", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()),
+                    ("n", pa.binary())])
+RELATION = "lang string, ids binary, steps binary, alive binary"
 
 
 def occurrences(documents: DataFrame, family: int = 0) -> DataFrame:
-    """The first relation (lang, ids, places), one row a document; counts (lang, id, n) of a task's words; and words (word, id) that it met."""
-    fields = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("places", pa.binary()), ("word", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
-    swap = np.random.default_rng(family).permutation(256).astype(np.uint8)
+    """The first relation (lang, ids, steps), one row a document; packed counts (bucket, lang, words, n) of words; and words (word, id) that a task met.
+
+    A step is how far a place lies behind the one before: 1, or 2 for any more.
+    """
+    swap, buckets = np.random.default_rng(family).permutation(256).astype(np.uint8), _buckets(documents)
 
     def of(size: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in fields], schema=fields)
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _FIRST], schema=_FIRST)
 
     def counted(tally: Tally, all_of_it: bool) -> Iterator[pa.RecordBatch]:
-        for lang, (ids,), n in tally.rows(all_of_it):
-            yield of(len(n), lang=lang, id=ids, n=n)
+        for rows in tally.rows(buckets, all_of_it):
+            yield of(rows.num_rows, **dict(zip(rows.schema.names, rows.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, met = Tally(), set()
@@ -126,7 +171,7 @@ def occurrences(documents: DataFrame, family: int = 0) -> DataFrame:
                     continue
                 ids = found.hashes if not family else range_hashes(prefix_hashes(swap[found.data]), found.starts, found.ends)
                 breaks = np.cumsum(_BREAK[found.data], dtype=np.int64)[found.starts]
-                places = np.arange(len(ids)) + np.cumsum(np.append(0, np.diff(breaks) > 0))
+                ahead = np.append(1, 1 + (np.diff(breaks) > 0)).astype(np.uint8)
                 tally.add(np.stack([codes[low + found.of], ids]))
                 one, first = np.unique(ids, return_index=True)
                 new = [(i, at) for i, at in zip(one.view(np.int64).tolist(), first.tolist()) if i not in met]
@@ -137,7 +182,7 @@ def occurrences(documents: DataFrame, family: int = 0) -> DataFrame:
                         met.clear()
                 own = [(r, a, b) for r, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist())) if b > a]
                 yield of(len(own), lang=batch.column(1).take(pa.array([low + r for r, _, _ in own])), ids=pa.array([ids[a:b].tobytes() for _, a, b in own]),
-                         places=pa.array([(places[a:b] - places[a]).astype(np.uint32).tobytes() for _, a, b in own]))
+                         steps=pa.array([ahead[a:b].tobytes() for _, a, b in own]))
                 yield from counted(tally, False)
         yield from counted(tally, True)
 
@@ -148,12 +193,12 @@ class _Joined:
     """Rows of a relation of length k - 1, merge-joined with themselves one place ahead: where phrases of k words begin."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, frequent: Sieve | None) -> None:
-        """Columns: lang, its hash, ids, places and, from the second relation on, alive; before that, ``frequent`` tells which words are."""
+        """Columns: lang, its hash, ids, steps and, from the second relation on, alive; before that, ``frequent`` tells which words are."""
         sizes = np.array([len(x) // 8 for x in (v.as_buffer() for v in batch.column(2))], np.int64)
         self.first = np.append(0, np.cumsum(sizes))
         self.of = np.repeat(np.arange(len(sizes)), sizes)
         self.ids = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-        self.places = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32)
+        self.places = np.cumsum(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8), dtype=np.int64)
         self.lang = batch.column(1).to_numpy().view(np.uint64)[self.of]
         alive = frequent.passes(group_hash(self.lang, self.ids[None])) if frequent else np.frombuffer(b"".join(batch.column(4).to_pylist()), bool)
         next_one = (self.of[1:] == self.of[:-1]) & (self.places[1:] == self.places[:-1] + 1)
@@ -162,24 +207,19 @@ class _Joined:
 
 
 def joined_counts(relation: DataFrame, k: int, frequent: Sieve | None) -> DataFrame:
-    """lang, w1 .. wk and n: how often each phrase of k words occurs, in parts."""
-    names = [f"w{i + 1}" for i in range(k)]
+    """Packed counts of the phrases of k words."""
+    buckets = _buckets(relation)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-
-        def out(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-            for lang, words, n in tally.rows(all_of_it):
-                yield pa.RecordBatch.from_arrays([lang, *words, n], names=["lang", *names, "n"])
-
         for batch in batches:
             if batch.num_rows:
                 rows = _Joined(batch, k, frequent)
                 tally.add(np.concatenate([tally.codes(batch.column(0))[rows.of[rows.at]][None], rows.words]))
-                yield from out(False)
-        yield from out(True)
+                yield from tally.rows(buckets, False)
+        yield from tally.rows(buckets, True)
 
-    return relation.mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "n long"]))
+    return relation.mapInArrow(run, PACKED)
 
 
 def joined_relation(relation: DataFrame, k: int, before: Sieve | None, frequent: Sieve) -> DataFrame:
@@ -195,11 +235,12 @@ def joined_relation(relation: DataFrame, k: int, before: Sieve | None, frequent:
             for t in range(k):
                 covered[at + t] = True
             left = np.append(0, np.cumsum(covered))[rows.first]
-            ids, places, alive = rows.ids[covered], rows.places[covered], alive[covered]
+            ids, alive = rows.ids[covered], alive[covered]
+            ahead = np.clip(np.diff(rows.places[covered], prepend=0), 1, 2).astype(np.uint8)
             own = [(r, a, b) for r, (a, b) in enumerate(zip(left[:-1].tolist(), left[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array([r for r, _, _ in own], pa.int64())),
-                *(pa.array([column[a:b].tobytes() for _, a, b in own], pa.binary()) for column in (ids, places, alive))], names=["lang", "ids", "places", "alive"])
+                *(pa.array([column[a:b].tobytes() for _, a, b in own], pa.binary()) for column in (ids, ahead, alive))], names=["lang", "ids", "steps", "alive"])
 
     return relation.mapInArrow(run, RELATION)
 
@@ -214,36 +255,34 @@ def _sieve(groups: DataFrame, k: int) -> Sieve:
     return Sieve(cut_lineage(groups.select(F.xxhash64("lang"), *(f"w{i + 1}" for i in range(k))).mapInArrow(run, "hash long")), "hash")
 
 
-def _frequent(counts: DataFrame, k: int, least: int) -> DataFrame:
-    keys = ["lang", *(f"w{i + 1}" for i in range(k))]
-    return cut_lineage(counts.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-
-
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent phrases (lang, phrase as an array of word hashes, f), the words (id, word), and for each lang n, its number of words."""
+    columns = ["lang", F.xxhash64("lang"), "ids", "steps"]
     with scratch(documents.sparkSession) as keep:
-        for family in range(1000):
-            whole = cut_lineage(occurrences(documents, family))
-            words = keep(whole.where("word IS NOT NULL").groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("other")))
-            if words.where("word <> other").isEmpty():
-                break
-        counts = cut_lineage(whole.where("id IS NOT NULL AND word IS NULL").groupBy("lang", F.col("id").alias("w1")).agg(F.sum("n").alias("n")))
-        sizes = keep(counts.groupBy("lang").agg(F.sum("n").alias("n")))
-        found = [_frequent(counts, 1, least)]
-        relation = whole.where("ids IS NOT NULL").select("lang", F.xxhash64("lang"), "ids", "places")
-        before = _sieve(found[0], 1)
-        for k in range(2, longest + 1):
-            found.append(_frequent(joined_counts(relation, k, before), k, least))
-            if k == longest:
-                break
-            frequent = _sieve(found[-1], k)
-            relation = cut_lineage(joined_relation(relation, k, before, frequent)).select("lang", F.xxhash64("lang"), "ids", "places", "alive")
-            before = None
-        phrases = None
-        for k, groups in enumerate(found, 1):
-            part = groups.select("lang", F.array(*(f"w{i + 1}" for i in range(k))).alias("phrase"), "f")
-            phrases = part if phrases is None else phrases.union(part)
-        return keep(phrases), words.drop("other"), sizes
+        with scratch(documents.sparkSession) as stay:
+            for family in range(1000):
+                whole = cut_lineage(occurrences(documents, family))
+                words = stay(whole.where("word IS NOT NULL").select("id", "word").repartition("id").groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("other")))
+                if words.where("word <> other").isEmpty():
+                    break
+            counts = cut_lineage(summed(whole.where("bucket IS NOT NULL").select("bucket", "lang", "words", "n"), 1, 1))
+            sizes = stay(counts.groupBy("lang").agg(F.sum("f").alias("n")))
+            found = [stay(counts.where(F.col("f") >= least))]
+            words = stay(words.drop("other").join(found[0].select(F.col("w1").alias("id")).distinct(), "id", "left_semi"))
+            relation = whole.where("ids IS NOT NULL").select(*columns)
+            before = _sieve(found[0], 1)
+            for k in range(2, longest + 1):
+                with scratch(documents.sparkSession) as further:
+                    found.append(further(summed(joined_counts(relation, k, before), k, least)))
+                    if k < longest:
+                        relation = further(joined_relation(relation, k, before, _sieve(found[-1], k))).select(*columns, "alive")
+                        before = None
+            phrases = None
+            for k, groups in enumerate(found, 1):
+                part = groups.select("lang", F.array(*(f"w{i + 1}" for i in range(k))).alias("phrase"), "f")
+                phrases = part if phrases is None else phrases.union(part)
+            phrases = stay(phrases)
+        return keep(phrases), keep(words), keep(sizes)
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, inside: int = INSIDE) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from cases import documents, frame
+from pyspark.sql import functions as F
 
 from lodestone.llm import collocations as co
 
@@ -66,7 +67,7 @@ def test_another_hash_is_taken_when_two_words_share_one(spark):
     def clashing(documents, family=0):
         seen.append(family)
         whole = first(documents, family)
-        return whole if family else whole.union(whole.where("word = 'the'").limit(1).selectExpr("lang", "ids", "places", "'other' AS word", "id", "n"))
+        return whole if family else whole.union(whole.where("word = 'the'").limit(1).withColumn("word", F.lit("other")))
 
     co.occurrences = clashing
     try:
