@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on (one longer text is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 #: An odd base: powers of it have inverses modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: A second one, for hashes that have nothing to do with those of the first.
+OTHER = 0xD1342543DE82EF95
+OTHER_INVERSE = pow(OTHER, -1, 1 << 64)
 
 
 #: Rows and bytes of an Arrow batch: texts of some kilobytes each make a few megabytes, long ones no more.
@@ -79,7 +82,7 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         low = high
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(size: int, base: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
@@ -92,16 +95,16 @@ def powers(size: int, base: int = BASE) -> np.ndarray:
     return (_powers(room, base) if room <= 2 * STEP_BYTES else _powers.__wrapped__(size, base))[:size]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Sums of byte x BASE^place before each place: the polynomial hash of any range in two look-ups."""
+def prefix_hashes(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Sums of byte x base^place before each place: the polynomial hash of any range in two look-ups."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base), out=out[1:])
     return out
 
 
-def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, inverse: int = BASE_INVERSE) -> np.ndarray:
     """Hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
-    return mixed((prefix[ends] - prefix[starts]) * powers(len(prefix), BASE_INVERSE)[starts])
+    return mixed((prefix[ends] - prefix[starts]) * powers(len(prefix), inverse)[starts])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -12,11 +12,13 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier
    suffixes by a stable mergesort.  Two suffixes are compared by their longest common extension, found by binary search over
    prefix polynomial hashes in log2(100) steps.  Neighbours that agree are compared byte by byte; groups where a hash was wrong
    are sorted by their bytes.
-4. Grams with more than ``MEMBERS`` different segments are not sorted in one task: their windows, whole, become keys of a grouping.
+4. A gram with more than ``MEMBERS`` different segments is dealt again: its segments are cut where the distance of window and anchor
+   passes a multiple of ``BLOCK``, and each part goes with those of the same distances; should a part still be shared by too many, its
+   windows go by their bytes' hash, of equal ones in a batch only the first.  What has been dealt again is sorted in the same way.
 
-Hashes of whole segments are compared only between segments whose gram agrees, that is 64 bits twice.  Matches never cross
+Whole segments count as equal if their grams (64 bits) and two hashes of the whole with different bases (128 bits) agree.  Matches never cross
 documents.  Null texts count as empty, a null id comes before all others.  Rows that share a doc_id are not earlier than each
-other; each is judged by smaller ids and by itself.  Very long texts are worked on in overlapping pieces.
+other; each is judged by smaller ids and by itself.  Very long texts are worked on in overlapping pieces.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,21 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BASE_INVERSE, STEP_BYTES, mixed, powers, prefix_hashes, range_hashes, steps, text_bytes
+from lodestone.llm.common import BASE, BASE_INVERSE, OTHER, OTHER_INVERSE, STEP_BYTES, mixed, powers, prefix_hashes, range_hashes, steps, text_bytes
 from lodestone.session import cut_lineage
 
 LENGTH, GRAM = 100, 32
-#: Different segments of one gram that a task sorts; windows that it sorts at once.
-MEMBERS, SORTED = 2048, 300_000
+#: Different segments of one gram that a task holds; windows that it sorts at once; distances that stay together when a gram is dealt again.
+MEMBERS, SORTED, BLOCK = 1 << 15, 300_000, 8
 
 _LOW = -(1 << 63)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Gram hash, text, first window, last window, anchor and hash of all segments (places in ``data``)."""
+    """Gram hash, text, first window, last window, anchor and two hashes of all segments (places in ``data``)."""
     width = LENGTH - GRAM + 1
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums, at = prefix_hashes(data), np.arange(len(data) - GRAM + 1)
     grams = range_hashes(sums, at, at + GRAM)
     # smallest by 38 bits of hash, then leftmost: the place is part of the value
@@ -63,7 +65,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first, last = first[:len(last)], last[:len(first)]
     low, high, anchor = starts[first], starts[last], anchor[first]
     whole = mixed(range_hashes(sums, low, high + LENGTH) + ((anchor - low) * 256 + high - low).astype(np.uint64))
-    return grams[anchor], text[first], low, high, anchor, whole
+    other = range_hashes(prefix_hashes(data, OTHER), low, high + LENGTH, OTHER_INVERSE)
+    return grams[anchor], text[first], low, high, anchor, whole, other
 
 
 def later(group: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -80,12 +83,12 @@ def later(group: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.nda
 
 
 #: kind 0: bytes start .. end of a document go.  kind 1: a segment.  window = first window, shape = (anchor - window) x 256 + windows - 1.
-FOUND = "kind int, gram long, whole long, doc long, version long, window int, shape int"
-_FOUND = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("whole", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("window", pa.int32()), ("shape", pa.int32())])
+FOUND = "kind int, gram long, whole long, other long, doc long, version long, window int, shape int"
+_FOUND = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("whole", pa.int64()), ("other", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("window", pa.int32()), ("shape", pa.int32())])
 
 
-def _rows(kind: int, gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, version: np.ndarray, window: np.ndarray, shape: np.ndarray) -> pa.RecordBatch:
-    columns = [np.full(len(doc), kind, np.int32), gram.view(np.int64), whole.view(np.int64), doc, version, window.astype(np.int32), shape.astype(np.int32)]
+def _rows(kind: int, gram: np.ndarray, whole: np.ndarray, other: np.ndarray, doc: np.ndarray, version: np.ndarray, window: np.ndarray, shape: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(doc), kind, np.int32), gram.view(np.int64), whole.view(np.int64), other.view(np.int64), doc, version, window.astype(np.int32), shape.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=_FOUND)
 
 
@@ -96,7 +99,8 @@ def _ranges(doc: np.ndarray, version: np.ndarray, low: np.ndarray, high: np.ndar
     first = np.flatnonzero(new)
     top = np.maximum.reduceat(high, first) if len(first) else high
     doc, version, low = doc[first], version[first], low[first]
-    return _rows(0, mixed(doc.view(np.uint64)), np.zeros(len(doc), np.uint64), doc, version, low, top)
+    none = np.zeros(len(doc), np.uint64)
+    return _rows(0, mixed(doc.view(np.uint64)), none, none, doc, version, low, top)
 
 
 def found_segments(rows: DataFrame) -> DataFrame:
@@ -113,17 +117,17 @@ def found_segments(rows: DataFrame) -> DataFrame:
                 for shift in range(0, max(size, 1), piece):
                     low, high = base + shift, min(base + shift + piece + LENGTH - 1, base + size)
                     inner = np.clip(offsets[a:b + 1], low, high) - low
-                    gram, text, first, last, anchor, whole = segments(data[low:high], inner)
+                    gram, text, first, last, anchor, whole, other = segments(data[low:high], inner)
                     if not len(gram):
                         continue
                     doc, version = ids[0][a + text], ids[1][a + text]
                     origin = offsets[a + text] - low
-                    order = np.lexsort((first, version, doc, whole, gram))
-                    gram, first, last, anchor, whole, doc, version, origin = (x[order] for x in (gram, first, last, anchor, whole, doc, version, origin))
-                    same = np.cumsum(np.concatenate(([True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]))))
+                    order = np.lexsort((first, version, doc, other, whole, gram))
+                    gram, first, last, anchor, whole, other, doc, version, origin = (x[order] for x in (gram, first, last, anchor, whole, other, doc, version, origin))
+                    same = np.cumsum(np.concatenate(([True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1]))))
                     gone = later(same, doc, version, first)
                     keep = ~gone
-                    yield _rows(1, gram[keep], whole[keep], doc[keep], version[keep], (first - origin)[keep], ((anchor - first) * 256 + last - first)[keep])
+                    yield _rows(1, gram[keep], whole[keep], other[keep], doc[keep], version[keep], (first - origin)[keep], ((anchor - first) * 256 + last - first)[keep])
                     if gone.any():
                         parts = [x[gone] for x in (doc, version, first - origin, last - origin + LENGTH)]
                         order = np.lexsort((parts[2], parts[1], parts[0]))
@@ -136,7 +140,7 @@ def equal_segments(found: DataFrame) -> DataFrame:
     """Of equal segments all but the first become ranges; segments that share a gram with different ones stay (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram_now = whole_now = None                    # where the last batch ended
+        gram_now = whole_now = other_now = None        # where the last batch ended
         first_doc = block = None                       # of the segment: its first document; document, version and start of the last
         several, held = False, None                    # whether the gram has several segments; its rows while it has one
         for batch in batches:
@@ -144,15 +148,15 @@ def equal_segments(found: DataFrame) -> DataFrame:
             done = columns[0] == 0
             if done.any():
                 yield batch.filter(pa.array(done))
-            gram, whole, doc, version, window, shape = (c[~done] for c in columns[1:])
+            gram, whole, other, doc, version, window, shape = (c[~done] for c in columns[1:])
             n = len(gram)
             if not n:
                 continue
             new_gram, new = np.ones(n, bool), np.ones(n, bool)
             new_gram[1:] = gram[1:] != gram[:-1]
-            new[1:] = new_gram[1:] | (whole[1:] != whole[:-1])
+            new[1:] = new_gram[1:] | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])
             new_gram[0] = gram_now != gram[0]
-            new[0] = new_gram[0] or whole_now != whole[0]
+            new[0] = new_gram[0] or whole_now != whole[0] or other_now != other[0]
             own = new.copy()
             own[1:] |= (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
             own[0] = new[0] or block[:2] != (doc[0], version[0])
@@ -172,7 +176,7 @@ def equal_segments(found: DataFrame) -> DataFrame:
             stay = ~gone
             out = stay & (kinds[group] > 1)
             if out.any():
-                yield _rows(1, *(c[out] for c in (gram, whole, doc, version, window, shape)))
+                yield _rows(1, *(c[out] for c in (gram, whole, other, doc, version, window, shape)))
             if gone.any():
                 order = np.lexsort((window[gone], version[gone], doc[gone]))
                 low = window[gone].astype(np.int64)
@@ -180,11 +184,11 @@ def equal_segments(found: DataFrame) -> DataFrame:
             several = bool(kinds[group[-1]] > 1)
             if not several:
                 last = stay & (group == group[-1])
-                more = _rows(1, *(c[last] for c in (gram, whole, doc, version, window, shape)))
+                more = _rows(1, *(c[last] for c in (gram, whole, other, doc, version, window, shape)))
                 held = more if held is None else pa.concat_batches([held, more])
-            gram_now, whole_now, first_doc, block = gram[-1], whole[-1], lead[-1], (doc[-1], version[-1], start[-1])
+            gram_now, whole_now, other_now, first_doc, block = gram[-1], whole[-1], other[-1], lead[-1], (doc[-1], version[-1], start[-1])
 
-    order = ["gram", "whole", "doc", "version", "window"]
+    order = ["gram", "whole", "other", "doc", "version", "window"]
     return found.repartition("gram").sortWithinPartitions(*order).mapInArrow(run, FOUND)
 
 
@@ -248,6 +252,23 @@ def repeated_windows(data: np.ndarray, first: np.ndarray, shape: np.ndarray, gro
     segment = np.repeat(np.arange(len(first)), count)
     number = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
     distance = number - (shape >> 8)[segment]
+    suffixes, found = Suffixes(data), []
+    by_distance = np.argsort(distance, kind="stable") if len(segment) > 2 * SORTED else np.arange(len(segment))
+    edges = np.append(np.flatnonzero(np.diff(distance[by_distance], prepend=1000)), len(segment)) if len(segment) > 2 * SORTED else np.array([0, len(segment)])
+    low = 0
+    while low < len(edges) - 1:                        # a large gram is sorted some distances at a time
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + SORTED, "right")) - 1)
+        at = by_distance[edges[low]:edges[high]]
+        found.append(_repeated(suffixes, segment[at], number[at], distance[at], first, group, doc, version, window))
+        low = high
+    segment, number = (np.concatenate(x) for x in zip(*found)) if found else (segment, number)
+    order = np.lexsort((number, segment))
+    return segment[order], number[order]
+
+
+def _repeated(suffixes: Suffixes, segment: np.ndarray, number: np.ndarray, distance: np.ndarray, first: np.ndarray, group: np.ndarray, doc: np.ndarray,
+              version: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for some of the windows."""
     # only windows at the same distance from the anchor can agree
     order = np.lexsort((number, segment, distance, group[segment]))
     segment, number, key = segment[order], number[order], (group[segment] * 256 + distance + 128)[order]
@@ -260,7 +281,6 @@ def repeated_windows(data: np.ndarray, first: np.ndarray, shape: np.ndarray, gro
         return segment[:0], number[:0]
     low = np.repeat(np.cumsum(size) - size, size)
     high = low + np.repeat(size, size)
-    suffixes = Suffixes(data)
     start = first[segment] + number
     sorted_ = suffixes.sort(start, low, high)
     same = np.zeros(len(sorted_), bool)
@@ -282,9 +302,7 @@ def repeated_windows(data: np.ndarray, first: np.ndarray, shape: np.ndarray, gro
         run = np.cumsum(~same)
     segment, number = segment[sorted_], number[sorted_]
     gone = later(run, doc[segment], version[segment], window[segment] + number)
-    segment, number = segment[gone], number[gone]
-    order = np.lexsort((number, segment))
-    return segment[order], number[order]
+    return segment[gone], number[gone]
 
 
 FETCHED = "gram long, doc long, version long, window int, shape int, bytes binary"
@@ -314,7 +332,7 @@ SORTED_ROWS = f"{RANGES}, gram long, window int, shape int, bytes binary"
 _SORTED_ROWS = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), *list(_FETCHED)[0:1], *list(_FETCHED)[3:]])
 
 
-def sorted_segments(segments_: DataFrame, members: int = MEMBERS) -> DataFrame:
+def sorted_segments(segments_: DataFrame, members: int | None) -> DataFrame:
     """Ranges found by suffix sort, gram by gram; segments of grams with more than ``members`` are passed on (gram is not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +378,7 @@ def sorted_segments(segments_: DataFrame, members: int = MEMBERS) -> DataFrame:
                     yield passed(part)
                     continue
                 mine.append(part)
-                if size > members:
+                if members is not None and size > members:
                     over = True
                     for p in mine:
                         yield passed(p)
@@ -373,25 +391,67 @@ def sorted_segments(segments_: DataFrame, members: int = MEMBERS) -> DataFrame:
     return segments_.repartition("gram").sortWithinPartitions("gram", "doc", "version", "window").mapInArrow(run, SORTED_ROWS)
 
 
-def grouped_windows(segments_: DataFrame) -> DataFrame:
-    """Ranges of segments whose gram is too frequent for one task: their windows, whole, are keys of a grouping."""
-    n = F.explode(F.sequence(F.lit(0), F.col("shape").bitwiseAND(255))).alias("n")
-    rows = segments_.select("doc", "version", "window", "bytes", n)
-    each = rows.select("doc", "version", (F.col("window") + F.col("n")).alias("low"), F.expr(f"substring(bytes, n + 1, {LENGTH})").alias("key"))
-    starts = each.groupBy("key", "doc", "version").agg(F.min("low").alias("_start"))
-    docs = starts.groupBy("key").agg(F.min("doc").alias("_doc"))
-    known = each.join(starts, ["key", "doc", "version"]).join(docs, "key")
-    return known.where("doc > _doc OR low > _start").select("doc", "version", "low", (F.col("low") + LENGTH).alias("high"))
+def dealt_again(segments_: DataFrame, block: int) -> DataFrame:
+    """Segments cut into parts of ``block`` distances, under a gram of their own; with 1, windows under the hash of their bytes.
 
-
-def repeated_ranges(rows: DataFrame) -> DataFrame:
+    Of equal windows in a batch only the first goes on, the others are ranges.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, doc, version, window, shape = (batch.column(i).to_numpy() for i in range(5))
+            count, ahead = (shape & 255) + 1, (shape >> 8).astype(np.int64)
+            row = np.repeat(np.arange(len(gram)), count)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            part = (number - ahead[row] + LENGTH) // block
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(new)
+            row, part, low = row[at], part[at], number[at]
+            high = number[np.append(at[1:], len(number)) - 1]
+            data, starts = text_bytes(batch.column(5))
+            key = mixed(gram.view(np.uint64)[row] * np.uint64(BASE) + part.astype(np.uint64))
+            begin = starts[row] + low
+            if block == 1:
+                key = mixed(key + range_hashes(prefix_hashes(data), begin, begin + LENGTH))
+            where = window[row] + low
+            keep = np.ones(len(row), bool)
+            if block == 1:
+                second = range_hashes(prefix_hashes(data, OTHER), begin, begin + LENGTH, OTHER_INVERSE)
+                order = np.lexsort((where, version[row], doc[row], second, key))
+                same = np.cumsum(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(second[order]) != 0))))
+                keep[order] = ~later(same, doc[row][order], version[row][order], where[order])
+                gone = ~keep
+                none = [pa.nulls(int(gone.sum()), f.type) for f in list(_SORTED_ROWS)[4:]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row][gone]), pa.array(version[row][gone]), pa.array(where[gone].astype(np.int32)),
+                                                  pa.array((where[gone] + LENGTH).astype(np.int32)), *none], schema=_SORTED_ROWS)
+            row, low, high, begin, key, where = (x[keep] for x in (row, low, high, begin, key, where))
+            whole = data.tobytes()
+            cut = [whole[a:b] for a, b in zip(begin.tolist(), (begin + high - low + LENGTH).tolist())]
+            none = pa.nulls(len(row), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc[row]), pa.array(version[row]), none, none, pa.array(key.view(np.int64)), pa.array(where.astype(np.int32)),
+                pa.array(((ahead[row] - low) * 256 + high - low).astype(np.int32)), pa.array(cut, pa.binary())], schema=_SORTED_ROWS)
+
+    return segments_.select("gram", "doc", "version", "window", "shape", "bytes").mapInArrow(run, SORTED_ROWS)
+
+
+def repeated_ranges(rows: DataFrame, members: int = MEMBERS) -> DataFrame:
     """Byte ranges to remove (doc, version, low, high), not merged, of rows (doc, version, text)."""
+    columns = ["gram", "doc", "version", "window", "shape", "bytes"]
     known = cut_lineage(equal_segments(found_segments(rows)))
-    whole = known.where("kind = 0").select("doc", "version", F.col("window").alias("low"), F.col("shape").alias("high"))
-    parts = cut_lineage(sorted_segments(fetched(rows, known.where("kind = 1").select("gram", "doc", "version", "window", "shape"))))
-    frequent = parts.where("gram IS NOT NULL").select("doc", "version", "window", "shape", "bytes")
-    out = whole.unionByName(parts.where("gram IS NULL").select("doc", "version", "low", "high"))
-    return out if frequent.isEmpty() else out.unionByName(grouped_windows(frequent))
+    out = known.where("kind = 0").select("doc", "version", F.col("window").alias("low"), F.col("shape").alias("high"))
+    parts = cut_lineage(sorted_segments(fetched(rows, known.where("kind = 1").select("gram", "doc", "version", "window", "shape")), members))
+    for block in (BLOCK, 1):
+        out = out.unionByName(parts.where("gram IS NULL").select("doc", "version", "low", "high"))
+        crowded = parts.where("gram IS NOT NULL")
+        if crowded.isEmpty():
+            return out
+        dealt = cut_lineage(dealt_again(crowded, block))
+        out = out.unionByName(dealt.where("gram IS NULL").select("doc", "version", "low", "high"))
+        parts = cut_lineage(sorted_segments(dealt.where("gram IS NOT NULL").select(columns), members if block > 1 else None))
+    return out.unionByName(parts.where("gram IS NULL").select("doc", "version", "low", "high"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

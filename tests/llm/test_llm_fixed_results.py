@@ -324,7 +324,7 @@ def brute_removed(data):
 
 @pytest.mark.parametrize("members, step", [(2048, 2 << 20), (2, 2 << 20), (2048, 1500)])
 def test_repeated_passages(spark, monkeypatch, members, step):
-    monkeypatch.setattr(repeats.sorted_segments, "__defaults__", (members,))
+    monkeypatch.setattr(repeats.repeated_ranges, "__defaults__", (members,))
     monkeypatch.setattr(repeats, "STEP_BYTES", step)
     monkeypatch.setattr(repeats.steps, "__defaults__", (step,))
     data = documents() + [(1000 + i, t, "", "", 0) for i, t in enumerate(column("text", "documents"))]
