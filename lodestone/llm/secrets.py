@@ -2,7 +2,9 @@
 
 The rules find assignments, access keys and hexadecimal runs.  The models add what the rules miss: runs of at least ``CANDIDATE``
 letters, digits and ``+/_=-`` are scored by the log-likelihood ratio of two second-order Markov chains, one trained on strings
-labelled random, the other on strings labelled ordinary.  A run that does not pass as a whole is searched: its parts between
+labelled random (what the rules match, and strings drawn from the alphabets of keys), the other on ordinary ones: the character triples
+of all words of all documents, counted in the tasks, and identifiers put together from words.  The counts of words enter with a fixed weight, so
+that the smoothing is the same at every size; only the strings that are drawn are bounded, those of the least hashes.  A run that does not pass as a whole is searched: its parts between
 ``=`` and ``/``, then between these, ``_`` and ``-``, are scored like runs of their own, and every ``CANDIDATE`` characters in place,
 so that a key behind a long path or name is not diluted.  Digits alone are numbers, not secrets, and are left out, and so are
 digits with ``=/_-+`` where a run is searched.
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import text_bytes
-from lodestone.session import cut_lineage
+from lodestone.llm.common import prefix_hashes, range_hashes, steps, text_bytes
+from lodestone.session import cut_lineage, scratch
 
 # The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,8 +41,8 @@ PARTS = [re.compile(r"[A-Za-z0-9+_-]{%d,}" % CANDIDATE), re.compile(r"[A-Za-z0-9
 NUMBER = re.compile(r"[0-9=/_+-]*")
 #: The mean log-likelihood ratio of a character above which a run counts as random, and the fewest different characters of one.
 RATIO, DIFFERENT = 0.5, 8
-#: Strings of a label that the models are trained on at most, and about how many documents give ordinary ones.
-SAMPLE_STRINGS, SAMPLE_DOCUMENTS = 20_000, 2_000
+#: Strings of a label that are drawn at most; characters that the words of all documents count for.
+SAMPLE_STRINGS, WORD_CHARACTERS = 20_000, 80_000
 
 _SYMBOLS = string.ascii_letters + string.digits + "+/_.=-"
 _PLACE = np.zeros(256, np.int64)
@@ -57,22 +59,26 @@ def _triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((ids[:-2] * _SIZE + ids[1:-1]) * _SIZE + ids[2:])[inner], of[2:][inner]
 
 
+def _counts(strings: list[str]) -> np.ndarray:
+    return np.bincount(_triples(strings)[0], minlength=_SIZE ** 3) if strings else np.zeros(_SIZE ** 3, np.int64)
+
+
 class Chain:
-    """A second-order chain, smoothed by the first-order one, which is smoothed by equal chances."""
+    """A second-order chain of counts of triples, smoothed by the first-order one, which is smoothed by equal chances."""
 
-    def __init__(self, strings: list[str]) -> None:
-        triples, _ = _triples(strings) if strings else (np.zeros(0, np.int64), None)
-        three = np.bincount(triples, minlength=_SIZE ** 3).reshape(_SIZE, _SIZE, _SIZE).astype(float)
+    def __init__(self, counts: np.ndarray) -> None:
+        three = counts.reshape(_SIZE, _SIZE, _SIZE).astype(float)
         two = three.sum(axis=0)
         first = (two + 0.5) / (two.sum(axis=1, keepdims=True) + 0.5 * _SIZE)
         self.log = np.log((three + 4 * first[None]) / (three.sum(axis=2, keepdims=True) + 4)).ravel()
 
 
 class Ratio:
-    """Log-likelihood ratio of random to ordinary, by character."""
+    """Log-likelihood ratio of random to ordinary, by character, from samples (string, whether random) and counts of ordinary triples."""
 
-    def __init__(self, samples: list[tuple[str, bool]]) -> None:
-        self.log = (Chain([s for s, secret in samples if secret]).log - Chain([s for s, secret in samples if not secret]).log).astype(np.float32)
+    def __init__(self, samples: list[tuple[str, bool]], ordinary: np.ndarray | float = 0.0) -> None:
+        secret, plain = (_counts([s for s, is_secret in samples if is_secret == side]) for side in (True, False))
+        self.log = (Chain(secret).log - Chain(plain + ordinary).log).astype(np.float32)
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         triples, of = _triples(strings)
@@ -96,14 +102,23 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 def candidates(text: str, taken: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str]]:
     """Runs, without what the spans of the rules cover."""
-    out = []
+    covered: list[list[int]] = []
+    for a, _, _, b in taken:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, nearest = [], 0
     for m in RUNS.finditer(text):
-        at, parts = m.start(), []
-        for a, _, _, b in taken:
-            if a < m.end() and m.start() < b:
-                parts.append((at, a))
-                at = max(at, b)
-        out += [(a, b, text[a:b]) for a, b in (*parts, (at, m.end())) if b - a >= CANDIDATE and _can_be(text[a:b])]
+        at, end = m.start(), m.end()
+        while nearest < len(covered) and covered[nearest][1] <= at:
+            nearest += 1
+        parts, k = [], nearest
+        while k < len(covered) and covered[k][0] < end:
+            parts.append((at, covered[k][0]))
+            at = covered[k][1]
+            k += 1
+        out += [(a, b, text[a:b]) for a, b in (*parts, (at, end)) if b - a >= CANDIDATE and _can_be(text[a:b])]
     return out
 
 
@@ -182,38 +197,99 @@ def _worth(column: pa.Array) -> np.ndarray:
     return rows
 
 
-def labelled_strings(documents: DataFrame, strings: int = SAMPLE_STRINGS, rows: int = SAMPLE_DOCUMENTS, seed: int = 5) -> list[tuple[str, bool]]:
-    """Samples to train on, at most ``strings`` a label: (string, whether it is random).
-
-    Ordinary ones are words of about ``rows`` documents, picked by a hash of doc_id, alone and joined the way identifiers are.
-    Random ones are what the rules match there, and strings drawn from the alphabets of keys.
-    """
-    total = documents.count()
-    picked = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // rows))) == 0).select("text")
-    word = re.compile(r"[A-Za-z][a-z]+")
+def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the words ``[A-Za-z][a-z]+`` of some texts."""
+    lower = (data >= 97) & (data <= 122)
+    start, end = lower.copy(), lower.copy()
+    if len(data):
+        start[1:] &= ~lower[:-1]
+        end[:-1] &= ~lower[1:]
+        some = np.diff(offsets) > 0
+        first, last = offsets[:-1][some], offsets[1:][some] - 1
+        start[first], end[last] = lower[first], lower[last]
+    begins, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    before = np.maximum(begins - 1, 0)
+    capital = (data[before] >= 65) & (data[before] <= 90) & (begins > 0) if len(data) else np.zeros(0, bool)
+    if len(begins):
+        capital &= offsets[np.searchsorted(offsets, begins, "right") - 1] != begins
+    begins = begins - capital
+    long = ends - begins >= 2
+    return begins[long], ends[long]
+
+
+def _word_triples(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts of the character triples of the words."""
+    length = ends - begins
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    ids = _PLACE[data[np.repeat(begins, length) + place]]
+    one, two = np.append(0, ids[:-1]), np.append([0, 0], ids[:-2])[:len(ids)]
+    return np.bincount((np.where(place > 1, two, 0) * _SIZE + np.where(place > 0, one, 0)) * _SIZE + ids, minlength=_SIZE ** 3)
+
+
+class _Least:
+    """The strings of the least hashes."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.kept, self.bound = most, {}, 1 << 64
+
+    def add(self, key: int, value: str) -> None:
+        if key < self.bound:
+            self.kept[key] = value
+            if len(self.kept) > 2 * self.most:
+                self.kept = dict(sorted(self.kept.items())[:self.most])
+                self.bound = max(self.kept)
+
+
+def corpus_strings(documents: DataFrame, strings: int = SAMPLE_STRINGS) -> tuple[np.ndarray, list[str], list[str]]:
+    """Counts of the triples of all words of all documents; words, and strings that the rules match, of the least hashes, ``strings`` / 2 at most."""
+    fields = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("string", pa.string())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words, matched = np.zeros(_SIZE ** 3, np.int64), _Least(strings // 2), _Least(strings // 2)
         for batch in batches:
-            found: set[tuple[str, bool]] = set()
-            for text in batch.column(0).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                found.update((ASSIGN.match(text[a:b])[2] if kind == "assign" else text[a:b], True) for a, _, kind, b in spans)
-                found.update((w, False) for w in word.findall(text))
-            out = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([k for _, k in out], pa.bool_())], names=["string", "secret"])
-
-    each = cut_lineage(picked.mapInArrow(gather, "string string, secret boolean").distinct())
-    by_hash = lambda secret: each.where(F.col("secret") == secret).orderBy(F.xxhash64("string"), "string").limit(strings // 2)
-    found = [(r[0], r[1]) for r in by_hash(True).union(by_hash(False)).collect()]
+            data, offsets = text_bytes(batch.column(0))
+            for low, high in steps(offsets):
+                part, ends_at = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+                begins, ends = word_ranges(part, ends_at)
+                if len(begins):
+                    total += _word_triples(part, begins, ends)
+                    keys, first = np.unique(range_hashes(prefix_hashes(part), begins, ends), return_index=True)
+                    for key, at in zip(keys[:strings].tolist(), first[:strings].tolist()):
+                        if key >= words.bound:
+                            break
+                        words.add(key, part[begins[at]:ends[at]].tobytes().decode())
+            for i in np.flatnonzero(_worth(batch.column(0))).tolist():
+                text = batch.column(0)[i].as_py() or ""
+                for a, _, kind, b in base_spans(text):
+                    found = ASSIGN.match(text[a:b])[2] if kind == "assign" else text[a:b]
+                    matched.add(int.from_bytes(hashlib.blake2b(found.encode(), digest_size=8).digest(), "little"), found)
+        at = np.flatnonzero(total)
+        rows = [(0, at, total[at], [None] * len(at)), *((k, np.array(list(x.kept), np.uint64).view(np.int64), np.zeros(len(x.kept), np.int64), list(x.kept.values()))
+                                                        for k, x in ((1, words), (2, matched)))]
+        for kind, key, n, values in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), pa.array(values, pa.string())], schema=fields)
+
+    with scratch(documents.sparkSession):
+        each = cut_lineage(documents.select("text").mapInArrow(gather, "kind int, key long, n long, string string"))
+        sums = each.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(_SIZE ** 3, np.int64)
+        total[sums["key"].to_numpy()] = sums["n"].to_numpy()
+        # the tasks ordered by unsigned hashes
+        least = [each.where(F.col("kind") == k).select("key", "string").distinct().orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "string").limit(strings // 2) for k in (1, 2)]
+        return total, *([r[1] for r in found.collect()] for found in least)
+
+
+def labelled_strings(words: list[str], matched: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> list[tuple[str, bool]]:
+    """Strings to train on: (string, whether it is random).  Ordinary ones are words joined the way identifiers are; random ones are what the
+    rules match, and strings drawn from the alphabets of keys."""
     rng = random.Random(seed)
-    words = sorted(s for s, secret in found if not secret) or ["name"]
+    words = sorted(words) or ["name"]
     joins = (lambda a: "_".join(a), lambda a: "-".join(a), lambda a: "/".join(a), lambda a: "".join(w.capitalize() for w in a),
              lambda a: "_".join(a).upper(), lambda a: f"{'_'.join(a)}_{rng.randrange(100)}")
     made = [(rng.choice(joins)([w.lower() for w in rng.choices(words, k=rng.randint(2, 4))]), False) for _ in range(strings // 2)]
     alphabets = ("0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
     drawn = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 44))), True) for _ in range(strings // 2)]
-    return found + made + drawn
+    return [(s, True) for s in sorted(matched)] + made + drawn
 
 
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -238,7 +314,8 @@ def scan(column: pa.Array, ratio: Ratio) -> list[tuple[list, list]]:
 
 
 def trained(documents: DataFrame) -> Ratio:
-    return Ratio(labelled_strings(documents))
+    total, words, matched = corpus_strings(documents)
+    return Ratio(labelled_strings(words, matched), total * (WORD_CHARACTERS / max(1, total.sum())))
 
 
 def redact(documents: DataFrame, ratio: Ratio, mark: str = "[SECRET]") -> DataFrame:
