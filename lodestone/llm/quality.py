@@ -6,7 +6,7 @@ its share among documents of label 1 over its share among those of label 0.  The
 (Hsieh and others, 2008), drawn towards their mean size, and margins become chances by a logistic curve fitted on rows that the
 model did not see.
 
-The model is fitted on a bounded sample: ``SAMPLE`` labelled rows at most, one for each different text, in the order of a hash.
+The model is fitted on a bounded sample: ``SAMPLE`` labelled rows at most, in the order of a hash; a text that comes with several labels counts once, with the most frequent.
 Null and empty texts have no indicators and get the chance of the intercept.  Every row is scored, repeated ones too; rows with
 null labels or ids are not learnt from.
 """
@@ -143,6 +143,12 @@ def sampled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     return documents.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
+def one_label(labelled: DataFrame) -> DataFrame:
+    """text and label, one row for each text: its most frequent label, of equally frequent ones the smallest, whatever the order of rows."""
+    each = labelled.groupBy("text", "label").count()
+    return each.groupBy("text").agg(F.max(F.struct("count", (-F.col("label")).alias("label"))).alias("m")).select("text", (-F.col("m.label")).alias("label"))
+
+
 def trained(labelled: DataFrame) -> tuple[np.ndarray, float, float, float]:
     """Bucket weights, intercept, slope and offset from (text, label) rows.  One task fits the bounded sample, one row for each text."""
     fields = pa.schema([("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
@@ -176,7 +182,7 @@ def trained(labelled: DataFrame) -> tuple[np.ndarray, float, float, float]:
         ids, values = np.concatenate((at, [-1, -2, -3])), np.concatenate((w[at], [b, slope, offset]))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.float64())], names=["bucket", "weight"])
 
-    one = labelled.dropDuplicates(["text"]).select("text", "label")
+    one = one_label(labelled)
     model = one.mapInArrow(gather, "label int, buckets array<int>").repartition(1).mapInArrow(learn, "bucket long, weight double").toArrow()
     ids, values = model.column("bucket").to_numpy(), model.column("weight").to_numpy()
     weights = np.zeros(BUCKETS, np.float32)

@@ -130,3 +130,12 @@ def test_stages_of_odd_tables(spark, tmp_path):
 def test_run_gives_the_last_stage(spark, stages):
     out = corpus_pipeline.run(spark, SF)
     assert Counter(map(tuple, out.select("doc_id", "n_tokens").collect())) == Counter(map(tuple, stages[4].select("doc_id", "n_tokens").collect()))
+
+
+def test_texts_with_several_labels_count_once_by_majority(spark):
+    from lodestone.llm.quality import one_label
+
+    rows = [("a", 1), ("a", 0), ("a", 1), ("b", 1), ("b", 0), ("c", 0), ("", 2), ("", 2), ("", 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "text string, label int").repartition(3)
+        assert {r.text: r.label for r in one_label(df).collect()} == {"a": 1, "b": 0, "c": 0, "": 2}
