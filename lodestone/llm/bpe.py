@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that this kind of vocabulary splits texts with before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Parts kept by a task; texts are worked on in steps of so many characters.
-KEPT_PARTS, STEP_CHARS = 300_000, 1 << 19
+#: Bytes that the parts kept by a task take, about, with ``PART_BYTES`` for each besides its text and ids; texts are worked on in steps of so many characters.
+KEPT_BYTES, PART_BYTES, STEP_CHARS = 24 << 20, 180, 1 << 19
 #: Fragments longer than this go to the heap.
 LONG = 64
 
@@ -162,6 +162,7 @@ class Coder:
         self.v = vocabulary
         self.split = regex.compile(PATTERN).findall
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
 
     def _learn(self, parts: set[str]) -> None:
@@ -183,15 +184,20 @@ class Coder:
         last = np.searchsorted(places, ends).tolist()
         first = 0
         for part, end in zip(parts_list, last):
-            self.kept[part] = b"".join(merged[k] for k in index[first:end])
+            ids = self.kept[part] = b"".join(merged[k] for k in index[first:end])
+            self.kept_bytes += len(part) + len(ids) + PART_BYTES
             first = end
 
+    def forget(self) -> None:
+        """Empty the store of parts: a Python worker lives on when its task ends."""
+        self.kept, self.kept_bytes = {}, 0
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         lists = [self.split(t) for t in texts]
         missing = {p for parts in lists for p in parts if p not in self.kept}
         if missing:
-            if len(self.kept) + len(missing) > KEPT_PARTS:
-                self.kept.clear()
+            if self.kept_bytes > KEPT_BYTES:
+                self.forget()
                 missing = {p for parts in lists for p in parts}
             self._learn(missing)
         kept = self.kept
@@ -219,7 +225,7 @@ class Coder:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-#: Coders of this Python worker by their vocabulary: later tasks of the worker find parts that earlier ones learnt.
+#: The coder of this Python worker by its vocabulary.
 _CODERS: dict[str, Coder] = {}
 
 
@@ -264,9 +270,11 @@ def there_and_back(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     coder = _coder(df, path)
 
     @F.pandas_udf("ids binary, text string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        ids = coder().encode([t or "" for t in texts])
-        return pd.DataFrame({"ids": ids, "text": [coder().decode(i) for i in ids]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            ids = coder().encode([t or "" for t in texts])
+            yield pd.DataFrame({"ids": ids, "text": [coder().decode(i) for i in ids]})
+        coder().forget()
 
     return df.withColumn("coded", run(text))
 
@@ -275,8 +283,12 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def vocabulary_path() -> str:
-    """The 50,257-token file: named by LODESTONE_BPE_FILE, else from the folder of public vocabularies."""
-    return os.environ.get("LODESTONE_BPE_FILE") or "/opt/tokenizers/byte_bpe_50k.json"
+    """The 50,257-token file: named by LODESTONE_BPE_FILE, else by the module of public vocabularies."""
+    if named := os.environ.get("LODESTONE_BPE_FILE"):
+        return named
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -285,11 +297,12 @@ def op4_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:
     fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder()
         for batch in batches:
-            c = coder()
             codes = c.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in codes], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in codes]),
                 pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in codes])], schema=fields)
+        c.forget()
 
     return documents.select("doc_id", "text").mapInArrow(run, RESULT)

@@ -5,7 +5,7 @@ Grades 0 .. K are ordered.  One weight for each feature is shared by all thresho
 severity is the sum of these chances.  The model is fitted by accelerated proximal gradient steps with an absolute-value penalty,
 which leaves a weight only to features that many labelled documents agree on; more steps on these alone undo the shrinking.
 
-The model is fitted on a bounded sample: ``SAMPLE`` labelled rows at most, one for each different text, in the order of a hash.
+The model is fitted on a bounded sample: ``SAMPLE`` labelled rows at most, in the order of a hash; a text that comes with several labels counts once, with the most frequent.
 Null and empty texts have no words and get the severity of the thresholds alone.  Every row is scored, repeated ones too; null
 labels are not learnt from.  With no labelled rows every severity is 0.
 """
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Members, Words, mixed, range_hashes, steps, text_bytes
-from lodestone.llm.quality import sampled
+from lodestone.llm.quality import one_label, sampled
+from lodestone.session import cut_lineage, scratch
 
 SAMPLE = 6_000
 #: Beginnings of words count as features up to this length in bytes: inflected forms share them.
@@ -147,10 +148,12 @@ def trained(labelled: DataFrame, n_grades: int = GRADES, from_labels: bool = Tru
                     pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], schema=fields)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, texts = [], []
+        labels, texts, wanted = [], [], Members(sent.value)
         for batch in batches:
             labels += batch.column(0).to_pylist()
-            texts += [(np.asarray(h.values), np.asarray(c.values)) for h, c in zip(batch.column(1), batch.column(2))]
+            for h, c in zip(batch.column(1), batch.column(2)):
+                at, _ = wanted.find(np.asarray(h.values).view(np.uint64))
+                texts.append((np.asarray(h.values)[at], np.asarray(c.values)[at]))
         if not texts:
             return
         order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i][0].tobytes(), texts[i][1].tobytes()))
@@ -181,8 +184,14 @@ def trained(labelled: DataFrame, n_grades: int = GRADES, from_labels: bool = Tru
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((words[kept], np.arange(len(thresholds))))), pa.array(np.concatenate((weights[kept], thresholds))),
                                           pa.array([True] * len(kept) + [False] * len(thresholds))], names=["word", "value", "weight"])
 
-    one = labelled.dropDuplicates(["text"]).select("text", "label")
-    model = one.mapInArrow(gather, "label int, hashes array<long>, counts array<int>").repartition(1).mapInArrow(learn, "word long, value double, weight boolean").toArrow()
+    spark = labelled.sparkSession
+    with scratch(spark):
+        texts = cut_lineage(one_label(labelled).mapInArrow(gather, "label int, hashes array<long>, counts array<int>"))
+        # features that can get a weight at all: in enough texts, most of them with a grade.  The others never reach the one task that fits.
+        each = texts.select((F.col("label") > 0).cast("int").alias("bad"), F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+        pure = each.where((F.col("n") >= LEAST_TEXTS) & (F.col("bad") >= PURE * F.col("n"))).select("hash").toArrow()["hash"].to_numpy()
+        sent = spark.sparkContext.broadcast(pure.view(np.uint64))
+        model = texts.repartition(1).mapInArrow(learn, "word long, value double, weight boolean").toArrow()
     word, value, weight = (model.column(i).to_numpy() for i in range(3))
     weight = weight.astype(bool)
     if not len(word):
