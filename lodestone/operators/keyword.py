@@ -1,4 +1,4 @@
-"""Weighted posting table, document frequency, and rare-lexeme keyword ranking."""
+"""Word occurrences, weighted postings, document frequency, and scores over them."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lodestone import values as V
 from lodestone.functions import text
 from lodestone.functions.stem import stem_lexemes
-from lodestone.operators.fusion import top_rows
-from lodestone.operators.forms import FACETS, FILTER_COLUMNS, form_condition
 from lodestone.session import cut_lineage
 
 
@@ -72,7 +70,7 @@ def rare_of(lexemes: DataFrame, frequency: DataFrame, issues: DataFrame, share:
             .select(*lexemes.columns, "ndoc"))
 
 
-def _score() -> F.Column:
+def weighted_sum() -> F.Column:
     """Every matching position of an OR query is a cover of its own: weights add up."""
     return (F.sum("n_a") * V.SUMMARY_WEIGHT + F.sum("n_b") * V.DESCRIPTION_WEIGHT).alias("score")
 
@@ -81,7 +79,7 @@ def score_postings(wanted: DataFrame, table: DataFrame) -> DataFrame:
     """``(qid, issue_key, score)`` from a stored posting table: equi join on the lexeme."""
     wanted = cut_lineage(wanted.select("qid", "lexeme"))
     return (table.join(wanted, "lexeme")
-            .groupBy("qid", "issue_key").agg(_score()))
+            .groupBy("qid", "issue_key").agg(weighted_sum()))
 
 
 def stemmed_scores(questions: DataFrame, issues: DataFrame, table: DataFrame,
@@ -92,29 +90,3 @@ def stemmed_scores(questions: DataFrame, issues: DataFrame, table: DataFrame,
     """
     frequency = table.groupBy(F.col("lexeme").alias("word")).agg(F.count("*").alias("ndoc"))
     return score_postings(rare_of(stem_lexemes(question_lexemes(questions)), frequency, issues, share), table)
-
-
-def keyword_hits(questions: DataFrame, issues: DataFrame, chunk_keys: DataFrame,
-                 n: int = V.FUSION_DEPTH, share: float = V.RARE_SHARE,
-                 frequency: DataFrame | None = None) -> DataFrame:
-    """``(qid, rank, issue_key, score)``: top ``n`` issues per question by rare lexemes.
-
-    ``questions`` carries the form columns; the filter is applied in the same stage
-    as the match, before anything is shuffled.  Only issues in ``chunk_keys(issue_key)``
-    count.  Two scans of the text: frequencies of the asked words, then matches.
-    """
-    if frequency is None:
-        asked = question_lexemes(questions).select(F.col("lexeme").alias("word"))
-        frequency = lexeme_df(issues, asked)
-    wanted = rare_lexemes(questions, frequency, issues, share, *FILTER_COLUMNS)
-    # Few rows, but they cost a pass over the text: kept, so the match does not count again.
-    wanted = cut_lineage(wanted.select("qid", "lexeme", *FILTER_COLUMNS)).alias("f")
-    found = (occurrences(issues, *FACETS, "created").alias("i")
-             .join(wanted, F.col("i.lexeme") == F.col("f.lexeme"))
-             .where(form_condition("i.", "f."))
-             .groupBy("f.qid", "i.issue_key")
-             .agg(F.count_if("in_summary").alias("n_a"), F.count_if(~F.col("in_summary")).alias("n_b"))
-             .select("qid", "issue_key",
-                     (F.col("n_a") * V.SUMMARY_WEIGHT + F.col("n_b") * V.DESCRIPTION_WEIGHT).alias("score")))
-    found = found.join(chunk_keys.select("issue_key"), "issue_key", "left_semi")
-    return top_rows(found, n, F.col("score").desc(), F.col("issue_key"))

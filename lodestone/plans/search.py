@@ -15,7 +15,7 @@ from lodestone import values as V
 from lodestone.functions import text, vector
 from lodestone.operators import forms as fm
 from lodestone.operators import fusion
-from lodestone.operators.keyword import keyword_hits
+from lodestone.operators.index import KeywordIndex, build_index, keyword_hits
 from lodestone.operators.nearest import nearest
 from lodestone.plans.contexts import rows_of_keys
 from lodestone.session import cut_lineage
@@ -64,16 +64,19 @@ def filter_rows(questions: DataFrame, issues: DataFrame, chunks: DataFrame, stra
     return fm.filter_row_count(questions, issues.join(keys, "issue_key"))
 
 
-def keyword_list(questions: DataFrame, issues: DataFrame, chunks: DataFrame,
+def keyword_list(questions: DataFrame, index: KeywordIndex, chunks: DataFrame,
                  strategy: str, n: int = V.FUSION_DEPTH) -> DataFrame:
-    return keyword_hits(questions, issues, of_strategy(chunks, strategy), n)
+    return keyword_hits(questions, index, of_strategy(chunks, strategy), n)
 
 
-def candidate_lists(questions: DataFrame, issues: DataFrame, chunks: DataFrame,
-                    strategy: str = "summary_desc", n: int = V.FUSION_DEPTH) -> DataFrame:
-    """``(qid, list, rank, issue_key, score)``: the unfused vector and keyword lists."""
+def candidate_lists(questions: DataFrame, issues: DataFrame, chunks: DataFrame, strategy: str = "summary_desc",
+                    n: int = V.FUSION_DEPTH, index: KeywordIndex | None = None) -> DataFrame:
+    """``(qid, list, rank, issue_key, score)``: the unfused vector and keyword lists.
+
+    ``index`` is a stored keyword index of ``issues``; where none is given one is built and kept for the session.
+    """
     vec = vector_candidates(questions, issues, chunks, strategy, n)
-    kw = keyword_list(questions, issues, chunks, strategy, n)
+    kw = keyword_list(questions, index or build_index(issues), chunks, strategy, n)
     columns = ["qid", "list", "rank", "issue_key", "score"]
     return (vec.withColumnRenamed("distance", "score").withColumn("list", F.lit("vec")).select(columns)
             .unionByName(kw.withColumn("list", F.lit("kw")).select(columns)))
@@ -88,14 +91,16 @@ def kw_of(lists: DataFrame) -> DataFrame:
 
 
 def search_hybrid(questions: DataFrame, issues: DataFrame, chunks: DataFrame,
-                  strategy: str, k: int = V.TOP_K, weight: float = V.KEYWORD_WEIGHT) -> DataFrame:
-    lists = candidate_lists(questions, issues, chunks, strategy)
+                  strategy: str, k: int = V.TOP_K, weight: float = V.KEYWORD_WEIGHT,
+                  index: KeywordIndex | None = None) -> DataFrame:
+    lists = candidate_lists(questions, issues, chunks, strategy, index=index)
     return fusion.fuse(vec_of(lists), kw_of(lists), k, weight)
 
 
 def search_rescue(questions: DataFrame, issues: DataFrame, chunks: DataFrame,
-                  strategy: str, k: int = V.TOP_K, m: int = V.RESCUE_SLOTS) -> DataFrame:
-    lists = candidate_lists(questions, issues, chunks, strategy)
+                  strategy: str, k: int = V.TOP_K, m: int = V.RESCUE_SLOTS,
+                  index: KeywordIndex | None = None) -> DataFrame:
+    lists = candidate_lists(questions, issues, chunks, strategy, index=index)
     return fusion.rescue(vec_of(lists), kw_of(lists), k, m)
 
 

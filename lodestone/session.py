@@ -56,6 +56,12 @@ def ship(spark: SparkSession) -> None:
 _kept: list[str] = []
 
 
+def kept_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, removed by ``release_kept``."""
+    _kept.append(f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}")
+    return _kept[-1]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Keep a small, costly frame that several branches read, as a table in the shared folder.
 
@@ -63,9 +69,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     are planned as broadcasts from the start where it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    path = kept_path(spark)
     df.write.parquet(path)
-    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from lodestone import values as V
+from lodestone.functions import stem
 
 STOP = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -51,7 +52,73 @@ def overlap(description: str) -> str:
     return f"coalesce(len(list_intersect({asked}, {body}))::DOUBLE / nullif(len({asked}), 0), 0)"
 
 
+def one_of(values) -> str:
+    return ", ".join("'" + v + "'" for v in values)
+
+
+def mapped(column: str, rules: dict[str, str], otherwise: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items()) + f" ELSE {otherwise} END"
+
+
+def ending(view: str, rules: dict[str, str], allowed: str) -> str:
+    """A suffix step: the longest suffix is the leftmost match at the end; it changes only where ``allowed`` holds."""
+    return f"""
+SELECT word, fixed, p1, p2, CASE WHEN sfx <> '' AND ({allowed}) THEN concat(left(w, stem_len), {mapped('sfx', rules, "''")}) ELSE w END AS w
+FROM (SELECT *, length(w) - length(sfx) AS stem_len FROM (SELECT *, regexp_extract(w, '({"|".join(rules)})$') AS sfx FROM {view}))"""
+
+
+LEFT1, LEFT2 = "left(w, length(w) - 1)", "left(w, length(w) - 2)"
+STEM_VIEWS = {
+    "v_words": f"""
+SELECT lexeme AS word FROM v_postings UNION
+SELECT lexeme FROM (SELECT unnest({words('question')}) AS lexeme FROM v_questions) WHERE lexeme NOT IN ({STOP})""",
+    "v_marked": f"""
+SELECT word, CASE WHEN length(word) <= 2 THEN word ELSE {mapped('word', stem.IRREGULAR, 'NULL')} END AS fixed,
+  regexp_replace(word, '(^|[aeiouy])y', '\\1Y', 'g') AS w FROM v_words""",
+    "v_region": r"""
+SELECT word, fixed, w, p1, CASE WHEN second > 0 THEN p1 + second ELSE length(w) END AS p2 FROM (
+  SELECT *, length(regexp_extract(substr(w, p1 + 1), '^(.*?[aeiouy][^aeiouy])', 1)) AS second FROM (
+    SELECT *, CASE WHEN first > 0 THEN first ELSE length(w) END AS p1 FROM (
+      SELECT *, length(regexp_extract(w, '^(gener|commun|arsen|.*?[aeiouy][^aeiouy])', 1)) AS first FROM v_marked)))""",
+    "v_plural": f"""
+SELECT word, p1, p2, w, coalesce(fixed, CASE WHEN w IN ({one_of(stem.KEPT_AFTER_PLURAL)}) THEN w END) AS fixed FROM (
+  SELECT word, fixed, p1, p2, CASE WHEN ends_with(w, 'sses') THEN {LEFT2}
+    WHEN regexp_matches(w, '(ied|ies)$') THEN CASE WHEN length(w) > 4 THEN {LEFT2} ELSE {LEFT1} END
+    WHEN regexp_matches(w, '(us|ss)$') THEN w WHEN regexp_matches(w, '[aeiouy].+s$') THEN {LEFT1} ELSE w END AS w FROM v_region)""",
+    "v_past": f"""
+SELECT word, fixed, p1, p2, CASE
+  WHEN ends_with(w, 'eedly') THEN CASE WHEN length(w) - 5 >= p1 THEN left(w, length(w) - 3) ELSE w END
+  WHEN ends_with(w, 'eed') THEN CASE WHEN length(w) - 3 >= p1 THEN {LEFT1} ELSE w END
+  WHEN bare IS NULL THEN w
+  WHEN regexp_matches(bare, '(at|bl|iz)$') THEN concat(bare, 'e')
+  WHEN regexp_matches(bare, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(bare, length(bare) - 1)
+  WHEN p1 >= length(bare) AND regexp_matches(bare, '{stem.SHORT}') THEN concat(bare, 'e') ELSE bare END AS w
+FROM (SELECT *, CASE WHEN regexp_matches(w, '[aeiouy].*(ed|edly|ing|ingly)$')
+                THEN regexp_replace(w, '(edly|ingly|ed|ing)$', '') END AS bare FROM v_plural)""",
+    "v_final_y": f"""
+SELECT word, fixed, p1, p2, CASE WHEN regexp_matches(w, '.[^aeiouy][yY]$') THEN concat({LEFT1}, 'i') ELSE w END AS w FROM v_past""",
+    "v_derived": ending("v_final_y", stem.DERIVED, "stem_len >= p1 AND (sfx <> 'ogi' OR regexp_matches(w, 'logi$')) "
+                        "AND (sfx <> 'li' OR regexp_matches(w, '[cdeghkmnrt]li$'))"),
+    "v_further": ending("v_derived", stem.FURTHER, "stem_len >= CASE sfx WHEN 'ative' THEN p2 ELSE p1 END"),
+    "v_ended": ending("v_further", dict.fromkeys(stem.ENDINGS, ""),
+                      "stem_len >= p2 AND (sfx <> 'ion' OR regexp_matches(w, '[st]ion$'))"),
+    "v_stems": f"""
+SELECT word, coalesce(fixed, replace(CASE
+  WHEN ends_with(w, 'e') AND (length(w) - 1 >= p2 OR (length(w) - 1 >= p1 AND NOT regexp_matches({LEFT1}, '{stem.SHORT}'))) THEN {LEFT1}
+  WHEN ends_with(w, 'll') AND length(w) - 1 >= p2 THEN {LEFT1} ELSE w END, 'Y', 'y')) AS stem FROM v_ended""",
+    "v_stem_postings": """
+SELECT s.stem, p.issue_key, sum(p.n_a)::BIGINT AS n_a, sum(p.n_b)::BIGINT AS n_b
+FROM v_postings p JOIN v_stems s ON s.word = p.lexeme GROUP BY s.stem, p.issue_key""",
+    "v_stem_df": "SELECT stem AS word, count(*) AS ndoc FROM v_stem_postings GROUP BY stem",
+    "v_stem_rare": f"""
+SELECT q.qid, q.stem FROM (
+  SELECT DISTINCT a.qid, s.stem FROM (SELECT qid, unnest({words('question')}) AS lexeme FROM v_questions) a
+  JOIN v_stems s ON s.word = a.lexeme WHERE a.lexeme NOT IN ({STOP})) q JOIN v_stem_df d ON d.word = q.stem
+WHERE d.ndoc < 0.02::DOUBLE * (SELECT count(*) FROM v_issues)""",
+}
+
 VIEWS: dict[str, str] = {
+    **STEM_VIEWS,
     "v_issues": """
 SELECT concat('DOC-', d.doc_id) AS issue_key, d.doc_id AS issue_id, d.source AS project,
   split_part(d.text, chr(10), 1) AS summary,
@@ -139,7 +206,7 @@ WHERE q.lexeme NOT IN ({STOP}) AND coalesce(d.ndoc, 0) < 0.02::DOUBLE * (SELECT
 SELECT qid, n - 1 AS rank, issue_key, score FROM (
   SELECT qid, issue_key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, issue_key) AS n FROM (
     SELECT r.qid, p.issue_key, sum(p.n_a) * 1.0::DOUBLE + sum(p.n_b) * 0.4::DOUBLE AS score
-    FROM v_rare r JOIN v_postings p ON p.lexeme = r.lexeme
+    FROM v_stem_rare r JOIN v_stem_postings p ON p.stem = r.stem
     JOIN v_issues i ON i.issue_key = p.issue_key JOIN v_forms f ON f.qid = r.qid
     WHERE i.issue_key IN (SELECT issue_key FROM v_chunks WHERE strategy = 'summary_desc') AND {FORM_MATCH}
     GROUP BY r.qid, p.issue_key)) WHERE n <= 100""",
@@ -356,6 +423,14 @@ SELECT issue_key, resolution FROM v_issues WHERE priority IN ('Blocker') AND iss
     "posting_scores": """
 SELECT r.qid, p.issue_key, round(sum(p.n_a) * 1.0::DOUBLE + sum(p.n_b) * 0.4::DOUBLE, 6) AS score
 FROM v_rare r JOIN v_postings p ON p.lexeme = r.lexeme GROUP BY r.qid, p.issue_key""",
+    "index_postings": """
+SELECT p.stem AS lexeme, p.issue_key, i.priority, i.issue_type, i.resolution, i.created::TIMESTAMP AS created, p.n_a, p.n_b
+FROM v_stem_postings p JOIN v_issues i ON i.issue_key = p.issue_key""",
+    "index_frequency": "SELECT word, ndoc FROM v_stem_df",
+    "stemmed_vocabulary": "SELECT word, stem FROM v_stems WHERE word IN (SELECT word FROM v_df)",
+    "stemmed_scores": """
+SELECT r.qid, p.issue_key, round(sum(p.n_a) * 1.0::DOUBLE + sum(p.n_b) * 0.4::DOUBLE, 6) AS score
+FROM v_stem_rare r JOIN v_stem_postings p ON p.stem = r.stem GROUP BY r.qid, p.issue_key""",
     "keyword_topk": "SELECT qid, rank, issue_key, round(score, 6) AS score FROM v_kw",
     "candidate_lists": """
 SELECT qid, 'vec' AS list, rank, issue_key, round(distance, 6) AS score FROM v_vec

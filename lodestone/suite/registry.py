@@ -15,6 +15,7 @@ from lodestone.functions import text, vector
 from lodestone.functions.stem import stem_postings, stem_words
 from lodestone.operators import batching, fusion, merge, quality
 from lodestone.operators import forms as fm
+from lodestone.operators import index as kwx
 from lodestone.operators import keyword as kwd
 from lodestone.plans import agreement, content, contexts, evaluate, grading, parse_eval, search
 from lodestone.session import cut_lineage, shared_folder
@@ -142,7 +143,18 @@ def posting_scores(t: Tables) -> DataFrame:
 
 @query
 def keyword_topk(t: Tables) -> DataFrame:
-    return scored(search.keyword_list(t.questions, t.issues, t.chunks, DESC))
+    return scored(search.keyword_list(t.questions, t.index, t.chunks, DESC))
+
+
+@query
+def index_postings(t: Tables) -> DataFrame:
+    """Everything the stored index holds of each posting."""
+    return t.index.postings.select("lexeme", "issue_key", *fm.FACETS, "created", "n_a", "n_b")
+
+
+@query
+def index_frequency(t: Tables) -> DataFrame:
+    return kwx.lexeme_frequency(t.index)
 
 
 @query
@@ -161,13 +173,13 @@ def stemmed_scores(t: Tables) -> DataFrame:
 
 @query
 def candidate_lists(t: Tables) -> DataFrame:
-    lists = search.candidate_lists(t.questions, t.issues, t.chunks)
+    lists = search.candidate_lists(t.questions, t.issues, t.chunks, index=t.index)
     return lists.select("qid", "list", "rank", "issue_key", F.round("score", 6).alias("score"))
 
 
 @query
 def hybrid_rrf(t: Tables) -> DataFrame:
-    return scored(search.search_hybrid(t.questions, t.issues, t.chunks, DESC), 8)
+    return scored(search.search_hybrid(t.questions, t.issues, t.chunks, DESC, index=t.index), 8)
 
 
 @query
@@ -177,7 +189,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
 
 @query
 def tail_rescue(t: Tables) -> DataFrame:
-    return scored(search.search_rescue(t.questions, t.issues, t.chunks, DESC))
+    return scored(search.search_rescue(t.questions, t.issues, t.chunks, DESC, index=t.index))
 
 
 @query

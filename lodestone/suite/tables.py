@@ -11,6 +11,7 @@ from lodestone import values as V
 from lodestone.functions import vector
 from lodestone.operators import forms as fm
 from lodestone.operators.fusion import top_rows
+from lodestone.operators.index import KeywordIndex, build_index
 from lodestone.plans.contexts import context_lists, context_rows
 from lodestone.plans.search import candidate_lists, pair_scores, search, vec_of
 from lodestone.session import cut_lineage
@@ -151,10 +152,15 @@ class Tables:
         """Plain vector top 10, the contexts of the answers below."""
         return cut_lineage(search(self.plain_questions, self.chunks, "summary_desc"))
 
+    @cached_property
+    def index(self) -> KeywordIndex:
+        """Stored keyword index of all issues."""
+        return build_index(self.issues)
+
     @cached_property
     def lists(self) -> DataFrame:
         """Stored candidate lists: small, costly, and read by many evaluation queries."""
-        return cut_lineage(candidate_lists(self.questions, self.issues, self.chunks))
+        return cut_lineage(candidate_lists(self.questions, self.issues, self.chunks, index=self.index))
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -34,7 +34,7 @@ def table(rows, names):
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
     assert set(registry.REGISTRY) - set(ORACLES) == {          # the training-data queries have tests of their own
-        "token_budget_batches", "hashed_embedding", "stemmed_vocabulary", "stemmed_scores"}
+        "token_budget_batches", "hashed_embedding"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

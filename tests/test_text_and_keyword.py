@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import keyword as kw
+from lodestone.operators.index import build_index, keyword_hits
 from lodestone.plans import content
 
 ISSUE = "issue_key string, issue_id long, summary string, description string, priority string, issue_type string, resolution string, created timestamp"
@@ -70,7 +71,7 @@ def test_keyword_hits_filter_rank_and_tie_break(spark):
     asked = spark.createDataFrame(
         [(1, "zookeeper", None, None, None, None, None, None), (2, "zookeeper", ["Minor"], None, None, None, None, None),
          (3, "the", None, None, None, None, None, None)], "qid int, question string, " + FORM)
-    hits = kw.keyword_hits(asked, issues, issues.where("issue_key <> 'K-5'"), n=5, share=2.0)
+    hits = keyword_hits(asked, build_index(issues), issues.where("issue_key <> 'K-5'"), n=5, share=2.0)
     assert {(r.qid, r.rank, r.issue_key, r.score) for r in hits.collect()} == {
         (1, 0, "K-1", 1.8), (1, 1, "K-4", 1.0), (2, 0, "K-4", 1.0)}
     stored = kw.score_postings(kw.question_lexemes(asked), kw.postings(issues))
