@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,18 +61,37 @@ def backlog(issues: DataFrame, chunks: DataFrame, strategy: str, limit: int = 0)
 
 
 class HashingEmbedder:
-    """Deterministic default: signed feature hashing of words, scaled to unit length."""
+    """Deterministic default: signed feature hashing of words, scaled to unit length.
+
+    The form of ``hash_embed`` for callers that plug in a model, such as the embedding stream.
+    """
 
     def __init__(self, dim: int = V.STORED_DIM):
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, body in enumerate(texts):
-            codes = np.array([zlib.crc32(w.encode()) for w in re.findall(r"[^\W_]+", body.lower())], dtype=np.int64)
-            np.add.at(out[row], codes % self.dim, np.where(codes >> 31 & 1, -1.0, 1.0))
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
+        words = [re.findall(r"[^\W_]+", body.lower()) for body in texts]
+        return unit_rows([[zlib.crc32(w.encode()) for w in row] for row in words], self.dim)
+
+
+def unit_rows(codes: Sequence[Sequence[int]], dim: int) -> np.ndarray:
+    """Word codes of each row summed into ``dim`` signed cells (bit 31 gives the sign), scaled to unit length; no words: zeros."""
+    flat = np.concatenate([np.empty(0, np.int64), *codes]).astype(np.int64)
+    rows = np.repeat(np.arange(len(codes)), [len(row) for row in codes])
+    signs = np.where(flat >> 31 & 1, -1.0, 1.0)
+    out = np.bincount(rows * dim + flat % dim, weights=signs, minlength=len(codes) * dim).reshape(len(codes), dim)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
+
+
+def hash_embed(rows: DataFrame, dim: int = V.STORED_DIM, column: str = "content", into: str = "embedding") -> DataFrame:
+    """Add the hashed vector of a text.  Words are cut and hashed on the JVM; only their codes reach Python, a batch at a time."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def vectors(codes: pd.Series) -> pd.Series:
+        return pd.Series(list(unit_rows(codes, dim)))
+
+    codes = F.transform(text.words(F.coalesce(F.col(column), F.lit(""))), lambda w: F.crc32(w.cast("binary")))
+    return rows.withColumn(into, vectors(codes))
 
 
 def embed(rows: DataFrame, make: Callable[[], Embedder], column: str = "content", into: str = "embedding") -> DataFrame:

@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone import schemas
+from lodestone.sources.sinks import path_exists
+
+
+def scan_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Gold questions, one JSON object a line, with ``corrupt``: the line where it cannot be read, else NULL.  Blank lines give no row."""
+    schema = T.StructType([*schemas.GOLD.fields, T.StructField("corrupt", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return (lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "corrupt"}).alias("g"))
+            .select("g.*"))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold questions, one JSON object a line; blank lines give no row."""
-    return spark.read.schema(schemas.GOLD).json(path).where(F.col("id").isNotNull())
+    """Gold questions; a line that cannot be read, or has no id, fails the job that meets it."""
+    bad = F.col("corrupt").isNotNull() | F.col("id").isNull()
+    told = F.concat(F.lit("gold line cannot be read: "), F.coalesce("corrupt", F.lit("no id")))
+    return (scan_gold(spark, path).withColumn("id", F.when(bad, F.raise_error(told).cast("string")).otherwise(F.col("id")))
+            .drop("corrupt"))
 
 
 def gold_keys(gold: DataFrame) -> DataFrame:
@@ -37,8 +50,9 @@ def fingerprint(source: Column, model: Column) -> Column:
 
 
 def write_parse_cache(parses: DataFrame, path: str, key: str, model: str, commit: str) -> None:
+    """Store the parses under their fingerprint; those of other fingerprints stay, an earlier run of this one is replaced."""
     (parses.withColumns({"fingerprint": F.lit(key), "model": F.lit(model), "commit": F.lit(commit)})
-     .write.mode("overwrite").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").parquet(path))
 
 
 def valid_parses(cache: DataFrame, key: str | Column) -> DataFrame:
@@ -69,4 +83,8 @@ def unscored(questions: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
+    """Add the scores of questions that have none in ``path`` yet, so a run that is tried again adds nothing twice."""
+    spark = scores.sparkSession
+    if path_exists(spark, path):
+        scores = unscored(scores, spark.read.schema(scores.schema).parquet(path))
     scores.write.mode("append").parquet(path)

@@ -638,6 +638,51 @@ SELECT qid FROM v_questions WHERE question NOT IN (SELECT question FROM v_forms
 SELECT d.doc_id, coalesce(CASE l.quality WHEN 0 THEN 51 WHEN 1 THEN NULL ELSE 20 END, 10) AS k,
   length(d.text) BETWEEN 3 AND 500 AND coalesce(CASE l.quality WHEN 0 THEN 51 WHEN 1 THEN NULL ELSE 20 END, 10) BETWEEN 1 AND 50 AS valid
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "hashed_embedding": f"""
+, steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+w AS (SELECT issue_key, unnest({words("concat(coalesce(summary, ''), chr(10), coalesce(description, ''))")}) AS word FROM v_issues),
+codes AS (SELECT word, xor(list_reduce(list_transform(range(length(hex(word)) // 2),
+    lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS code
+  FROM (SELECT DISTINCT word FROM w) CROSS JOIN steps),
+cells AS (SELECT issue_key, code % 64 AS cell, sum(CASE WHEN code >> 31 & 1 = 1 THEN -1 ELSE 1 END)::DOUBLE AS v
+  FROM w JOIN codes USING (word) GROUP BY ALL),
+sums AS (SELECT issue_key, sqrt(sum(v * v)) AS n, coalesce(max(v) FILTER (WHERE cell = 0), 0) AS a,
+  coalesce(max(v) FILTER (WHERE cell = 63), 0) AS b, count(*) FILTER (WHERE v <> 0) AS filled FROM cells GROUP BY issue_key)
+SELECT i.issue_key, 'summary_desc' AS strategy, 64 AS dim, CASE WHEN s.n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm,
+  CASE WHEN s.n > 0 THEN round((s.a / s.n)::FLOAT::DOUBLE, 4) ELSE 0.0::DOUBLE END AS first,
+  CASE WHEN s.n > 0 THEN round((s.b / s.n)::FLOAT::DOUBLE, 4) ELSE 0.0::DOUBLE END AS last, coalesce(s.filled, 0) AS filled
+FROM v_issues i LEFT JOIN sums s ON s.issue_key = i.issue_key""",
+    "gold_jsonl_scan": """
+, g AS (SELECT qid, string_agg(issue_key, '|' ORDER BY issue_key) AS expected FROM v_gold GROUP BY qid)
+SELECT CASE WHEN q.type <> 'filtered' THEN concat('Q', q.qid) END AS id, CASE WHEN q.type <> 'filtered' THEN q.type END AS type,
+  CASE WHEN q.type <> 'filtered' THEN q.question END AS question, CASE WHEN q.type <> 'filtered' THEN g.expected END AS expected,
+  CASE WHEN q.type = 'filtered' THEN concat('{"id":"Q', q.qid, '","expected":["') END AS corrupt
+FROM v_questions q JOIN g ON g.qid = q.qid""",
+    "parse_cache_roundtrip": """
+SELECT 'p1' AS parser, qid, array_to_string(priority, '|') AS priority, open, created_from, parse_error FROM v_forms
+UNION ALL SELECT 'p2', qid, NULL, NULL, NULL, NULL FROM v_forms""",
+    "answers_scan": """
+SELECT a.qid, coalesce(c.cited, '') AS cited_keys, array_to_string(a.keys, '|') AS context_keys, length(q.question) / 100.0::DOUBLE AS seconds
+FROM v_answers a JOIN v_questions q ON q.qid = a.qid
+LEFT JOIN (SELECT qid, string_agg(key, '|' ORDER BY pos) AS cited FROM v_cited GROUP BY qid) c ON c.qid = a.qid""",
+    "scores_scan": """
+SELECT qid, issue_key, round(whole_score, 6) AS pair_score FROM v_scores WHERE rank < 10""",
+    "score_cache_resume": "SELECT qid, count(*) AS pairs, count(DISTINCT issue_key) AS issues FROM v_scores GROUP BY qid",
+    "write_once_and_suffix": """
+SELECT CASE type WHEN 'lookup' THEN 'types' WHEN 'topic' THEN 'types_2' ELSE 'types_3' END AS target, qid, type, true AS refused FROM v_questions""",
+    "stats_rebuild": "SELECT word, ndoc FROM v_stem_df WHERE ndoc > 1",
+    "run_stamp": "SELECT qid, rank, issue_key, 'r1' AS run, 'm1' AS model, 10 AS k, 'summary_desc' AS strategy FROM v_plain",
+    "missing_gold": "SELECT qid FROM v_questions WHERE type <> 'topic'",
+    "stage_means": """
+SELECT round(avg(s / 8), 6) AS parse, round(avg(s / 16), 6) AS embed, round(avg(s / 8 + 1), 6) AS vector,
+  round(avg(s / 2) FILTER (WHERE type <> 'filtered'), 6) AS rerank, round(avg(s), 6) AS total, round(avg(s / 16 + 1), 6) AS sql
+FROM (SELECT type, length(question)::DOUBLE AS s FROM v_questions)""",
+    "throughput": """
+, c AS (SELECT length(coalesce(summary, '')) + coalesce(length(description) + 2, 0) AS n FROM v_issues)
+SELECT count(*) AS rows, count(*) FILTER (WHERE n > 500) AS truncated, round(sum(n) / 1024.0::DOUBLE, 6) AS seconds,
+  round(count(*) / (sum(n) / 1024.0::DOUBLE), 8) AS rows_per_second FROM c""",
 }
 
 

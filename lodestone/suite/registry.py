@@ -18,8 +18,8 @@ from lodestone.operators import forms as fm
 from lodestone.operators import index as kwx
 from lodestone.operators import keyword as kwd
 from lodestone.plans import agreement, content, contexts, evaluate, grading, parse_eval, search
-from lodestone.session import cut_lineage, shared_folder
-from lodestone.sources import pages, records
+from lodestone.session import cut_lineage, kept_path, shared_folder
+from lodestone.sources import pages, records, sinks
 from lodestone.streaming import ingest
 from lodestone.suite.tables import SHORT_DIM, Tables
 
@@ -366,9 +366,11 @@ def token_budget_batches(t: Tables) -> DataFrame:
 
 @query
 def hashed_embedding(t: Tables) -> DataFrame:
-    made = content.embed(content.contents(t.issues, DESC), lambda: content.HashingEmbedder(64))
-    return made.select("issue_key", "strategy", F.size("embedding").alias("dim"),
-                       F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
+    made = content.hash_embed(content.contents(t.issues, DESC), 64)
+    e = F.col("embedding")
+    return made.select("issue_key", "strategy", F.size(e).alias("dim"), F.round(vector.norm(e), 4).alias("norm"),
+                       F.round(e[0].cast("double"), 4).alias("first"), F.round(e[63].cast("double"), 4).alias("last"),
+                       F.size(F.filter(e, lambda x: x != 0)).alias("filled"))
 
 
 @query
@@ -627,3 +629,134 @@ def request_validation(t: Tables) -> DataFrame:
     requests = (t.read("documents").join(t.read("labels"), "doc_id", "left")
                 .select("doc_id", F.col("text").alias("question"), k.alias("k")))
     return search.valid_requests(requests).select("doc_id", "k", "valid")
+
+
+# --- stored files -------------------------------------------------------------------
+
+def documents_of(frame: DataFrame, document, t: Tables) -> str:
+    """One JSON document a file, as evaluation runs leave them.  Returns the folder."""
+    folder = kept_path(t.spark)
+    frame.select(F.to_json(document).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+@query
+def gold_jsonl_scan(t: Tables) -> DataFrame:
+    """The gold set as JSONL: a blank line before every lookup, and a torn line in place of every filtered question."""
+    listed = t.gold.groupBy("qid").agg(F.sort_array(F.collect_list("issue_key")).alias("expected"))
+    line = F.to_json(F.struct(F.concat(F.lit("Q"), F.col("qid")).alias("id"), "type", "question", "expected"))
+    folder = kept_path(t.spark)
+    (t.plain_questions.join(listed, "qid")
+     .select(F.when(F.col("type") == "lookup", F.concat(F.lit("  \n"), line))
+             .when(F.col("type") == "filtered", F.concat(F.lit('{"id":"Q'), F.col("qid"), F.lit('","expected":["')))
+             .otherwise(line).alias("value"))
+     .write.text(folder))
+    rows = records.scan_gold(t.spark, folder)
+    return rows.select(F.when(F.col("corrupt").isNull(), F.col("id")).alias("id"), "type", "question",
+                       joined("expected"), "corrupt")
+
+
+@query
+def answers_scan(t: Tables) -> DataFrame:
+    entry = F.struct(F.col("qid").cast("string").alias("id"), "answer", text.cited_keys(F.col("answer"), "DOC").alias("cited_keys"),
+                     "context_keys", "seconds")
+    rows = records.read_answers(t.spark, documents_of(t.answers, F.struct(F.array(entry).alias("questions")), t))
+    return rows.select(F.col("qid").cast("long").alias("qid"), joined("cited_keys"), joined("context_keys"), "seconds")
+
+
+@query
+def scores_scan(t: Tables) -> DataFrame:
+    """Pair scores of the first ten candidates, one document a question."""
+    first = search.vec_of(t.lists).where(F.col("rank") < V.TOP_K).join(t.scores, ["qid", "issue_key"])
+    kept = first.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("issue_key", "pair_score"))).alias("scores"))
+    document = F.create_map(F.col("qid").cast("string"), F.struct("scores"))
+    rows = records.read_scores(t.spark, documents_of(kept, document, t))
+    return rows.select(F.col("qid").cast("long").alias("qid"), "issue_key", F.round("pair_score", 6).alias("pair_score"))
+
+
+@query
+def parse_cache_roundtrip(t: Tables) -> DataFrame:
+    """Forms of two parsers in one cache; the second run of the first one replaces its own rows only."""
+    folder = kept_path(t.spark)
+    form = F.struct(*schemas.FORM_COLUMNS)
+    parses = t.questions.select("question", form.alias("form")).dropDuplicates(["question"])
+    empty = parses.withColumn("form", F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in parses.schema["form"].dataType)))
+    records.write_parse_cache(empty, folder, "p1", "m1", "c1")
+    records.write_parse_cache(empty, folder, "p2", "m2", "c1")
+    records.write_parse_cache(parses, folder, "p1", "m1", "c2")
+    rows = [records.read_parse_cache(t.spark, folder, key, t.plain_questions).withColumn("parser", F.lit(key)) for key in ["p1", "p2"]]
+    return rows[0].unionByName(rows[1]).select("parser", "qid", joined("priority"), "open", "created_from", "parse_error")
+
+
+@query
+def score_cache_resume(t: Tables) -> DataFrame:
+    """Lookups are scored first, then all questions, then all again: each pair is stored once."""
+    folder = kept_path(t.spark)
+    lookups = t.types.where("type = 'lookup'").select("qid")
+    records.append_scores(t.scores.join(lookups, "qid", "left_semi"), folder)
+    for _ in range(2):
+        records.append_scores(t.scores, folder)
+    return (t.spark.read.schema(t.scores.schema).parquet(folder).groupBy("qid")
+            .agg(F.count("*").alias("pairs"), F.count_distinct("issue_key").alias("issues")))
+
+
+@query
+def write_once_and_suffix(t: Tables) -> DataFrame:
+    """Question types written to a name three times: the first is kept, the others get a suffix, a plain write is refused."""
+    base = kept_path(t.spark) + "/types"
+    paths = [sinks.write_with_suffix(t.types.where(F.col("type") == kind), base) for kind in ["lookup", "topic", "filtered"]]
+    try:
+        sinks.write_once(t.types, paths[0])
+        refused = False
+    except FileExistsError:
+        refused = True
+    parts = [t.spark.read.schema(t.types.schema).parquet(p).withColumn("target", F.lit(p.rsplit("/", 1)[1])) for p in paths]
+    return (parts[0].unionByName(parts[1]).unionByName(parts[2])
+            .withColumn("refused", F.lit(refused)).select("target", "qid", "type", "refused"))
+
+
+@query
+def stats_rebuild(t: Tables) -> DataFrame:
+    """Stem frequencies of the issues of 1998 and before, made anew from all issues, then once more from the stored table itself."""
+    path = kept_path(t.spark) + "/lexeme_df"
+    stale = t.index.postings.where(F.col("created") < F.lit("1999-01-01").cast("timestamp"))
+    sinks.rebuild(stale.groupBy(F.col("lexeme").alias("word")).agg(F.count("*").alias("ndoc")), path)
+    sinks.rebuild(kwx.lexeme_frequency(t.index), path)
+    stored = t.spark.read.schema("word string, ndoc long").parquet(path)
+    sinks.rebuild(stored.where("ndoc > 1"), path)
+    return t.spark.read.schema("word string, ndoc long").parquet(path)
+
+
+@query
+def run_stamp(t: Tables) -> DataFrame:
+    stamped = sinks.stamp_run(t.hits.select("qid", "rank", "issue_key"), run="r1", model="m1", k=V.TOP_K, strategy=DESC)
+    path = sinks.write_with_suffix(stamped, kept_path(t.spark) + "/run")
+    return t.spark.read.schema(stamped.schema).parquet(path)
+
+
+@query
+def missing_gold(t: Tables) -> DataFrame:
+    """Answers whose question is no topic question have no gold question in a set of topics."""
+    return grading.missing_gold(t.answers, t.types.where("type = 'topic'")).select("qid")
+
+
+@query
+def stage_means(t: Tables) -> DataFrame:
+    """Mean stage seconds of a run log; the stages are eighths of the answers' measures."""
+    part = (lambda c: F.col(c).cast("double") / F.lit(8.0))
+    log = t.plain_questions.withColumn("size", F.char_length("question")).select(
+        part("size").alias("parse"), (part("size") / 2).alias("embed"), (part("size") + 1).alias("vector"),
+        F.when(F.col("type") != "filtered", part("size") * 4).alias("rerank"), (part("size") * 8).alias("total"))
+    means = evaluate.stage_means(log)
+    return means.select(*(F.round(c, 6).alias(c) for c in means.columns))
+
+
+@query
+def throughput(t: Tables) -> DataFrame:
+    """Rows, cut rows and rate of a run log with one entry for each project; a second for every 1,024 characters."""
+    made = content.contents(t.issues, DESC, 500).join(t.issues.select("issue_key", "project"), "issue_key")
+    log = made.groupBy("project").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("token_count") > F.char_length("content")).alias("truncated"),
+        (F.sum("token_count") / F.lit(1024.0)).alias("seconds"))
+    out = content.throughput(log)
+    return out.select("rows", "truncated", F.round("seconds", 6).alias("seconds"), F.round("rows_per_second", 8).alias("rows_per_second"))

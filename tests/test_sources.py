@@ -94,3 +94,60 @@ def test_kept_frames(spark):
     session.release_kept(spark)
     session._kept[:] = held
     assert not os.path.exists(path)
+
+
+def test_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "out")
+
+    def write(n):
+        try:
+            sinks.write_once(spark.range(1000).withColumn("writer", F.lit(n)), path)
+            return n
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        winners = [n for n in pool.map(write, range(4)) if n is not None]
+    rows = spark.read.parquet(path)
+    assert len(winners) == 1 and rows.count() == 1000 and rows.select("writer").distinct().first()[0] == winners[0]
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["out"]       # nothing staged, no claim is left
+
+
+def test_rebuild_may_read_what_it_replaces_and_a_failed_one_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    sinks.rebuild(spark.range(10), path)
+    sinks.rebuild(spark.read.parquet(path).where("id < 4"), path)
+    with pytest.raises(Exception, match="broken"):
+        sinks.rebuild(spark.range(3).withColumn("x", F.raise_error(F.lit("broken")).cast("string")), path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_corrupt_gold_lines_are_told_and_refused(spark, tmp_path):
+    path = tmp_path / "gold.jsonl"
+    path.write_text('{"id":"G1","type":"topic","question":"q","expected":["A-1"]}\n   \n{"id":"G2","expec\n{"type":"topic"}\n')
+    rows = records.scan_gold(spark, str(path)).collect()
+    assert [r.corrupt for r in rows if r.corrupt] == ['{"id":"G2","expec'] and len(rows) == 3
+    with pytest.raises(Exception, match="cannot be read"):
+        records.read_gold(spark, str(path)).select("id").collect()
+
+
+def test_caches_keep_other_parsers_and_add_nothing_twice(spark, tmp_path):
+    parses = spark.createDataFrame([("q1", (1,))], "question string, form struct<x:int>")
+    path, asked = str(tmp_path / "parses"), spark.createDataFrame([(1, "q1")], "qid int, question string")
+    for key in ["p1", "p2", "p1"]:
+        records.write_parse_cache(parses, path, key, "m", "c")
+    assert spark.read.parquet(path).count() == 2 and records.read_parse_cache(spark, path, "p2", asked).first().x == 1
+    scores = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.25), (2, "A", 0.75)], "qid int, issue_key string, pair_score double")
+    for part in [scores.where("qid = 1"), scores, scores]:
+        records.append_scores(part, str(tmp_path / "scores"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "scores")).collect()) == sorted(tuple(r) for r in scores.collect())
+
+
+def test_hash_embedding_equals_the_plugged_in_model(spark):
+    from lodestone.plans import content
+    bodies = ["Zoo keeper été 東京 x1", "", "a a a b", None, "z" * 200_000 + " y"]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, content string")
+    made = {r.i: r.embedding for r in content.hash_embed(rows, 16).collect()}
+    want = content.HashingEmbedder(16)([b or "" for b in bodies])
+    assert all(made[i] == want[i].tolist() for i in made) and made[1] == [0.0] * 16
