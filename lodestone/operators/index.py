@@ -1,8 +1,11 @@
-"""A stored keyword index: stemmed postings in directories by lexeme bucket, and the frequency of every stem.
-
-``postings``: bucket, lexeme, issue_key, the facets, created, n_a, n_b; sorted by lexeme inside a bucket's files, so
-that a reader skips buckets by directory and row groups by their least and greatest lexeme.
-``frequency``: bucket, word, ndoc.  ``size``: one row with the number of issues and of buckets.
+"""A stored keyword index: postings in directories by word bucket, and the frequency and word forms of every stem.
+
+``postings``: bucket, lexeme (a word as written, lower-cased), issue_key, the facets, created, n_a, n_b; sorted by
+lexeme inside a bucket's files, so that a reader skips buckets by directory and row groups by their least and greatest lexeme.
+``forms``: bucket (of the stem), stem, ndoc (issues that hold any form of it), form, form_bucket.
+``size``: one row with the number of issues and of buckets.
+Words, not stems, are the keys of the postings: they go from the text to their bucket in one shuffle, and a
+question's stems are turned into their forms, which are few, before postings are read.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import values as V
+from lodestone.functions import text
 from lodestone.functions.stem import stem_words
 from lodestone.operators.forms import FACETS, FILTER_COLUMNS, form_condition
 from lodestone.operators.fusion import top_rows
-from lodestone.operators.keyword import occurrences, question_lexemes, weighted_sum
+from lodestone.operators.keyword import question_lexemes, weighted_sum
 from lodestone.session import cut_lineage, kept_path, scratch
 
 BUCKETS = 32      # directories of the index; each should come to some hundred megabytes
@@ -27,7 +31,7 @@ SPREAD = 4        # tasks among which one bucket, and so one frequent lexeme, is
 class KeywordIndex:
     path: str
     postings: DataFrame
-    frequency: DataFrame
+    forms: DataFrame
     issues: int
     buckets: int
 
@@ -44,45 +48,65 @@ def bucket_of(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def word_counts(issues: DataFrame) -> DataFrame:
-    """``(lexeme, issue_key, facets, created, n_a, n_b)`` before stemming.
+def word_counts(issues: DataFrame, *keep: str) -> DataFrame:
+    """``(issue_key, *keep, lexeme, n_a, n_b)``, one row per word and field of an issue; stop words are left out.
 
-    Both fields of an issue without a summary are left out, as in ``keyword.occurrences``.  All words of
-    an issue sit in one task, so the map-side combine brings the shuffle down to one row per word and issue.
+    Counted inside the row, without a shuffle: the words of a field are sorted, and a word's count is the way to
+    where the next one starts.  An issue without a summary is not searchable.
     """
-    keys = ["lexeme", "issue_key", *FACETS, "created"]
-    return (occurrences(issues, *FACETS, "created").groupBy(*keys)
-            .agg(F.count_if("in_summary").alias("n_a"), F.count_if(~F.col("in_summary")).alias("n_b")))
+    columns = ["issue_key", *keep, "in_summary"]
+    fields = F.inline(F.array(
+        F.struct(F.lit(True).alias("in_summary"), F.col("summary").alias("body")),
+        F.struct(F.lit(False).alias("in_summary"), F.col("description").alias("body"))))
+    kept = F.filter(text.words(F.col("body")), lambda w: ~w.isin(V.STOP_WORDS))
+    placed = F.transform("s", lambda w, i: F.when((i == 0) | (w != F.get("s", i - 1)), i))
+    count = lambda at, j: F.coalesce(F.get("starts", j + 1), F.size("s")) - at
+    counted = F.transform("starts", lambda at, j: F.struct(F.get("s", at).alias("lexeme"), count(at, j).cast("long").alias("n")))
+    return (issues.where(F.col("summary").isNotNull()).select("issue_key", *keep, fields)
+            .select(*columns, F.sort_array(kept).alias("s"))
+            .select(*columns, "s", F.array_compact(placed).alias("starts"))
+            .select(*columns, F.inline(counted))
+            .select("issue_key", *keep, "lexeme", F.when(F.col("in_summary"), F.col("n")).otherwise(0).alias("n_a"),
+                    F.when(F.col("in_summary"), 0).otherwise(F.col("n")).alias("n_b")))
 
 
 def build_index(issues: DataFrame, path: str | None = None, buckets: int = BUCKETS, spread: int = SPREAD) -> KeywordIndex:
     """Write the index of ``issues`` to ``path`` (default: a kept table of this session) and open it.
 
-    The text is read once.  Stems are made for distinct words and joined to the counts.  Rows are shuffled once
-    more, by bucket and part of a bucket; forms of one stem add up inside the same tasks.  A target that exists is refused.
+    The text is read once, and its words are shuffled once, by bucket and part of a bucket, so that a word of
+    every issue is dealt among ``spread`` tasks.  All else is made from the written postings.  A target that exists is refused.
     """
     spark = issues.sparkSession
     path = path or kept_path(spark)
+    keys = ["bucket", "part", "lexeme", "issue_key", *FACETS, "created"]
+    (word_counts(issues, *FACETS, "created")
+     .withColumn("bucket", bucket_of(F.col("lexeme"), buckets))
+     .withColumn("part", F.pmod(F.xxhash64("issue_key"), F.lit(spread)))
+     .repartition("bucket", "part").groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+     .drop("part").sortWithinPartitions("bucket", "lexeme", "issue_key")
+     .write.partitionBy("bucket").parquet(f"{path}/postings"))
     with scratch(spark):
-        counted = cut_lineage(word_counts(issues))
-        stems = stem_words(counted.select(F.col("lexeme").alias("word")).distinct())
-        rows = (counted.join(stems, F.col("lexeme") == F.col("word"))
-                .select(bucket_of(F.col("stem"), buckets).alias("bucket"), F.col("stem").alias("lexeme"),
-                        "issue_key", *FACETS, "created", "n_a", "n_b",
-                        F.pmod(F.xxhash64("issue_key"), F.lit(spread)).alias("part")))
-        (rows.repartition("bucket", "part")
-         .groupBy("bucket", "part", "lexeme", "issue_key", *FACETS, "created")
-         .agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-         .drop("part").sortWithinPartitions("bucket", "lexeme", "issue_key")
-         .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    (_postings(spark, path).groupBy("bucket", F.col("lexeme").alias("word")).agg(F.count("*").alias("ndoc"))
-     .repartition("bucket").sortWithinPartitions("bucket", "word")
-     .write.partitionBy("bucket").parquet(f"{path}/frequency"))
+        (_forms(_postings(spark, path)).select(
+            bucket_of(F.col("stem"), buckets).alias("bucket"), "stem", "ndoc", F.col("word").alias("form"),
+            bucket_of(F.col("word"), buckets).alias("form_bucket"))
+         .repartition("bucket").sortWithinPartitions("bucket", "stem")
+         .write.partitionBy("bucket").parquet(f"{path}/forms"))
     (issues.agg(F.count("*").alias("issues")).withColumn("buckets", F.lit(buckets))
      .write.parquet(f"{path}/size"))
     return open_index(spark, path)
 
 
+def _forms(postings: DataFrame) -> DataFrame:
+    """``(word, stem, ndoc)``.  A stem of one form is found as often as that; only issues of the others are made distinct."""
+    words = cut_lineage(postings.groupBy(F.col("lexeme").alias("word")).agg(F.count("*").alias("n")))
+    forms = cut_lineage(words.join(stem_words(words.select("word")), "word"))
+    several = forms.groupBy("stem").agg(F.count("*").alias("forms")).where("forms > 1").select("stem")
+    several = cut_lineage(forms.join(several, "stem", "left_semi").select("word", "stem"))
+    held = (postings.select(F.col("lexeme").alias("word"), "issue_key").join(several, "word")
+            .select("stem", "issue_key").distinct().groupBy("stem").agg(F.count("*").alias("issues")))
+    return forms.join(held, "stem", "left").select("word", "stem", F.coalesce("issues", "n").alias("ndoc"))
+
+
 def _postings(spark: SparkSession, path: str) -> DataFrame:
     """An index of no issue has no files to read columns from, so they are given."""
     columns = ("lexeme string, issue_key string, priority string, issue_type string, resolution string, "
@@ -93,24 +117,25 @@ def _postings(spark: SparkSession, path: str) -> DataFrame:
 def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     size = spark.read.parquet(f"{path}/size").first()
     return KeywordIndex(path, _postings(spark, path),
-                        spark.read.schema("word string, ndoc long, bucket int").parquet(f"{path}/frequency"),
+                        spark.read.schema("stem string, ndoc long, form string, form_bucket int, bucket int").parquet(f"{path}/forms"),
                         size.issues, size.buckets)
 
 
 def lexeme_frequency(index: KeywordIndex) -> DataFrame:
     """``(word, ndoc)`` of all stems."""
-    return index.frequency.select("word", "ndoc")
+    return index.forms.groupBy(F.col("stem").alias("word")).agg(F.max("ndoc").alias("ndoc"))
 
 
-def rare_stems(index: KeywordIndex, lexemes: DataFrame, share: float = V.RARE_SHARE) -> DataFrame:
-    """``(*columns, bucket, ndoc)`` of ``lexemes(lexeme, ...)`` found in fewer than ``share`` of all issues.
+def rare_forms(index: KeywordIndex, stems: DataFrame, share: float = V.RARE_SHARE) -> DataFrame:
+    """``stems(lexeme, ...)`` found in fewer than ``share`` of all issues, with ``form``, ``bucket`` of the form and ``ndoc``.
 
     A stem that no issue holds matches nothing and is left out.
     """
-    asked = lexemes.withColumn("bucket", index.bucket_of(F.col("lexeme")))
-    frequency = index.within(index.frequency, asked).withColumnRenamed("word", "lexeme")
-    return (asked.join(frequency.where(F.col("ndoc") < F.lit(share) * F.lit(index.issues)), ["bucket", "lexeme"])
-            .select(*lexemes.columns, "bucket", "ndoc"))
+    asked = stems.withColumn("bucket", index.bucket_of(F.col("lexeme")))
+    forms = (index.within(index.forms, asked).where(F.col("ndoc") < F.lit(share) * F.lit(index.issues))
+             .withColumnRenamed("stem", "lexeme"))
+    return (asked.join(forms, ["bucket", "lexeme"])
+            .select(*stems.columns, "form", F.col("form_bucket").alias("bucket"), "ndoc"))
 
 
 def question_stems(questions: DataFrame, *keep: str) -> DataFrame:
@@ -123,16 +148,16 @@ def question_stems(questions: DataFrame, *keep: str) -> DataFrame:
 
 def keyword_hits(questions: DataFrame, index: KeywordIndex, chunk_keys: DataFrame,
                  n: int = V.FUSION_DEPTH, share: float = V.RARE_SHARE) -> DataFrame:
-    """``(qid, rank, issue_key, score)``: top ``n`` issues per question by the rare stems they share with it.
+    """``(qid, rank, issue_key, score)``: top ``n`` issues per question by the rare stems they share with it; forms of a stem add up.
 
     ``questions`` carries the form columns; the filter is applied where a posting meets its question, before anything
-    is shuffled.  Only issues in ``chunk_keys(issue_key)`` count.  No text is read: only the buckets of asked stems.
+    is shuffled.  Only issues in ``chunk_keys(issue_key)`` count.  No text is read: only the buckets of the asked stems' forms.
     A question without rare stems gets no rows.
     """
     # Few rows, but they cost a pass over the questions and the frequencies; the kept table tells Spark its bytes.
-    wanted = cut_lineage(rare_stems(index, question_stems(questions, *FILTER_COLUMNS), share))
+    wanted = cut_lineage(rare_forms(index, question_stems(questions, *FILTER_COLUMNS), share))
     found = (index.within(index.postings, wanted).alias("i")
-             .join(wanted.alias("f"), (F.col("i.bucket") == F.col("f.bucket")) & (F.col("i.lexeme") == F.col("f.lexeme")))
+             .join(wanted.alias("f"), (F.col("i.bucket") == F.col("f.bucket")) & (F.col("i.lexeme") == F.col("f.form")))
              .where(form_condition("i.", "f."))
              .groupBy("f.qid", "i.issue_key").agg(weighted_sum()))
     found = found.join(chunk_keys.select("issue_key"), "issue_key", "left_semi")

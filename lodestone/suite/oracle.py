@@ -424,8 +424,8 @@ SELECT issue_key, resolution FROM v_issues WHERE priority IN ('Blocker') AND iss
 SELECT r.qid, p.issue_key, round(sum(p.n_a) * 1.0::DOUBLE + sum(p.n_b) * 0.4::DOUBLE, 6) AS score
 FROM v_rare r JOIN v_postings p ON p.lexeme = r.lexeme GROUP BY r.qid, p.issue_key""",
     "index_postings": """
-SELECT p.stem AS lexeme, p.issue_key, i.priority, i.issue_type, i.resolution, i.created::TIMESTAMP AS created, p.n_a, p.n_b
-FROM v_stem_postings p JOIN v_issues i ON i.issue_key = p.issue_key""",
+SELECT p.lexeme, p.issue_key, i.priority, i.issue_type, i.resolution, i.created::TIMESTAMP AS created, p.n_a, p.n_b
+FROM v_postings p JOIN v_issues i ON i.issue_key = p.issue_key""",
     "index_frequency": "SELECT word, ndoc FROM v_stem_df",
     "stemmed_vocabulary": "SELECT word, stem FROM v_stems WHERE word IN (SELECT word FROM v_df)",
     "stemmed_scores": """
