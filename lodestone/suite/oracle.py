@@ -597,8 +597,17 @@ SELECT n.issue_key, n.issue_id, CASE WHEN t.issue_key IS NOT NULL THEN 'archive'
   {TIME.format('n.updated')} AS updated, {TIME.format('n.updated')} AS resolutiondate
 FROM v_newest n LEFT JOIN (SELECT * FROM v_issues WHERE created < TIMESTAMP '1999-01-01') t ON t.issue_key = n.issue_key""",
     "stream_ingest": f"""
-SELECT issue_key, issue_id, project, summary, description, issue_type, priority, status, resolution, {stamp('created')},
-  {stamp('updated')}, {TIME.format('updated')} AS resolutiondate FROM v_newest""",
+SELECT n.issue_key, n.issue_id, CASE WHEN t.issue_key IS NOT NULL THEN 'archive' ELSE n.project END AS project, n.summary, n.description,
+  CASE WHEN t.issue_key IS NOT NULL THEN lower(n.issue_type) ELSE n.issue_type END AS issue_type, n.priority, n.status, n.resolution,
+  {TIME.format('CASE WHEN t.issue_key IS NOT NULL THEN t.created ELSE n.created END')} AS created,
+  {TIME.format('n.updated')} AS updated, {TIME.format('n.updated')} AS resolutiondate
+FROM v_newest n LEFT JOIN (SELECT * FROM v_issues WHERE created < TIMESTAMP '1999-01-01') t ON t.issue_key = n.issue_key""",
+    "stream_embed": f"""
+SELECT issue_key, 'summary_desc' AS strategy, 0 AS chunk_index, content, length(content) AS token_count, 32 AS dim FROM (
+  SELECT n.issue_key, CASE WHEN t.issue_key IS NOT NULL AND t.description IS NULL THEN lower(t.summary)
+    WHEN t.issue_key IS NOT NULL THEN concat(lower(t.summary), chr(10), chr(10), t.description)
+    WHEN n.description IS NULL THEN n.summary ELSE concat(n.summary, chr(10), chr(10), n.description) END AS content
+  FROM v_newest n LEFT JOIN (SELECT * FROM v_issues WHERE created < TIMESTAMP '1999-01-01') t ON t.issue_key = n.issue_key)""",
     "chunk_upsert": """
 SELECT c.issue_key, c.strategy, c.chunk_index,
   CASE WHEN i.status <> 'O' THEN c.content ELSE w.whole END AS content,

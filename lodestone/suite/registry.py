@@ -554,15 +554,55 @@ def project_oldest(t: Tables) -> DataFrame:
     return pages.of_project(t.issues, "src7", max_issues=25).select("issue_key", "issue_id")
 
 
+def land_pages(t: Tables, folder: str, version: str, files: int) -> None:
+    """One version of every issue, landed as pages of up to 50 issues, a page a line, in a few files."""
+    only = F.filter("p.issues", lambda i: (i["fields"]["status"]["name"] == "O") == F.lit(version == "first"))
+    paged = (t.page_bodies.select(F.from_json("body", schemas.PAGE).alias("p"))
+             .select(F.floor(F.col("p.startAt") / 50).alias("page"), F.inline(only))
+             .groupBy("page").agg(F.array_sort(F.collect_list(F.struct("key", "id", "fields"))).alias("issues")))
+    body = F.to_json(F.struct((F.col("page") * 50).alias("startAt"), F.size("issues").alias("total"), "issues"))
+    paged.select(body.alias("value")).repartition(files).write.mode("append").text(folder)
+
+
+def seeded_store(t: Tables, root: str):
+    """An issue store that holds the issues as they stood at the start of 1999."""
+    store = ingest.issue_store(t.spark, root, buckets=16)
+    seeds = t.stored_issues.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ISSUES
+                                          if f.name not in t.stored_issues.columns)).select(*schemas.ISSUES.names)
+    store.append(store.snapshot(), seeds, {}, {})
+    return store
+
+
+def drain(t: Tables, root: str) -> None:
+    ingest.stream_issues(t.spark, f"{root}/landing", f"{root}/issues", f"{root}/state", multi_line=False,
+                         max_files=2, keep=2).awaitTermination()
+
+
 @query
 def stream_ingest(t: Tables) -> DataFrame:
-    """Every page landed as JSON files, drained by the streaming upsert; the resulting issue snapshot."""
-    spark = t.spark
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    t.page_bodies.write.text(f"{root}/landing")
-    job = ingest.stream_issues(spark, f"{root}/landing", f"{root}/issues", f"{root}/state", multi_line=False)
-    job.awaitTermination()
-    return as_text(ingest.latest_snapshot(spark, f"{root}/issues", schemas.ISSUES).select(*FLAT))
+    """Pages of many issues, landed twice, drained in four batches into a store that holds older issues; the newest snapshot."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    store = seeded_store(t, f"{root}/issues")
+    for version in ("first", "closing"):
+        land_pages(t, f"{root}/landing", version, files=4)
+        drain(t, root)
+    return as_text(store.read().select(*FLAT))
+
+
+@query
+def stream_embed(t: Tables) -> DataFrame:
+    """Chunks of a stream that was told of all issues while only the old ones were merged, and ran again after the merge."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    seeded_store(t, f"{root}/issues")
+    for version in ("first", "closing"):
+        land_pages(t, f"{root}/landing", version, files=4)
+    for merged in (False, True):
+        if merged:
+            drain(t, root)
+        ingest.stream_chunks(t.spark, f"{root}/landing", f"{root}/issues", f"{root}/chunks", f"{root}/embedded", DESC,
+                             lambda: content.HashingEmbedder(SHORT_DIM), multi_line=False).awaitTermination()
+    made = ingest.chunk_store(t.spark, f"{root}/chunks").read()
+    return made.select("issue_key", "strategy", "chunk_index", "content", "token_count", F.size("embedding").alias("dim"))
 
 
 @query
