@@ -2,27 +2,13 @@
 
 from pyspark.sql import types as T
 
-NAMED = T.StructType([T.StructField("name", T.StringType())])
-
-PAGE_FIELDS = T.StructType([
-    T.StructField("summary", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("issuetype", NAMED),
-    T.StructField("priority", NAMED),
-    T.StructField("status", NAMED),
-    T.StructField("resolution", NAMED),
-    T.StructField("created", T.StringType()),
-    T.StructField("updated", T.StringType()),
-    T.StructField("resolutiondate", T.StringType()),
-])
-
 PAGE = T.StructType([
     T.StructField("startAt", T.LongType()),
     T.StructField("total", T.LongType()),
     T.StructField("issues", T.ArrayType(T.StructType([
         T.StructField("key", T.StringType()),
         T.StructField("id", T.StringType()),
-        T.StructField("fields", PAGE_FIELDS),
+        T.StructField("fields", T.VariantType()),      # as delivered, declared or not
     ]))),
 ])
 

@@ -28,21 +28,27 @@ def api_time(stamp: Column) -> Column:
 def flatten_pages(pages: DataFrame, project: str | None = None) -> DataFrame:
     """One row per issue, with its ``start_at`` and ``position`` as arrival order.
 
-    Pages without issues add nothing.  Without ``project`` the key's prefix is used.
+    Pages without issues add nothing.  Without ``project`` the key's prefix is used.  ``raw`` holds all fields as they
+    came, undeclared and nested ones and explicit nulls too, as JSON with sorted keys and no blanks.
     """
-    f = "i.fields."
+    def field(name: str) -> Column:
+        return F.try_variant_get("i.fields", f"$.{name}", "string")
+
+    def name_of(name: str) -> Column:
+        """The name of a named object; NULL where the field is anything else."""
+        return field(f"{name}.name")
+
     owner = F.lit(project) if project else F.substring_index("i.key", "-", 1)
     # The outer form keeps Catalyst from adding a size test that would parse JSON pages twice.
     return (pages.select("startAt", F.posexplode_outer("issues").alias("position", "i"))
             .where(F.col("position").isNotNull())
             .select(
                 F.col("i.key").alias("issue_key"), F.col("i.id").cast("bigint").alias("issue_id"),
-                owner.alias("project"), F.col(f + "summary").alias("summary"),
-                F.col(f + "description").alias("description"),
-                F.col(f + "issuetype.name").alias("issue_type"), F.col(f + "priority.name").alias("priority"),
-                F.col(f + "status.name").alias("status"), F.col(f + "resolution.name").alias("resolution"),
-                api_time(F.col(f + "created")).alias("created"), api_time(F.col(f + "updated")).alias("updated"),
-                api_time(F.col(f + "resolutiondate")).alias("resolutiondate"),
+                owner.alias("project"), field("summary").alias("summary"), field("description").alias("description"),
+                name_of("issuetype").alias("issue_type"), name_of("priority").alias("priority"),
+                name_of("status").alias("status"), name_of("resolution").alias("resolution"),
+                api_time(field("created")).alias("created"), api_time(field("updated")).alias("updated"),
+                api_time(field("resolutiondate")).alias("resolutiondate"),
                 F.to_json("i.fields").alias("raw"),
                 F.current_timestamp().alias("ingested_at"), F.lit(False).alias("date_suspect"),
                 F.coalesce("startAt", F.lit(0)).alias("start_at"), "position"))

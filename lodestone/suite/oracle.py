@@ -35,6 +35,22 @@ def listed(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def named_object(column: str) -> str:
+    return f"CASE WHEN {column} IS NOT NULL THEN json_object('name', {column}) END"
+
+
+def sent(column: str) -> str:
+    return f"concat(strftime({column}, '%Y-%m-%dT%H:%M:%S.%g'), CASE WHEN issue_type = 'Improvement' THEN '+0200' ELSE '+0000' END)"
+
+
+def raw_fields(description: str, status: str, resolution: str, updated: str) -> str:
+    """All delivered fields of an issue version, keys in order."""
+    return f"""json_object('created', {sent('created')}, 'description', {description}, 'issuetype', {named_object('issue_type')},
+    'labels', json_array(project, NULL), 'priority', {named_object('priority')}, 'resolution', {resolution}, 'resolutiondate', {updated},
+    'status', {status}, 'summary', summary, 'updated', {updated},
+    'votes', json_object('count', issue_id, 'last', json_object('by', NULL)))::VARCHAR"""
+
+
 FORM_MATCH = """(f.priority IS NULL OR list_contains(f.priority, i.priority))
   AND (f.issue_type IS NULL OR list_contains(f.issue_type, i.issue_type))
   AND (f.open IS NULL OR f.open = (i.resolution IS NULL))
@@ -323,13 +339,15 @@ SELECT f.qid, f.type, f.parse_error, {FILTERED} AS filtered,
   (SELECT count(*) FROM v_gold g JOIN v_selected s ON s.qid = g.qid AND s.issue_key = g.issue_key WHERE g.qid = f.qid) AS kept,
   (SELECT count(*) FROM v_gold g WHERE g.qid = f.qid) AS total
 FROM v_forms f""",
-    "v_flat": """
+    "v_flat": f"""
 SELECT issue_key, issue_id, 'DOC' AS project, summary, description, issue_type, priority, 'O' AS status, NULL AS resolution,
-  shifted AS created, NULL AS updated, issue_id AS start_at, 0 AS position FROM (
+  shifted AS created, NULL AS updated, issue_id AS start_at, 0 AS position,
+  {raw_fields('description', "json_object('name', 'O')", "'none'", 'NULL')} AS raw FROM (
   SELECT *, CASE WHEN issue_type = 'Improvement' THEN created - INTERVAL 2 HOUR ELSE created END AS shifted FROM v_issues)
 UNION ALL
 SELECT issue_key, issue_id, 'DOC', summary, CASE WHEN priority <> 'Trivial' THEN description END, issue_type, priority, status, resolution,
-  shifted, CASE WHEN issue_type = 'Improvement' THEN updated - INTERVAL 2 HOUR ELSE updated END, issue_id, 1 FROM (
+  shifted, CASE WHEN issue_type = 'Improvement' THEN updated - INTERVAL 2 HOUR ELSE updated END, issue_id, 1,
+  {raw_fields("CASE WHEN priority <> 'Trivial' THEN description END", named_object('status'), named_object('resolution'), sent('updated'))} FROM (
   SELECT *, CASE WHEN issue_type = 'Improvement' THEN created - INTERVAL 2 HOUR ELSE created END AS shifted FROM v_issues)
 WHERE status <> 'O'""",
     "v_newest": """
@@ -589,18 +607,18 @@ SELECT DISTINCT length(summary)::DOUBLE AS size,
 SELECT count(*) AS questions, count(*) FILTER (WHERE a = b) AS exact FROM l""",
     "issue_flatten": f"""
 SELECT issue_key, issue_id, project, summary, description, issue_type, priority, status, resolution, {stamp('created')},
-  {stamp('updated')}, {TIME.format('updated')} AS resolutiondate, false AS date_suspect, start_at, position FROM v_flat""",
+  {stamp('updated')}, {TIME.format('updated')} AS resolutiondate, false AS date_suspect, start_at, position, raw FROM v_flat""",
     "issue_upsert": f"""
 SELECT n.issue_key, n.issue_id, CASE WHEN t.issue_key IS NOT NULL THEN 'archive' ELSE n.project END AS project, n.summary, n.description,
   CASE WHEN t.issue_key IS NOT NULL THEN lower(n.issue_type) ELSE n.issue_type END AS issue_type, n.priority, n.status, n.resolution,
   {TIME.format('CASE WHEN t.issue_key IS NOT NULL THEN t.created ELSE n.created END')} AS created,
-  {TIME.format('n.updated')} AS updated, {TIME.format('n.updated')} AS resolutiondate
+  {TIME.format('n.updated')} AS updated, {TIME.format('n.updated')} AS resolutiondate, n.raw
 FROM v_newest n LEFT JOIN (SELECT * FROM v_issues WHERE created < TIMESTAMP '1999-01-01') t ON t.issue_key = n.issue_key""",
     "stream_ingest": f"""
 SELECT n.issue_key, n.issue_id, CASE WHEN t.issue_key IS NOT NULL THEN 'archive' ELSE n.project END AS project, n.summary, n.description,
   CASE WHEN t.issue_key IS NOT NULL THEN lower(n.issue_type) ELSE n.issue_type END AS issue_type, n.priority, n.status, n.resolution,
   {TIME.format('CASE WHEN t.issue_key IS NOT NULL THEN t.created ELSE n.created END')} AS created,
-  {TIME.format('n.updated')} AS updated, {TIME.format('n.updated')} AS resolutiondate
+  {TIME.format('n.updated')} AS updated, {TIME.format('n.updated')} AS resolutiondate, n.raw
 FROM v_newest n LEFT JOIN (SELECT * FROM v_issues WHERE created < TIMESTAMP '1999-01-01') t ON t.issue_key = n.issue_key""",
     "stream_embed": f"""
 SELECT issue_key, 'summary_desc' AS strategy, 0 AS chunk_index, content, length(content) AS token_count, 32 AS dim FROM (

@@ -527,13 +527,13 @@ def as_text(df: DataFrame) -> DataFrame:
 @query
 def issue_flatten(t: Tables) -> DataFrame:
     flat = pages.flatten_pages(pages.parse_pages(t.page_bodies))
-    return as_text(flat.select(*FLAT, "date_suspect", "start_at", "position"))
+    return as_text(flat.select(*FLAT, "raw", "date_suspect", "start_at", "position"))
 
 
 @query
 def issue_upsert(t: Tables) -> DataFrame:
     arriving = pages.flatten_pages(pages.parse_pages(t.page_bodies))
-    return as_text(merge.upsert_issues(t.stored_issues, arriving, ["start_at", "position"]).select(*FLAT))
+    return as_text(merge.upsert_issues(t.stored_issues, arriving, ["start_at", "position"]).select(*FLAT, "raw"))
 
 
 @query
@@ -556,10 +556,10 @@ def project_oldest(t: Tables) -> DataFrame:
 
 def land_pages(t: Tables, folder: str, version: str, files: int) -> None:
     """One version of every issue, landed as pages of up to 50 issues, a page a line, in a few files."""
-    only = F.filter("p.issues", lambda i: (i["fields"]["status"]["name"] == "O") == F.lit(version == "first"))
+    only = F.filter("p.issues", lambda i: (F.try_variant_get(i["fields"], "$.status.name", "string") == "O") == F.lit(version == "first"))
     paged = (t.page_bodies.select(F.from_json("body", schemas.PAGE).alias("p"))
              .select(F.floor(F.col("p.startAt") / 50).alias("page"), F.inline(only))
-             .groupBy("page").agg(F.array_sort(F.collect_list(F.struct("key", "id", "fields"))).alias("issues")))
+             .groupBy("page").agg(F.collect_list(F.struct("key", "id", "fields")).alias("issues")))
     body = F.to_json(F.struct((F.col("page") * 50).alias("startAt"), F.size("issues").alias("total"), "issues"))
     paged.select(body.alias("value")).repartition(files).write.mode("append").text(folder)
 
@@ -586,7 +586,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     for version in ("first", "closing"):
         land_pages(t, f"{root}/landing", version, files=4)
         drain(t, root)
-    return as_text(store.read().select(*FLAT))
+    return as_text(store.read().select(*FLAT, "raw"))
 
 
 @query

@@ -202,7 +202,10 @@ class Tables:
 
     @cached_property
     def page_bodies(self) -> DataFrame:
-        """One landed page per issue as JSON text: its first version and, once closed, its closing version."""
+        """One landed page per issue as JSON text: its first version and, once closed, its closing version.
+
+        Fields come with undeclared and nested ones, explicit nulls, and a bare string where a named object belongs.
+        """
         offset = F.when(F.col("issue_type") == "Improvement", "+0200").otherwise("+0000")
 
         def stamp(c):
@@ -214,16 +217,18 @@ class Tables:
         def version(description, status, resolution, updated):
             return F.struct(
                 F.col("issue_key").alias("key"), F.col("issue_id").cast("string").alias("id"),
-                F.struct(F.col("summary").alias("summary"), description.alias("description"),
-                         named(F.col("issue_type")).alias("issuetype"), named(F.col("priority")).alias("priority"),
-                         named(status).alias("status"), named(resolution).alias("resolution"),
-                         stamp(F.col("created")).alias("created"), stamp(updated).alias("updated"),
-                         stamp(updated).alias("resolutiondate")).alias("fields"))
-
-        none = F.lit(None)
-        first = version(F.col("description"), F.lit("O"), none.cast("string"), none.cast("timestamp"))
+                F.to_variant_object(F.struct(
+                    F.col("summary").alias("summary"), description.alias("description"),
+                    named(F.col("issue_type")).alias("issuetype"), named(F.col("priority")).alias("priority"),
+                    named(status).alias("status"), resolution.alias("resolution"),
+                    stamp(F.col("created")).alias("created"), stamp(updated).alias("updated"),
+                    stamp(updated).alias("resolutiondate"), F.array("project", F.lit(None)).alias("labels"),
+                    F.struct(F.col("issue_id").alias("count"), F.struct(F.lit(None).cast("string").alias("by")).alias("last"))
+                    .alias("votes"))).alias("fields"))
+
+        first = version(F.col("description"), F.lit("O"), F.lit("none"), F.lit(None).cast("timestamp"))
         closing = version(F.when(F.col("priority") != "Trivial", F.col("description")), F.col("status"),
-                          F.col("resolution"), F.col("updated"))
+                          named(F.col("resolution")), F.col("updated"))
         versions = F.when(F.col("status") == "O", F.array(first)).otherwise(F.array(first, closing))
         return self.issues.select(F.to_json(F.struct(
             F.col("issue_id").alias("startAt"), F.lit(1).alias("total"), versions.alias("issues"))).alias("body"))
@@ -235,4 +240,5 @@ class Tables:
             "issue_key", "issue_id", F.lit("archive").alias("project"), F.lower("summary").alias("summary"),
             "description", F.lower("issue_type").alias("issue_type"), "priority", F.lit("O").alias("status"),
             F.lit(None).cast("string").alias("resolution"), "created",
-            F.lit(None).cast("timestamp").alias("updated"), F.lit(None).cast("timestamp").alias("resolutiondate"))
+            F.lit(None).cast("timestamp").alias("updated"), F.lit(None).cast("timestamp").alias("resolutiondate"),
+            F.lit(None).cast("string").alias("raw"))

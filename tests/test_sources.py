@@ -29,6 +29,23 @@ def test_pages(spark, tmp_path):
     assert pages.project_counts(flat).first().n == 2
 
 
+def test_raw_is_what_was_delivered(spark, tmp_path):
+    fields = {"summary": "é \"q\"\n\u0001", "description": None, "issuetype": "Bug", "priority": {"name": None}, "status": ["x"],
+              "resolution": 7, "customfield_1": {"b": [1, 2.5, {"c": None}], "a": True}, "created": "2020-05-01T12:00:00.000+0200",
+              "labels": [], "empty": {}, "big": 12345678901234567890}
+    bare = {"summary": 12, "created": "2020-05-01T12:00:00.000+0200"}
+    body = page(0, {"key": "A-1", "id": "1", "fields": fields}, {"key": "A-2", "id": "2", "fields": bare}, {"key": "A-3", "id": "3"})
+    (tmp_path / "a.json").write_text(json.dumps(body, indent=1))
+    as_text = pages.parse_pages(spark.createDataFrame([(json.dumps(body),), ("{broken",), (None,)], "body string"))
+    for made in (pages.read_pages(spark, str(tmp_path)), as_text):
+        rows = {r.issue_key: r for r in pages.flatten_pages(made).collect()}
+        a = rows["A-1"]
+        assert json.loads(a.raw) == fields and list(json.loads(a.raw)) == sorted(fields)
+        assert (a.issue_type, a.priority, a.status, a.resolution, a.description) == (None,) * 5
+        assert a.summary == fields["summary"] and rows["A-2"].summary == "12"
+        assert rows["A-3"].raw is None and len(rows) == 3
+
+
 def test_gold(spark, tmp_path):
     path = tmp_path / "gold.jsonl"
     path.write_text('{"id":"G1","type":"topic","question":"q","expected":["A-1","A-2"]}\n\n'

@@ -180,8 +180,8 @@ def test_embedding_reads_changed_buckets_and_survives_rebucketing(spark, tmp_pat
     chunks = ingest.chunk_store(spark, str(tmp_path / "chunks"))
 
     def add(n, *keys):
-        flat = pages.flatten_pages(spark.createDataFrame(
-            [(0, len(keys), [(k, "1", ("text of " + k, *[None] * 8)) for k in keys])], schemas.PAGE)).withColumn(
+        body = json.dumps({"startAt": 0, "issues": [{"key": k, "id": "1", "fields": {"summary": f"text of {k}"}} for k in keys]})
+        flat = pages.flatten_pages(pages.parse_pages(spark.createDataFrame([(body,)], "body string"))).withColumn(
             "created", F.lit("2020-01-01").cast("timestamp"))
         issues.merge(flat, lambda before: upsert_issues(before, flat, ["start_at", "position"]), "i", n)
 
