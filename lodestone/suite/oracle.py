@@ -636,6 +636,13 @@ JOIN (SELECT issue_key, s.strategy, CASE WHEN s.strategy = 'summary_only' OR des
       FROM v_issues CROSS JOIN (SELECT unnest(['summary_only', 'summary_desc']) AS strategy) s) w
   ON w.issue_key = c.issue_key AND w.strategy = c.strategy
 WHERE i.status <> 'O' OR i.created < TIMESTAMP '1999-01-01'""",
+    "token_budget_batches": f"""
+RECURSIVE, sized AS MATERIALIZED (SELECT issue_key, token_count AS size, row_number() OVER (ORDER BY token_count, issue_key) AS n
+  FROM v_whole_contents WHERE strategy = 'summary_desc'),
+filled AS (SELECT n, 0 AS batch, 1 AS held FROM sized WHERE n = 1
+  UNION ALL SELECT s.n, CASE WHEN (held + 1) * s.size <= {V.MAX_BATCH_TOKENS} THEN batch ELSE batch + 1 END,
+    CASE WHEN (held + 1) * s.size <= {V.MAX_BATCH_TOKENS} THEN held + 1 ELSE 1 END FROM filled f JOIN sized s ON s.n = f.n + 1)
+SELECT issue_key, size, batch FROM filled JOIN sized USING (n)""",
     "project_counts": "SELECT project, count(*) AS n FROM v_issues GROUP BY project",
     "project_oldest": "SELECT issue_key, issue_id FROM v_issues WHERE project = 'src7' ORDER BY created, issue_key LIMIT 25",
     "md5_sample": "SELECT issue_key FROM v_issues ORDER BY md5(issue_key), issue_key LIMIT 50",
@@ -728,6 +735,8 @@ def statement(name: str) -> str:
     views = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in _needed(body, []))
     if not views:
         return body
+    if body.startswith("RECURSIVE"):
+        return f"WITH RECURSIVE {views}\n{body.removeprefix('RECURSIVE')}"
     return f"WITH {views}\n{body}"
 
 

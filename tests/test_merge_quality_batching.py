@@ -1,5 +1,3 @@
-from collections import defaultdict
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,19 +76,40 @@ def test_quality(spark):
     assert quality.wrong_dimension(chunks, 1).count() == 1
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_token_budget(spark, hot):
-    rows = spark.range(3000).select(
-        F.concat(F.lit("K-"), F.col("id")).alias("issue_key"),
-        (F.when((F.col("id") % 3 == 0) & F.lit(hot), 700).otherwise(F.pmod(F.hash("id"), F.lit(2500)))).cast("int").alias("size"))
-    out = batching.token_budget_batches(rows, "size", "issue_key", budget=2000).collect()
-    assert len(out) == 3000 and len({r.issue_key for r in out}) == 3000
-    batches = defaultdict(list)
-    for r in out:
-        batches[(r.part, r.batch)].append(r.size)
-    for sizes in batches.values():
-        assert len(sizes) == 1 or len(sizes) * max(sizes) <= 2000
-    for (part, n), sizes in batches.items():
-        following = batches.get((part, n + 1))
-        if following:      # greedy: the next row would not have fitted
-            assert (len(sizes) + 1) * min(following) > 2000 and max(sizes) <= min(following)
+def filled(sizes, budget):
+    """One pass over (size, key)."""
+    out, batch, held = {}, -1, 0
+    for size, key in sorted((max(s or 1, 1), k) for k, s in sizes.items()):
+        if batch < 0 or (held + 1) * size > budget:
+            batch, held = batch + 1, 0
+        out[key], held = batch, held + 1
+    return out
+
+
+@pytest.mark.parametrize("kind", ["spread", "hot", "equal", "over", "odd"])
+@pytest.mark.parametrize("budget", [2000, 7])
+def test_token_budget(spark, kind, budget):
+    by_kind = {"spread": F.pmod(F.hash("id"), F.lit(2500)),
+               "hot": F.when(F.col("id") % 3 == 0, 70).otherwise(F.pmod(F.hash("id"), F.lit(2500))),
+               "equal": F.lit(3), "over": F.lit(2001) + F.col("id") % 5,
+               "odd": F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id") % 9 - 3)}
+    rows = spark.range(3000).repartition(7).select(
+        F.concat(F.lit("K-"), F.col("id")).alias("issue_key"), by_kind[kind].cast("int").alias("size"), F.lit("x").alias("part"))
+    out = batching.token_budget_batches(rows, "size", "issue_key", budget=budget)
+    assert out.columns == ["issue_key", "size", "part", "batch"]
+    got = out.collect()
+    assert {r.issue_key: r.batch for r in got} == filled({r.issue_key: r["size"] for r in got}, budget) and len(got) == 3000
+
+
+def test_token_budget_of_nothing(spark):
+    assert batching.token_budget_batches(spark.createDataFrame([], "k string, n int"), "n", "k").collect() == []
+
+
+def test_token_budget_does_not_depend_on_the_partitioning(spark):
+    rows = spark.range(2000).select("id", F.pmod(F.hash("id"), F.lit(90)).alias("size"))
+    made = []
+    for partitions in ("2", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        made.append({tuple(r) for r in batching.token_budget_batches(rows, "size", "id", budget=500).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert made[0] == made[1]
