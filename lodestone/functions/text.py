@@ -84,6 +84,12 @@ def is_day(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d{2}-\d{2}$")
 
 
+def bound_time(text: Column) -> Column:
+    """Time of a filter bound: a whole day or a full timestamp that exists in the calendar, else NULL ("2020", "2020-02-30")."""
+    full = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$")
+    return F.when(is_day(text) | full, F.try_to_timestamp(text))
+
+
 def named_in(question: Column, name: Column) -> Column:
     """True if ``name`` stands in the question as a whole word, singular or plural.
 

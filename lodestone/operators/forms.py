@@ -126,6 +126,12 @@ def has_filter(prefix: str = "") -> Column:
     return reduce(lambda a, b: a | b, (F.col(prefix + n).isNotNull() for n in FILTER_COLUMNS))
 
 
+def date_error(prefix: str = "") -> Column:
+    """True if a created bound is no time: the form cannot be run, which is not the same as selecting nothing."""
+    bounds = [F.col(prefix + n) for n in ("created_from", "created_to")]
+    return reduce(lambda a, b: a | b, (c.isNotNull() & text.bound_time(c).isNull() for c in bounds))
+
+
 def form_condition(issue: str = "i.", form: str = "f.") -> Column:
     """Does the issue of this row satisfy the form of this row?  A bound that is no time selects nothing."""
     f, i = (lambda n: F.col(form + n)), (lambda n: F.col(issue + n))
@@ -135,8 +141,8 @@ def form_condition(issue: str = "i.", form: str = "f.") -> Column:
 
     return (listed("priority") & listed("issue_type") & listed("resolution")
             & (f("open").isNull() | (f("open") == i("resolution").isNull()))
-            & (f("created_from").isNull() | F.coalesce(i("created") >= F.try_to_timestamp(f("created_from")), F.lit(False)))
-            & (f("created_to").isNull() | F.coalesce(i("created") < F.try_to_timestamp(f("created_to")), F.lit(False))))
+            & (f("created_from").isNull() | F.coalesce(i("created") >= text.bound_time(f("created_from")), F.lit(False)))
+            & (f("created_to").isNull() | F.coalesce(i("created") < text.bound_time(f("created_to")), F.lit(False))))
 
 
 def where_form(issues: DataFrame, form: dict) -> DataFrame:
@@ -149,9 +155,9 @@ def where_form(issues: DataFrame, form: dict) -> DataFrame:
         unresolved = F.col("resolution").isNull()
         issues = issues.where(unresolved if form["open"] else ~unresolved)
     if form.get("created_from"):
-        issues = issues.where(F.col("created") >= F.try_to_timestamp(F.lit(form["created_from"])))
+        issues = issues.where(F.col("created") >= text.bound_time(F.lit(form["created_from"])))
     if form.get("created_to"):
-        issues = issues.where(F.col("created") < F.try_to_timestamp(F.lit(form["created_to"])))
+        issues = issues.where(F.col("created") < text.bound_time(F.lit(form["created_to"])))
     return issues
 
 
@@ -201,9 +207,8 @@ def _form_keys(forms: DataFrame) -> DataFrame:
         .when(F.col("open"), F.array(F.lit("null")))
         .when(~F.col("open"), F.array(F.lit("set")))
         .otherwise(F.array(F.lit("*"))))
-    since, until = F.try_to_timestamp("created_from"), F.try_to_timestamp("created_to")
-    readable = (F.col("created_from").isNull() | since.isNotNull()) & (F.col("created_to").isNull() | until.isNotNull())
-    return (forms.where(readable).select("form_id", since.alias("since"), until.alias("until"),
+    since, until = text.bound_time(F.col("created_from")), text.bound_time(F.col("created_to"))
+    return (forms.where(~date_error()).select("form_id", since.alias("since"), until.alias("until"),
                          F.explode(F.array_distinct(accepted("priority"))).alias("kp"),
                          "issue_type", "resolution", "open")
             .withColumn("kt", F.explode(F.array_distinct(accepted("issue_type"))))

@@ -85,13 +85,16 @@ def candidate_rows(issues: DataFrame, candidates: dict) -> DataFrame:
 
 
 def parse_eval(questions: DataFrame, issues: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per question: rows returned, gold kept "x/y", extra rows, filter and error flags."""
+    """Per question: rows returned, gold kept "x/y", extra rows, filter and error flags.
+
+    ``date_error`` marks a form whose created bound is no time; it returns no rows, and the other questions are not affected.
+    """
     counts = fm.filter_row_count(questions, issues).withColumnRenamed("filter_row_count", "rows_returned")
     kept = gold_kept(questions, issues, gold).groupBy("qid").agg(
         F.count_if("kept").alias("n_kept"), F.count("*").alias("n_gold"))
-    return (questions.select("qid", "type", "parse_error", fm.has_filter().alias("filtered"))
+    return (questions.select("qid", "type", "parse_error", fm.date_error().alias("date_error"), fm.has_filter().alias("filtered"))
             .join(counts, "qid").join(kept, "qid", "left").fillna(0, ["n_kept", "n_gold"])
-            .select("qid", "type", "parse_error", "filtered", "rows_returned",
+            .select("qid", "type", "parse_error", "date_error", "filtered", "rows_returned",
                     F.concat(F.col("n_kept").cast("string"), F.lit("/"), F.col("n_gold").cast("string")).alias("gold_kept"),
                     (F.col("rows_returned") - F.col("n_kept")).alias("extra_count")))
 

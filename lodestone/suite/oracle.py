@@ -335,6 +335,8 @@ FROM v_answers a LEFT JOIN (
     "v_selected": f"SELECT f.qid, i.* FROM v_forms f JOIN v_issues i ON {FORM_MATCH}",
     "v_parse": f"""
 SELECT f.qid, f.type, f.parse_error, {FILTERED} AS filtered,
+  (f.created_from IS NOT NULL AND try_cast(f.created_from AS TIMESTAMP) IS NULL)
+    OR (f.created_to IS NOT NULL AND try_cast(f.created_to AS TIMESTAMP) IS NULL) AS date_error,
   (SELECT count(*) FROM v_selected s WHERE s.qid = f.qid) AS rows_returned,
   (SELECT count(*) FROM v_gold g JOIN v_selected s ON s.qid = g.qid AND s.issue_key = g.issue_key WHERE g.qid = f.qid) AS kept,
   (SELECT count(*) FROM v_gold g WHERE g.qid = f.qid) AS total
@@ -574,7 +576,7 @@ UNION ALL SELECT 'invented', qid, type FROM v_grades WHERE invented > 0
 UNION ALL SELECT 'from_text', qid, type FROM v_grades WHERE from_text > 0
 UNION ALL SELECT 'missed_ceiling', qid, type FROM v_grades WHERE gold_in_context AND NOT hit""",
     "parse_rows": """
-SELECT qid, type, parse_error, filtered, rows_returned, concat(kept, '/', total) AS gold_kept, rows_returned - kept AS extra_count FROM v_parse""",
+SELECT qid, type, parse_error, date_error, filtered, rows_returned, concat(kept, '/', total) AS gold_kept, rows_returned - kept AS extra_count FROM v_parse""",
     "parse_summary": """
 SELECT CASE WHEN grouping(type) = 1 THEN 'overall' ELSE type END AS scope, count(*) AS n,
   count(*) FILTER (WHERE NOT filtered) AS empty_forms, count(*) FILTER (WHERE kept < total) AS dropped_gold,

@@ -111,6 +111,18 @@ def test_empty_form_has_no_filter(spark, forms):
     assert set(schemas.FORM_COLUMNS) >= set(fm.FILTER_COLUMNS)
 
 
+def test_only_days_and_full_timestamps_are_bounds(spark):
+    good = ["2020-01-31", "2020-02-29", "2020-01-31 10:00", "2020-01-31T10:00:00", "2020-01-31T10:00:00.123456", "2020-01-31T10:00:00Z",
+            "2020-01-31T10:00:00+02:00"]
+    bad = ["2020", "2020-01", "2020-1-5", "2021-02-29", "last year", "", " 2020-01-01", "2020-01-01x", "2020-01-01T25:00:00", "12:00", "20200101"]
+    rows = spark.createDataFrame([(b, None) for b in [*good, *bad, None]] + [(None, b) for b in [*good, *bad]],
+                                 "created_from string, created_to string")
+    flagged = [tuple(r) for r in rows.where(fm.date_error()).collect()]
+    assert flagged == [(b, None) for b in bad] + [(None, b) for b in bad]
+    issues = spark.createDataFrame(ISSUES, "issue_key string, priority string, issue_type string, resolution string, created timestamp")
+    assert fm.where_form(issues, {"created_from": "2020"}).count() == 0
+
+
 def test_timed_and_unreadable_bounds_agree_on_both_paths(spark):
     """Bounds count to the second, and a bound that is no time fails its own question only."""
     issues = spark.sql("""SELECT * FROM VALUES ('A-1', timestamp'2020-01-01 06:00:00'), ('A-2', timestamp'2020-01-01 18:00:00'), ('A-3', timestamp'2020-01-02 00:00:00')
