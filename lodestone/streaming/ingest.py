@@ -57,7 +57,7 @@ def stream_issues(spark: SparkSession, landing: str, root: str, checkpoint: str,
         store = issue_store(batch.sparkSession, root, buckets)
         with scratch(batch.sparkSession):
             arriving = cut_lineage(flatten_pages(batch, project))      # pages are parsed once
-            store.merge(arriving, lambda before: upsert_issues(before, arriving, ["start_at", "position"]),
+            store.merge(arriving, lambda before, buckets: upsert_issues(before, arriving, ["start_at", "position"], buckets),
                         _stream_id(checkpoint, batch), number)
         store.expire(keep)
 

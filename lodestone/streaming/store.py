@@ -71,7 +71,8 @@ class BucketStore:
         return Snapshot(number, body["buckets"], folders, body["applied"], body["seen"])
 
     def bucket_of(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
+        """The task that ``repartition(buckets, key)`` deals a row to: one task writes a bucket, one file each."""
+        return F.pmod(F.hash(self.key), F.lit(buckets)).cast("int")
 
     def read(self, held: Snapshot | None = None, only: list[int] | None = None) -> DataFrame:
         """The rows of a snapshot (the newest), or of some of its buckets: only their files are listed and opened."""
@@ -82,9 +83,10 @@ class BucketStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def merge(self, source: DataFrame, make: Callable[[DataFrame], DataFrame], stream: str, batch: int) -> bool:
-        """Replace the buckets of ``source``'s keys by ``make(their rows)``; false if the batch is in the store already.
+    def merge(self, source: DataFrame, make: Callable[[DataFrame, int], DataFrame], stream: str, batch: int) -> bool:
+        """Replace the buckets of ``source``'s keys by ``make(their rows, buckets)``; false if the batch is in the store already.
 
+        ``make`` leaves its rows dealt by ``repartition(buckets, key)``, so that writing them needs no shuffle.
         ``source`` is read twice, for its buckets and by ``make``.
         """
         while True:
@@ -93,11 +95,11 @@ class BucketStore:
                 return False
             numbers = source.select(self.bucket_of(held.buckets).alias("b")).distinct()
             touched = [row.b for row in numbers.collect()]      # at most one row a bucket
-            if self.replace(held, touched, make(self.read(held, touched)), {stream: batch}):
+            if self.replace(held, touched, make(self.read(held, touched), held.buckets), {stream: batch}):
                 return True
 
     def replace(self, held: Snapshot, touched: list[int], rows: DataFrame, applied: dict[str, int]) -> bool:
-        """Next snapshot: ``rows`` are all rows of the ``touched`` buckets.  False if another writer took the number."""
+        """Next snapshot: ``rows``, dealt by key, are all rows of the ``touched`` buckets.  False if another writer took the number."""
         gone = set(touched)
         folders = {b: there for b, there in held.folders.items() if b not in gone}
         if touched:
@@ -107,7 +109,7 @@ class BucketStore:
     def append(self, held: Snapshot, rows: DataFrame, applied: dict[str, int], seen: dict[str, list[str]]) -> bool:
         """Next snapshot: ``rows`` of new keys lie beside what their buckets hold.  False if another writer took the number."""
         folders = dict(held.folders)
-        for b, there in self._write(rows, held.number + 1, held.buckets).items():
+        for b, there in self._write(rows.repartition(held.buckets, self.key), held.number + 1, held.buckets).items():
             folders[b] = folders.get(b, []) + there
         return self._commit(Snapshot(held.number + 1, held.buckets, folders, held.applied | applied, held.seen | seen))
 
@@ -116,22 +118,22 @@ class BucketStore:
         while True:
             held = self.snapshot()
             spread = [b for b, there in held.folders.items() if len(there) > most]
-            if not spread or self.replace(held, spread, self.read(held, spread), {}):
+            rows = self.read(held, spread).repartition(held.buckets, self.key)
+            if not spread or self.replace(held, spread, rows, {}):
                 return
 
     def rebucket(self, buckets: int) -> None:
         """Deal the whole table into another number of buckets, as a snapshot of its own."""
         while True:
             held = self.snapshot()
-            folders = self._write(self.read(held), held.number + 1, buckets)
+            folders = self._write(self.read(held).repartition(buckets, self.key), held.number + 1, buckets)
             if self._commit(Snapshot(held.number + 1, buckets, folders, held.applied)):
                 return
 
     def _write(self, rows: DataFrame, number: int, buckets: int) -> dict[int, list[str]]:
         folder = f"data/v{number:08d}-{uuid.uuid4().hex}"
-        # A rebalance lets AQE split a large bucket among several tasks and put small ones together.
-        (rows.withColumn("_bucket", self.bucket_of(buckets)).hint("rebalance", "_bucket")
-         .write.partitionBy("_bucket").parquet(f"{self.root}/{folder}"))
+        (rows.withColumn("_bucket", self.bucket_of(buckets)).write.partitionBy("_bucket")
+         .option("compression", "zstd").parquet(f"{self.root}/{folder}"))
         names = [n for n in self._names(f"{self.root}/{folder}") if n.startswith("_bucket=")]
         return {int(n.split("=")[1]): [f"{folder}/{n}"] for n in names}
 

@@ -555,13 +555,13 @@ def project_oldest(t: Tables) -> DataFrame:
 
 
 def land_pages(t: Tables, folder: str, version: str, files: int) -> None:
-    """One version of every issue, landed as pages of up to 50 issues, a page a line, in a few files."""
+    """One version of every issue, landed as pages of up to 50 issues, a page a line, in a few compressed files."""
     only = F.filter("p.issues", lambda i: (F.try_variant_get(i["fields"], "$.status.name", "string") == "O") == F.lit(version == "first"))
     paged = (t.page_bodies.select(F.from_json("body", schemas.PAGE).alias("p"))
-             .select(F.floor(F.col("p.startAt") / 50).alias("page"), F.inline(only))
+             .select(F.floor(F.col("p.startAt") / 50).alias("page"), F.inline(only)).repartition(files, "page")
              .groupBy("page").agg(F.collect_list(F.struct("key", "id", "fields")).alias("issues")))
     body = F.to_json(F.struct((F.col("page") * 50).alias("startAt"), F.size("issues").alias("total"), "issues"))
-    paged.select(body.alias("value")).repartition(files).write.mode("append").text(folder)
+    paged.select(body.alias("value")).write.mode("append").option("compression", "gzip").text(folder)
 
 
 def seeded_store(t: Tables, root: str):

@@ -64,7 +64,7 @@ def test_snapshots_are_numbered_by_the_store(spark, tmp_path):
 
     # the same batch once more: nothing is made
     (stream, batch), = store.snapshot().applied.items()
-    assert not store.merge(store.read(), lambda before: 1 / 0, stream, batch)
+    assert not store.merge(store.read(), lambda before, buckets: 1 / 0, stream, batch)
 
     # a new checkpoint starts at batch 0, but its rows come last
     land(landing, "p9.json", 9, ("A-0", "one", "Done"))
@@ -104,7 +104,7 @@ def keyed(spark, *rows):
 
 
 def latest_wins(source):
-    return lambda before: before.join(source, "issue_key", "left_anti").unionByName(source)
+    return lambda before, buckets: before.join(source, "issue_key", "left_anti").unionByName(source).repartition(buckets, "issue_key")
 
 
 def contents_of(store, number=None):
@@ -121,6 +121,8 @@ def test_untouched_buckets_keep_their_files(spark, tmp_path):
     assert store.merge(change, latest_wins(change), "s", 1)
     after = store.snapshot()
     assert {b for b in after.folders if after.folders[b] != before.folders.get(b)} == touched and len(touched) < 8
+    parts = [n for there in before.folders.values() for f in there for n in store._names(f"{tmp_path}/{f}") if n.endswith(".parquet")]
+    assert len(parts) == len(before.folders)       # one task writes a bucket
     expected = {f"K-{i}": i for i in range(200)}
     assert contents_of(store, 0) == expected       # an older snapshot still reads as it was
     assert contents_of(store) == expected | {"K-7": -7, "K-7x": 1}
@@ -130,12 +132,12 @@ def test_of_two_writers_one_wins_and_the_other_merges_again(spark, tmp_path):
     store = BucketStore(spark, str(tmp_path), KEYED, "issue_key", buckets=2)
     other, tries = BucketStore(spark, str(tmp_path), KEYED, "issue_key", buckets=2), []
 
-    def slow(before):
+    def slow(before, buckets):
         tries.append(1)
         if len(tries) == 1:
             source = keyed(spark, ("B", 2))
             assert other.merge(source, latest_wins(source), "other", 0)
-        return latest_wins(mine)(before)
+        return latest_wins(mine)(before, buckets)
 
     mine = keyed(spark, ("A", 1))
     assert store.merge(mine, slow, "mine", 0)
@@ -157,7 +159,7 @@ def test_expiry_deletes_only_what_no_kept_snapshot_names(spark, tmp_path):
     named = {f for n in (3, 4) for there in store.snapshot(n).folders.values() for f in there}
     there = {f"data/{v}/{b}" for v in store._names(f"{tmp_path}/data") for b in store._names(f"{tmp_path}/data/{v}") if b.startswith("_b")}
     assert there == named | {f for folders in written.values() for f in folders}
-    assert not store.merge(keyed(spark, ("A", 9)), lambda before: 1 / 0, "s", 4)      # still known after expiry
+    assert not store.merge(keyed(spark, ("A", 9)), lambda before, buckets: 1 / 0, "s", 4)      # still known after expiry
 
 
 def test_appends_compaction_and_other_bucket_counts(spark, tmp_path):
@@ -183,7 +185,7 @@ def test_embedding_reads_changed_buckets_and_survives_rebucketing(spark, tmp_pat
         body = json.dumps({"startAt": 0, "issues": [{"key": k, "id": "1", "fields": {"summary": f"text of {k}"}} for k in keys]})
         flat = pages.flatten_pages(pages.parse_pages(spark.createDataFrame([(body,)], "body string"))).withColumn(
             "created", F.lit("2020-01-01").cast("timestamp"))
-        issues.merge(flat, lambda before: upsert_issues(before, flat, ["start_at", "position"]), "i", n)
+        issues.merge(flat, lambda before, buckets: upsert_issues(before, flat, ["start_at", "position"], buckets), "i", n)
 
     def run(n, make=lambda: HashingEmbedder(8)):
         ingest.embed_missing(issues, chunks, "summary_only", make, "c", n)
