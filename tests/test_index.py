@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import index as kwx
 from lodestone.operators import keyword as kw
@@ -95,3 +96,17 @@ def test_unstemmed_scores_stay(spark, corpus):
     asked = spark.createDataFrame([(1, "zookeeper fails")], "qid int, question string")
     scores = kw.score_postings(kw.question_lexemes(asked), kw.postings(corpus))
     assert {r.issue_key: r.score for r in scores.collect()} == {"K-1": 2.0, "K-5": 1.0}
+
+
+def test_words_are_counted_without_a_shuffle(corpus):
+    plan = kw.postings(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_rows_of_one_key_add_up_and_both_fields_make_one_row(spark, corpus):
+    twice = corpus.union(corpus.where("issue_key = 'K-1'")).union(
+        spark.createDataFrame([issue(7, "spill Spill, the x", "spill 1x x spillx")], ISSUE))
+    found = kw.postings(twice).collect()
+    rows = {(r.lexeme, r.issue_key): (r.n_a, r.n_b) for r in found}
+    assert len(rows) == len(found) and rows[("fails", "K-1")] == (2, 0) and rows[("failing", "K-1")] == (0, 2)
+    assert {w: n for (w, k), n in rows.items() if k == "K-7"} == {"spill": (2, 1), "x": (1, 1), "1x": (0, 1), "spillx": (0, 1)}
