@@ -98,6 +98,18 @@ def test_unstemmed_scores_stay(spark, corpus):
     assert {r.issue_key: r.score for r in scores.collect()} == {"K-1": 2.0, "K-5": 1.0}
 
 
+def test_parts_of_a_bucket_grow_in_number_with_the_text(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(kwx, "PART_BYTES", 2)
+    many = corpus.selectExpr("issue_key", "summary", "description", "priority", "issue_type", "resolution", "created",
+                             "explode(sequence(1, 20)) AS n").withColumn("issue_key", F.concat("issue_key", F.lit("."), "n"))
+    made = kwx.build_index(many, str(tmp_path / "index"), buckets=2)
+    assert len(list((tmp_path / "index/postings/bucket=0").glob("*.parquet"))) > 4
+    for file in (tmp_path / "index/postings").glob("*/*.parquet"):
+        words = [r.lexeme for r in spark.read.parquet(str(file)).collect()]
+        assert words == sorted(words)
+    assert made.postings.where("lexeme = 'zookeeper'").count() == 40 and made.issues == 120
+
+
 def test_words_are_counted_without_a_shuffle(corpus):
     plan = kw.postings(corpus)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
