@@ -122,3 +122,11 @@ def test_rows_of_one_key_add_up_and_both_fields_make_one_row(spark, corpus):
     rows = {(r.lexeme, r.issue_key): (r.n_a, r.n_b) for r in found}
     assert len(rows) == len(found) and rows[("fails", "K-1")] == (2, 0) and rows[("failing", "K-1")] == (0, 2)
     assert {w: n for (w, k), n in rows.items() if k == "K-7"} == {"spill": (2, 1), "x": (1, 1), "1x": (0, 1), "spillx": (0, 1)}
+
+
+def test_stemmed_scores_look_up_forms_of_rare_stems(spark, corpus):
+    asked = spark.createDataFrame([(1, "zookeeper fail"), (2, "nowhere")], "qid int, question string")
+    scores = lambda share: {(r.qid, r.issue_key): round(r.score, 6)
+                            for r in kw.stemmed_scores(asked, corpus, kw.postings(corpus), share).collect()}
+    assert scores(2.0) == {(1, "K-1"): 2.8, (1, "K-4"): 1.0, (1, "K-5"): 1.0}
+    assert scores(0.4) == {(1, "K-1"): 1.8}     # "zookeep" has three issues of six, its forms have two at most
