@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -35,6 +36,18 @@ class Snapshot:
     seen: dict[str, list[str]] = field(default_factory=dict)        # what of another store this one has caught up with
 
 
+@contextmanager
+def dealt_into(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Aggregations by key are dealt as ``repartition(partitions, key)`` deals, so that Spark drops the second of the two shuffles."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class BucketStore:
     """The table under ``root``.  ``buckets`` counts only for a store that has no snapshot yet."""
 
@@ -95,7 +108,9 @@ class BucketStore:
                 return False
             numbers = source.select(self.bucket_of(held.buckets).alias("b")).distinct()
             touched = [row.b for row in numbers.collect()]      # at most one row a bucket
-            if self.replace(held, touched, make(self.read(held, touched), held.buckets), {stream: batch}):
+            with dealt_into(self.spark, held.buckets):
+                done = self.replace(held, touched, make(self.read(held, touched), held.buckets), {stream: batch})
+            if done:
                 return True
 
     def replace(self, held: Snapshot, touched: list[int], rows: DataFrame, applied: dict[str, int]) -> bool:

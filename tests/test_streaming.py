@@ -8,7 +8,7 @@ from lodestone.operators.merge import upsert_issues
 from lodestone.plans.content import HashingEmbedder
 from lodestone.sources import pages
 from lodestone.streaming import ingest
-from lodestone.streaming.store import BucketStore
+from lodestone.streaming.store import BucketStore, dealt_into
 
 
 def land(folder, name, start, *rows):
@@ -204,3 +204,12 @@ def test_embedding_reads_changed_buckets_and_survives_rebucketing(spark, tmp_pat
     issues.rebucket(3)
     assert run(2) == second and chunks.snapshot().buckets == 3
     assert run(2) == second                    # the same batch once more
+
+
+def test_a_merge_shuffles_each_side_once(spark):
+    rows = spark.createDataFrame([], schemas.ISSUES)
+    arriving = rows.withColumns({"start_at": F.lit(0), "position": F.lit(0)})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with dealt_into(spark, 5):
+        plan = upsert_issues(rows, arriving, ["start_at", "position"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(issue_key") == 2 and spark.conf.get("spark.sql.shuffle.partitions") == before
