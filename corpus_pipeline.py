@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, decontaminate, secrets, setjoin, simhash, toxicity
 from lodestone.llm.common import table
 from lodestone.llm.components import components
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, scratch
 
 
 #: Bits in which fingerprints over runs of five words may differ in the near-duplicate stage: 127 tables.  What they link is a
@@ -67,14 +67,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows, back = _apart(docs)
     texts = rows.select("text", F.xxhash64("text").alias("digest"))
-    near = cut_lineage(simhash.fingerprints(rows, NEAR_WORDS)).withColumnRenamed("same", "group")
-    links = setjoin.verified(_proposed(near), texts, NEAR_WORDS)
-    first = components(links).withColumnsRenamed({"node": "group", "component": "first"})
-    near = cut_lineage(near.join(first, "group", "left").select("doc_id", "digest", F.coalesce("first", "group").alias("group")))
-    names = setjoin.join_groups(texts, near, NEAR_WORDS)
-    near = near.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    kept = near.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
+    with scratch(spark) as keep:
+        near = cut_lineage(simhash.fingerprints(rows, NEAR_WORDS)).withColumnRenamed("same", "group")
+        signed = setjoin.signatures(texts, NEAR_WORDS)
+        links = setjoin.verified(_proposed(near), texts, NEAR_WORDS, signed)
+        first = components(links).withColumnsRenamed({"node": "group", "component": "first"})
+        near = cut_lineage(near.join(first, "group", "left").select("doc_id", "digest", F.coalesce("first", "group").alias("group")))
+        names = setjoin.join_groups(texts, near, NEAR_WORDS, signed=signed)
+        near = near.join(names, "group", "left").withColumn("group", F.coalesce("joined", "group"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+        kept = keep(near.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest")))
     marked = rows.withColumns({"_own": F.coalesce("doc_id", F.lit(-1)), "_text": F.xxhash64("text"), "_none": F.col("doc_id").isNull()})
     kept = kept.select(F.coalesce("_id", F.lit(-1)).alias("_own"), F.col("_digest").alias("_text"), F.col("_id").isNull().alias("_none"))
     keys = ["_own", "_text", "_none"]          # made unique and joined by the same columns: texts are shuffled once, a repeated row once a task

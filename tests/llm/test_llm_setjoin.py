@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import corpus_pipeline
 from cases import column, documents, frame, words
@@ -76,3 +77,35 @@ def test_stage_leaves_no_pair_of_similarity(spark):
     assert linked(left) == list(range(len(left)))
     assert {linked(texts)[r.doc_id] for r in kept} <= {i for i, root in enumerate(linked(texts)) if i == root}
     assert len(left) <= len(set(linked(texts)))
+
+
+def test_parities_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 600), replace=False)) for _ in "ab")
+        most = setjoin.most_common(setjoin.parities(a), setjoin.parities(b), len(a) + len(b))
+        assert len(np.intersect1d(a, b)) <= most <= (len(a) + len(b)) // 2
+        assert setjoin.most_common(setjoin.parities(a), setjoin.parities(a), 2 * len(a)) == len(a)
+
+
+def test_only_sets_of_pairs_that_can_be_similar_are_moved(spark, monkeypatch):
+    """Texts that share a passage and little else are turned away by their parities: their whole sets are not written."""
+    rng = random.Random(8)
+    common = [words(rng, 50) for _ in range(10)]
+    texts = [f"{passage} {common[(i + by) % 10]}" for i in range(30) for passage in [words(rng, 16)] for by in (0, 3)]
+    texts += [f"{texts[0]} one", f"{texts[2]} two"]
+    digests = [random.Random(i).randrange(-1 << 63, 1 << 63) for i in range(len(texts))]
+    rows = frame(spark, [(t, d, i) for i, (t, d) in enumerate(zip(texts, digests))], "text string, digest long, group long")
+    moved, keep = [], setjoin.cut_lineage
+
+    def cut(df):
+        out = keep(df)
+        if "members" in out.columns:
+            moved.extend(r.digest for r in out.select("digest").collect())
+        return out
+
+    monkeypatch.setattr(setjoin, "cut_lineage", cut)
+    found = {r.group: r.joined for r in setjoin.join_groups(rows, rows).collect()}
+    assert found == {60: 0, 61: 2}
+    assert {digests[i] for i in (0, 2, 60, 61)} <= set(moved) and len(moved) < 20
