@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z), split into pieces at ``. , ; : ! ?`` and line ends, and those into words at blanks and tabs.  All
 counts are for each language (null: ``und``).
 
-**Relations.**  The first relation holds every word occurrence: its word, and its place, which goes up by one from word to word of a
-piece and jumps where a piece ends.  A document's occurrences are one row of it, sorted by place, as columns of packed numbers.  It is
+**Relations.**  The first relation holds the occurrences of frequent words: the word, and its place, which goes up by one from word to word of a
+piece and jumps where a piece ends or a rarer word stands.  Texts are read twice for it, to count their words and to write it: rarer words, most of
+the vocabulary, are never written.  A document's occurrences are one row of it, sorted by place, as columns of packed numbers.  It is
 written as a table, and so is each further one.  To get phrases of length k, the relation of length k - 1 is merge-joined with itself one
 place ahead, inside its rows, since both sides are sorted alike: the first k - 1 words and the last k - 1 words both have to be occurrences that are
 left.  Their groups are counted (in the tasks first, whose counts go by hash to buckets and are added up there), those of ``least`` or more are frequent, and the occurrences of
@@ -12,7 +13,8 @@ frequent groups are semi-joined into the next relation, with the words that they
 for the frequent groups: it never turns a frequent one away, and an occurrence that it lets through for nothing is counted, exactly, and falls at
 the next count.  No occurrence is shuffled; only counts are.
 
-**Words** are 64-bit hashes in the relations.  If two words of the corpus share one, all is done again with another hash.
+**Words** are 64-bit hashes in the relations.  If two words share one that is frequent, all is done again with another hash; where they share a
+rarer one, neither is frequent, and no phrase has it.
 
 **Scores** are whole numbers in decimals of 38 digits.  Each cut of a candidate looks its two parts up among the frequent groups (a
 part of a frequent phrase is frequent), and the lowest cut counts.  Phrases become text only at the end, for the candidates that can be among the
@@ -25,6 +27,7 @@ Empty and null texts have no words, repeated rows count each time, an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -140,73 +143,101 @@ def summed(packed: DataFrame, k: int, least: int) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ", ".join(["lang string", *(f"{w} long" for w in names), "f long"]))
 
 
-FIRST = "lang string, ids binary, steps binary, word string, id long, bucket long, words binary, n binary"
-_FIRST = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("steps", pa.binary()), ("word", pa.string()), ("id", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()),
-                    ("n", pa.binary())])
 RELATION = "lang string, ids binary, steps binary, alive binary"
+FIRST = f"{RELATION}, word string, id long"
+_FIRST = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("steps", pa.binary()), ("alive", pa.binary()), ("word", pa.string()), ("id", pa.int64())])
 
 
-def occurrences(documents: DataFrame, family: int = 0) -> DataFrame:
-    """The first relation (lang, ids, steps), one row a document; packed counts (bucket, lang, words, n) of words; and words (word, id) that a task met.
+def _read(batch: pa.RecordBatch, family: int) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """The words of the texts (the first column) and their hashes, some rows at a time, with the first row's number."""
+    swap = np.random.default_rng(family).permutation(256).astype(np.uint8)
+    data, offsets = text_bytes(batch.column(0))
+    for low, high in steps(offsets):
+        found = Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], inside=_INSIDE)
+        if len(found.starts):
+            yield low, found, found.hashes if not family else range_hashes(prefix_hashes(swap[found.data]), found.starts, found.ends)
+
+
+def _languages(documents: DataFrame) -> DataFrame:
+    return documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+
+
+def word_counts(documents: DataFrame, family: int = 0) -> DataFrame:
+    """Packed counts of words."""
+    buckets = _buckets(documents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            codes = tally.codes(batch.column(1))
+            for low, found, ids in _read(batch, family):
+                tally.add(np.stack([codes[low + found.of], ids]))
+                yield from tally.rows(buckets, False)
+        yield from tally.rows(buckets, True)
+
+    return _languages(documents).mapInArrow(run, PACKED)
+
+
+class Counted(NamedTuple):
+    """Documents, and a sieve of their frequent words."""
+
+    documents: DataFrame
+    frequent: Sieve
+
+
+def occurrences(counted: Counted, family: int = 0) -> DataFrame:
+    """The first relation (lang, ids, steps, alive), one row a document; and its words (word, id) that a task met.
 
     A step is how far a place lies behind the one before: 1, or 2 for any more.
     """
-    swap, buckets = np.random.default_rng(family).permutation(256).astype(np.uint8), _buckets(documents)
+    documents, frequent = counted
 
     def of(size: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _FIRST], schema=_FIRST)
 
-    def counted(tally: Tally, all_of_it: bool) -> Iterator[pa.RecordBatch]:
-        for rows in tally.rows(buckets, all_of_it):
-            yield of(rows.num_rows, **dict(zip(rows.schema.names, rows.columns)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, met = Tally(), set()
+        met = set()
         for batch in batches:
-            codes = tally.codes(batch.column(1))
-            data, offsets = text_bytes(batch.column(0))
-            for low, high in steps(offsets):
-                found = Words(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], inside=_INSIDE)
-                if not len(found.starts):
-                    continue
-                ids = found.hashes if not family else range_hashes(prefix_hashes(swap[found.data]), found.starts, found.ends)
+            langs = batch.column(2).to_numpy().view(np.uint64)
+            for low, found, ids in _read(batch, family):
+                kept = np.flatnonzero(frequent.passes(group_hash(langs[low + found.of], ids[None])))
                 breaks = np.cumsum(_BREAK[found.data], dtype=np.int64)[found.starts]
-                ahead = np.append(1, 1 + (np.diff(breaks) > 0)).astype(np.uint8)
-                tally.add(np.stack([codes[low + found.of], ids]))
-                one, first = np.unique(ids, return_index=True)
-                new = [(i, at) for i, at in zip(one.view(np.int64).tolist(), first.tolist()) if i not in met]
+                places = np.cumsum(np.append(1, 1 + (np.diff(breaks) > 0)))
+                ahead = np.clip(np.diff(places[kept], prepend=0), 1, 2).astype(np.uint8)
+                ids, first = ids[kept], np.searchsorted(kept, found.first)
+                one, at = np.unique(ids, return_index=True)
+                new = [(i, place) for i, place in zip(one.view(np.int64).tolist(), kept[at].tolist()) if i not in met]
                 if new:
                     met.update(i for i, _ in new)
-                    yield of(len(new), word=pa.array([found.word(at).decode() for _, at in new]), id=pa.array([i for i, _ in new]))
+                    yield of(len(new), word=pa.array([found.word(place).decode() for _, place in new]), id=pa.array([i for i, _ in new]))
                     if len(met) > 300_000:
                         met.clear()
-                own = [(r, a, b) for r, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist())) if b > a]
-                yield of(len(own), lang=batch.column(1).take(pa.array([low + r for r, _, _ in own])), ids=pa.array([ids[a:b].tobytes() for _, a, b in own]),
-                         steps=pa.array([ahead[a:b].tobytes() for _, a, b in own]))
-                yield from counted(tally, False)
-        yield from counted(tally, True)
+                own = [(r, a, b) for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())) if b > a]
+                if own:
+                    yield of(len(own), lang=batch.column(1).take(pa.array([low + r for r, _, _ in own], pa.int64())), ids=pa.array([ids[a:b].tobytes() for _, a, b in own], pa.binary()),
+                             steps=pa.array([ahead[a:b].tobytes() for _, a, b in own], pa.binary()), alive=pa.array([b"\1" * (b - a) for _, a, b in own], pa.binary()))
 
-    return documents.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).mapInArrow(run, FIRST)
+    return _languages(documents).select("*", F.xxhash64("lang")).mapInArrow(run, FIRST)
 
 
 class _Joined:
     """Rows of a relation of length k - 1, merge-joined with themselves one place ahead: where phrases of k words begin."""
 
-    def __init__(self, batch: pa.RecordBatch, k: int, frequent: Sieve | None) -> None:
-        """Columns: lang, its hash, ids, steps and, from the second relation on, alive; before that, ``frequent`` tells which words are."""
+    def __init__(self, batch: pa.RecordBatch, k: int) -> None:
+        """Columns: lang, its hash, ids, steps and alive."""
         sizes = np.array([len(x) // 8 for x in (v.as_buffer() for v in batch.column(2))], np.int64)
         self.first = np.append(0, np.cumsum(sizes))
         self.of = np.repeat(np.arange(len(sizes)), sizes)
         self.ids = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
         self.places = np.cumsum(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8), dtype=np.int64)
         self.lang = batch.column(1).to_numpy().view(np.uint64)[self.of]
-        alive = frequent.passes(group_hash(self.lang, self.ids[None])) if frequent else np.frombuffer(b"".join(batch.column(4).to_pylist()), bool)
+        alive = np.frombuffer(b"".join(batch.column(4).to_pylist()), bool)
         next_one = (self.of[1:] == self.of[:-1]) & (self.places[1:] == self.places[:-1] + 1)
         self.at = np.flatnonzero(alive[:-1] & alive[1:] & next_one)
         self.words = np.stack([self.ids[self.at + t] for t in range(k)]) if len(self.at) else np.zeros((k, 0), np.uint64)
 
 
-def joined_counts(relation: DataFrame, k: int, frequent: Sieve | None) -> DataFrame:
+def joined_counts(relation: DataFrame, k: int) -> DataFrame:
     """Packed counts of the phrases of k words."""
     buckets = _buckets(relation)
 
@@ -214,7 +245,7 @@ def joined_counts(relation: DataFrame, k: int, frequent: Sieve | None) -> DataFr
         tally = Tally()
         for batch in batches:
             if batch.num_rows:
-                rows = _Joined(batch, k, frequent)
+                rows = _Joined(batch, k)
                 tally.add(np.concatenate([tally.codes(batch.column(0))[rows.of[rows.at]][None], rows.words]))
                 yield from tally.rows(buckets, False)
         yield from tally.rows(buckets, True)
@@ -222,13 +253,13 @@ def joined_counts(relation: DataFrame, k: int, frequent: Sieve | None) -> DataFr
     return relation.mapInArrow(run, PACKED)
 
 
-def joined_relation(relation: DataFrame, k: int, before: Sieve | None, frequent: Sieve) -> DataFrame:
+def joined_relation(relation: DataFrame, k: int, frequent: Sieve) -> DataFrame:
     """The relation of length k: the words that occurrences of frequent phrases cover, and at which of them one begins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _Joined(batch, k, before)
+            rows = _Joined(batch, k)
             at = rows.at[frequent.passes(group_hash(rows.lang[rows.at], rows.words))]
             alive, covered = np.zeros((2, len(rows.ids)), bool)
             alive[at] = True
@@ -257,26 +288,25 @@ def _sieve(groups: DataFrame, k: int) -> Sieve:
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent phrases (lang, phrase as an array of word hashes, f), the words (id, word), and for each lang n, its number of words."""
-    columns = ["lang", F.xxhash64("lang"), "ids", "steps"]
+    columns = ["lang", F.xxhash64("lang"), "ids", "steps", "alive"]
     with scratch(documents.sparkSession) as keep:
         with scratch(documents.sparkSession) as stay:
             for family in range(1000):
-                whole = cut_lineage(occurrences(documents, family))
-                words = stay(whole.where("word IS NOT NULL").select("id", "word").repartition("id").groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("other")))
+                counts = cut_lineage(summed(word_counts(documents, family), 1, 1))
+                sizes = stay(counts.groupBy("lang").agg(F.sum("f").alias("n")))
+                found = [stay(counts.where(F.col("f") >= least))]
+                whole = cut_lineage(occurrences(Counted(documents, _sieve(found[0], 1)), family))
+                words = whole.where("word IS NOT NULL").join(found[0].select(F.col("w1").alias("id")).distinct(), "id", "left_semi")
+                words = stay(words.groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("other")))
                 if words.where("word <> other").isEmpty():
                     break
-            counts = cut_lineage(summed(whole.where("bucket IS NOT NULL").select("bucket", "lang", "words", "n"), 1, 1))
-            sizes = stay(counts.groupBy("lang").agg(F.sum("f").alias("n")))
-            found = [stay(counts.where(F.col("f") >= least))]
-            words = stay(words.drop("other").join(found[0].select(F.col("w1").alias("id")).distinct(), "id", "left_semi"))
+            words = words.drop("other")
             relation = whole.where("ids IS NOT NULL").select(*columns)
-            before = _sieve(found[0], 1)
             for k in range(2, longest + 1):
                 with scratch(documents.sparkSession) as further:
-                    found.append(further(summed(joined_counts(relation, k, before), k, least)))
+                    found.append(further(summed(joined_counts(relation, k), k, least)))
                     if k < longest:
-                        relation = further(joined_relation(relation, k, before, _sieve(found[-1], k))).select(*columns, "alive")
-                        before = None
+                        relation = further(joined_relation(relation, k, _sieve(found[-1], k))).select(*columns)
             phrases = None
             for k, groups in enumerate(found, 1):
                 part = groups.select("lang", F.array(*(f"w{i + 1}" for i in range(k))).alias("phrase"), "f")

@@ -83,3 +83,21 @@ def test_long_empty_and_clashing(spark):
     assert got(spark, []) == []
     clash = frame(spark, rows).selectExpr("text", "lang", "1 AS word", "2 AS id", "3 AS n", "'x' AS ids")
     assert sorted(tuple(r) for r in co.collocations(clash).collect()) == brute(rows, 30, 2000)
+
+
+def test_rare_words_are_not_written(spark, monkeypatch):
+    """Words under the threshold, most of a vocabulary, are neither in the first relation nor among the words; phrases stop at them."""
+    rows = [(i, f"new york city w{i} x{i}a new york y{i}. state{i} of", "en", "", 0) for i in range(400)]
+    rows += [(400 + i, f"q{i} " * 29, "de", "", 0) for i in range(3)]
+    written, keep = [], co.cut_lineage
+
+    def cut(df):
+        out = keep(df)
+        if {"word", "ids"} <= set(out.columns):
+            written.extend(out.select("word", F.length("ids")).collect())
+        return out
+
+    monkeypatch.setattr(co, "cut_lineage", cut)
+    assert got(spark, rows) == brute(rows, 30, 2000)
+    assert sum(n for _, n in written if n) < 8 * 400 * 6.5      # six frequent words a document, and what the sieve lets through
+    assert len({w for w, _ in written if w}) < 200
