@@ -15,6 +15,8 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier
 4. A gram with more than ``MEMBERS`` different segments is dealt again: its segments are cut where the distance of window and anchor
    passes a multiple of ``BLOCK``, and each part goes with those of the same distances; should a part still be shared by too many, its
    windows go by their bytes' hash, of equal ones in a batch only the first.  What has been dealt again is sorted in the same way.
+5. *Removal.*  Ranges are merged for each document.  Texts are shuffled only for documents that may have wanted segments (3.) or ranges:
+   a table of bits of bounded size turns most others away, the joins decide.
 
 Whole segments count as equal if their grams (64 bits) and two hashes of the whole with different bases (128 bits) agree.  Matches never cross
 documents.  Null texts count as empty, a null id comes before all others.  Rows that share a doc_id are not earlier than each
@@ -27,12 +29,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BASE, BASE_INVERSE, OTHER, OTHER_INVERSE, STEP_BYTES, mixed, powers, prefix_hashes, range_hashes, steps, text_bytes
-from lodestone.session import cut_lineage
+from lodestone.llm.common import BASE, BASE_INVERSE, OTHER, OTHER_INVERSE, STEP_BYTES, Sieve, mixed, powers, prefix_hashes, range_hashes, steps, text_bytes
+from lodestone.session import cut_lineage, scratch
 
 LENGTH, GRAM = 100, 32
 #: Different segments of one gram that a task holds; windows that it sorts at once; distances that stay together when a gram is dealt again.
@@ -309,8 +312,28 @@ FETCHED = "gram long, doc long, version long, window int, shape int, bytes binar
 _FETCHED = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("window", pa.int32()), ("shape", pa.int32()), ("bytes", pa.binary())])
 
 
+def _key() -> Column:
+    return F.xxhash64("doc", "version")
+
+
+def known_documents(documents: DataFrame) -> Sieve:
+    """A table of bits, of bounded size, for the keys of some documents (doc, version): it turns most others away before texts are shuffled."""
+    return Sieve(documents.select("doc", "version").distinct().select(_key().alias("key")), "key")
+
+
+def may_be_among(sieve: Sieve) -> Column:
+    """Whether a document may be one of those of the table; true for all that are."""
+
+    @F.pandas_udf("boolean")
+    def passes(keys: pd.Series) -> pd.Series:
+        return pd.Series(sieve.passes(keys.to_numpy().view(np.uint64)))
+
+    return passes(_key())
+
+
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of wanted segments, from the texts."""
+    rows = rows.where(may_be_among(known_documents(wanted)))
     lists = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("gram", "window", "shape")).alias("segments"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,36 +480,62 @@ def repeated_ranges(rows: DataFrame, members: int = MEMBERS) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def merged(ranges: DataFrame) -> DataFrame:
+    """One row for each document with ranges (doc, version): its ranges, ascending and apart."""
+    fields = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, highs = [], []
+            for i in range(batch.num_rows):
+                parts = batch.column(2)[i].values
+                low, high = parts.field("low").to_numpy(), parts.field("high").to_numpy()
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.maximum.accumulate(high[order])
+                first = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+                lows.append(low[first])
+                highs.append(high[np.append(first[1:], len(low)) - 1])
+            if lows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lows, fields[2].type), pa.array(highs, fields[3].type)], schema=fields)
+
+    lists = ranges.groupBy("doc", "version").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return lists.mapInArrow(run, "doc long, version long, low array<int>, high array<int>")
+
+
 def op10_repeated_passages(documents: DataFrame) -> DataFrame:
     """Removed bytes of each document, and a digest of what is left."""
     rows = documents.select(F.coalesce("doc_id", F.lit(_LOW)).alias("doc"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = not rows.groupBy("doc").count().where("count > 1").isEmpty()
-    version = F.xxhash64("text") if shared else F.lit(0).cast("long")                 # tells rows with one id apart
+    # tells rows with one id apart; never a constant, which would drop out of the joins' keys and have grouped lists shuffled again
+    version = F.xxhash64("text") if shared else F.col("_id").isNull().cast("long")
     rows = rows.withColumn("version", version)
     texts = rows.select("doc", "version", "text")
-    ranges = repeated_ranges(texts.distinct() if shared else texts)
-    lists = ranges.groupBy("doc", "version").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    with scratch(documents.sparkSession) as keep:
+        spans = keep(merged(repeated_ranges(texts.distinct() if shared else texts)))
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                doc_id, text, parts = batch.column(0)[i].as_py(), (batch.column(1)[i].as_py() or "").encode(), batch.column(2)[i]
-                digest, at, removed, spans = hashlib.sha256(), 0, 0, 0
-                if parts.is_valid:
-                    low, high = parts.values.field("low").to_numpy(), parts.values.field("high").to_numpy()
-                    order = np.argsort(low, kind="stable")
-                    low, high = low[order], np.maximum.accumulate(high[order])
-                    new = np.concatenate(([True], low[1:] > high[:-1]))
-                    first = np.flatnonzero(new)
-                    for a, b in zip(low[first].tolist(), high[np.append(first[1:], len(low)) - 1].tolist()):
-                        digest.update(text[at:a])
-                        removed, spans, at = removed + b - a, spans + 1, b
+                doc_id, text, low, high = batch.column(0)[i].as_py(), (batch.column(1)[i].as_py() or "").encode(), batch.column(2)[i].as_py() or [], batch.column(3)[i].as_py() or []
+                digest, at, removed = hashlib.sha256(), 0, 0
+                for a, b in zip(low, high):
+                    digest.update(text[at:a])
+                    removed, at = removed + b - a, b
                 digest.update(text[at:])
-                out.append((doc_id, len(text), removed, spans, digest.hexdigest()))
+                out.append((doc_id, len(text), removed, len(low), digest.hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
 
-    joined = rows.join(lists, ["doc", "version"], "left").select(F.col("_id").alias("doc_id"), "text", "ranges")
-    return joined.mapInArrow(run, RESULT)
+    sieve = known_documents(spans)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without ranges, where they are read."""
+        for batch in batches:
+            batch = batch.filter(pa.array(~sieve.passes(batch.column(2).to_numpy().view(np.uint64))))
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield from run(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none], names=["_id", "text", "low", "high"])]))
+
+    some = rows.where(may_be_among(sieve)).join(spans, ["doc", "version"], "left").select("_id", "text", "low", "high")
+    return some.mapInArrow(run, RESULT).union(rows.select("_id", "text", _key().alias("key")).mapInArrow(whole, RESULT))
